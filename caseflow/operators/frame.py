@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.fixed_values import ADULT_AGE, TIMESTAMP_FORMAT
@@ -59,6 +59,16 @@ def parse_timestamps(
     )
 
 
+def add_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row, however often they are used.
+
+    A plain projection is copied into every filter and aggregate above it, and a
+    search through a long text would run again in each. Columns that come out of a
+    one-row `inline` are not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def merge(
     left: DataFrame,
     right: DataFrame,

@@ -75,9 +75,7 @@ def collect_per_key(
         key,
         (F.col("_chunk") * F.col(FAN) + F.col(SALT)).alias("part"),
         *[
-            F.filter(
-                F.transform("_rows", lambda r, i=i: r[f"_c{i}"]), lambda v: v.isNotNull()
-            ).alias(c + suffix)
+            F.array_compact(F.col("_rows").getField(f"_c{i}")).alias(c + suffix)
             for i, c in enumerate(columns)
         ],
     )

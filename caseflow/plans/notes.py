@@ -24,7 +24,7 @@ from caseflow.functions.text import (
 )
 from caseflow.functions.values import flag_not_sentinel, flag_present, string_key
 from caseflow.operators.dedupe import first_note
-from caseflow.operators.frame import keep_notnull
+from caseflow.operators.frame import add_once, keep_notnull
 
 HEADINGS = {
     "complaint": CHIEF_COMPLAINT,
@@ -52,7 +52,7 @@ def add_sections(
         "examination_text": cut_between(text, F.col("_exam"), close, sentinel),
         "assessment_plan_text": cut_from(text, close, sentinel),
     }
-    return df.withColumns(places).withColumns(sections).drop(*places)
+    return add_once(add_once(df, places), sections).drop(*places)
 
 
 def add_token_counts(df: DataFrame, texts: Sequence[str]) -> DataFrame:

@@ -312,10 +312,10 @@ def tagged(spark, sf_dir):
 
 
 _FRAMES = {
-    "documents": "SELECT doc_id, doc_id AS at FROM documents",
-    "again": "SELECT doc_id, doc_id AS at FROM documents ORDER BY doc_id DESC",
-    "labels": "SELECT doc_id, doc_id AS at FROM labels",
-    "reversed": "SELECT doc_id, -doc_id AS at FROM documents",
+    "documents": "SELECT doc_id, doc_id AS place FROM documents",
+    "again": "SELECT doc_id, doc_id AS place FROM documents ORDER BY doc_id DESC",
+    "labels": "SELECT doc_id, doc_id AS place FROM labels",
+    "reversed": "SELECT doc_id, -doc_id AS place FROM documents",
 }
 
 
@@ -332,9 +332,9 @@ def _same(check: str, left: str, right: str, columns: str) -> str:
             _same("bag", "documents", "again", "doc_id"),
             _same("bag", "documents", "labels", "doc_id"),
             _same("bag", "again", "labels", "doc_id"),
-            _same("order", "documents", "again", "at, doc_id"),
-            _same("order", "documents", "reversed", "at, doc_id"),
-            _same("order", "again", "reversed", "at, doc_id"),
+            _same("order", "documents", "again", "place, doc_id"),
+            _same("order", "documents", "reversed", "place, doc_id"),
+            _same("order", "again", "reversed", "place, doc_id"),
         ]
     ),
 )

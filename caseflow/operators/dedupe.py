@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.values import as_column
+from caseflow.operators.skew import MIN_HOT_ROWS, hot_keys, is_hot
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
@@ -58,11 +59,14 @@ def duplicated_rows(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def show_duplicates(df: DataFrame, key: str) -> DataFrame:
+def show_duplicates(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """The rows that share their key with another row.
 
-    A semi-join with the counted keys: no window gathers a whole key in one task,
-    and a hot key is split when the join runs.
+    Keys are counted first. The rows of a hot key are known to share it and stay
+    where they are; only the others are moved to be matched with the counted keys.
     """
+    hot = hot_keys(df, key, min_rows)
     repeated = duplicated_keys(df, key).select(F.col(key).alias("_key"))
-    return df.join(repeated, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    rest = is_hot(df, key, hot, "left_anti")
+    matched = rest.join(repeated, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    return is_hot(df, key, hot, "left_semi").unionByName(matched)

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.values import as_column, within_visit
 from caseflow.operators.dedupe import drop_duplicates
-from caseflow.operators.skew import FAN, SALT, hot_keys, salted_join, spread_hot
+from caseflow.operators.skew import (
+    FAN,
+    MIN_HOT_ROWS,
+    SALT,
+    hot_keys,
+    salted_join,
+    spread_hot,
+)
 
 PART_ROWS = 10_000
 
@@ -52,15 +59,20 @@ def collect_per_key(
     order_by: Sequence[str],
     suffix: str = "_list",
     part_rows: int = PART_ROWS,
+    min_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
     """One list per key and column, in `order_by` order; NULLs are skipped.
 
     Result: key, part, lists. No list is longer than `part_rows`, so no key is held
     in memory whole: longer lists go on in further rows, told apart by `part`. A key
-    of up to `part_rows` rows is one row with part 0. Rows salted by an earlier join
-    are collected where they are, each salt in parts of its own.
+    of up to `part_rows` rows is one row with part 0. The rows of a hot key are
+    collected in many tasks, each in parts of its own; rows salted by an earlier join
+    are collected where they are. `order_by` must tell the rows of a key apart.
     """
-    rows = df if SALT in df.columns else df.withColumns({SALT: F.lit(0), FAN: F.lit(1)})
+    rows = df
+    if SALT not in df.columns:
+        hot = hot_keys(df, key, min_rows)
+        rows = spread_hot(df, key, F.xxhash64(*order_by), hot)
     rank = F.row_number().over(Window.partitionBy(key, SALT).orderBy(*order_by))
     entry = F.struct(
         *[as_column(c).alias(f"_o{i}") for i, c in enumerate(order_by)],

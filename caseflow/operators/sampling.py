@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from caseflow.fixed_values import LABELLING_ROWS, SEED
 
 PREFIX_DIGITS = 5  # hex digits: 16**5 prefixes at most
+NUMBER_DIGITS = 4  # 16**4 prefixes, few enough to broadcast their counts
 _HASH = "_hash"
 _PREFIX = "_prefix"
 
@@ -104,14 +105,28 @@ def uniform_sample(
     return near.orderBy(_HASH, key).limit(n).drop(_HASH)
 
 
-def shuffle(df: DataFrame, seed: int = SEED, key: str = "encounter_id") -> DataFrame:
-    """All rows in an order that depends on seed and key alone."""
-    return df.orderBy(seeded_hash(seed, key), key)
-
+def shuffle(
+    df: DataFrame, seed: int = SEED, key: str = "encounter_id", position: str | None = None
+) -> DataFrame:
+    """All rows in an order that depends on seed and key alone.
 
-def with_position(df: DataFrame, order_by: Sequence[Column | str], by: Sequence[str] = ()) -> DataFrame:
-    """Number the rows 1, 2, … in the given order; for drawn samples."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order_by)))
+    With `position` the rows come numbered 1, 2, … instead of sorted: each hash
+    prefix is numbered on its own, from the count of the rows before it, so that no
+    task sees more than one prefix.
+    """
+    h = seeded_hash(seed, key)
+    if position is None:
+        return df.orderBy(h, key)
+    rows = df.withColumn(_HASH, h).withColumn(_PREFIX, F.substring(_HASH, 1, NUMBER_DIGITS))
+    counts = rows.groupBy(_PREFIX).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(_PREFIX)) - F.col("_n")
+    starts = counts.select(_PREFIX, before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(_PREFIX).orderBy(_HASH, key))
+    return (
+        rows.join(F.broadcast(starts), _PREFIX)
+        .withColumn(position, F.col("_before") + place)
+        .drop(_PREFIX, _HASH, "_before")
+    )
 
 
 def labelling_sample(
@@ -127,7 +142,7 @@ def labelling_sample(
     Keeps the named columns only; the class is not shown to the labeller.
     """
     drawn = balanced_sample(df, outcome, n // 2, seed, key)
-    numbered = with_position(drawn, [seeded_hash(seed + 1, key), key])
+    numbered = shuffle(drawn, seed + 1, key, "position")
     return numbered if columns is None else numbered.select("position", *columns)
 
 

@@ -1,10 +1,11 @@
 """Joins that keep one hot key from landing in one task.
 
-A key is hot when it holds more than 1/`SHARES` of all rows (and at least
-`min_rows`). There are at most `SHARES` such keys whatever the data size, so the
-table of hot keys is small enough to broadcast. Rows of a hot key are spread over
-`fan` salts by a hash of their own row key; the rows they join to are copied once
-per salt. Which keys are called hot never changes a result.
+A key is hot when it holds more than `MIN_HOT_ROWS` rows and is among the
+`MAX_HOT_KEYS` keys with the most; any other key holds less than one part in
+`MAX_HOT_KEYS` of the rows. The table of hot keys is thus small enough to broadcast
+whatever the data size. Rows of a hot key are spread over `fan` salts by a hash of
+their own row key; the rows they join to are copied once per salt. Which keys are
+called hot never changes a result.
 
 Adaptive skew handling does the same for a join on its own, but not for a join
 whose partitioning the next step reuses, as the steps here do.
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHARES = 10_000
+MAX_HOT_KEYS = 10_000
+MAX_SALTS = 10_000
 MIN_HOT_ROWS = 1_000_000
 SALT = "_salt"
 FAN = "_fan"
@@ -23,27 +25,30 @@ _HOT_KEY = "_hot_key"
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """One row (key, fan) per hot key, at most `SHARES` rows.
+    """One row (key, fan) per hot key, at most `MAX_HOT_KEYS` rows.
 
-    Reads the key column alone and counts before the shuffle.
+    Reads the key column alone and counts before the shuffle. A missing key counts as
+    a key: it matches nothing, but its rows have to be spread just the same.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    limit = F.greatest(F.lit(min_rows), F.ceil(total / SHARES))
+    counts = df.groupBy(F.col(key).alias(_HOT_KEY)).agg(F.count(F.lit(1)).alias("n"))
+    fan = F.least(F.ceil(F.col("n") / F.lit(min_rows)), F.lit(MAX_SALTS)).cast("int")
     return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias(_HOT_KEY))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > limit)
-        .select(_HOT_KEY, F.ceil(F.col("n") / limit).cast("int").alias(FAN))
+        counts.filter(F.col("n") > min_rows)
+        .orderBy(F.col("n").desc(), _HOT_KEY)
+        .limit(MAX_HOT_KEYS)
+        .select(_HOT_KEY, fan.alias(FAN))
     )
 
 
 def _with_fan(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(hot), F.col(key) == F.col(_HOT_KEY), "left").drop(_HOT_KEY)
+    return df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col(_HOT_KEY)), "left").drop(_HOT_KEY)
 
 
 def spread_hot(df: DataFrame, key: str, row_key: str | Column, hot: DataFrame) -> DataFrame:
-    """Add the number of salts of the key (1 unless hot) and the salt of the row."""
+    """Add the number of salts of the key (1 unless hot) and the salt of the row.
+
+    `row_key` must tell the rows of a key apart.
+    """
     fan = F.coalesce(F.col(FAN), F.lit(1))
     salt = F.pmod(F.xxhash64(row_key), fan).cast("int")
     return _with_fan(df, key, hot).withColumns({SALT: salt, FAN: fan})
@@ -89,3 +94,8 @@ def salted_join(
     if condition is not None:
         on = on & condition
     return left.join(other, on, how).drop("_right_key", "_right_salt")
+
+
+def is_hot(df: DataFrame, key: str, hot: DataFrame, how: str) -> DataFrame:
+    """Rows of hot keys (`left_semi`) or of all others (`left_anti`), where they are."""
+    return df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col(_HOT_KEY)), how)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.text import clean_text
@@ -90,7 +89,7 @@ def uniform(spark, sf_dir):
 
 @query(
     "labelling_sample",
-    """SELECT CAST(row_number() OVER (ORDER BY md5('8|' || doc_id), doc_id) AS INTEGER) AS position, doc_id
+    """SELECT row_number() OVER (ORDER BY md5('8|' || doc_id), doc_id) AS position, doc_id
        FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5('7|' || doc_id), doc_id) AS place
              FROM labels)
        WHERE place <= 4""",
@@ -103,14 +102,12 @@ def labelling(spark, sf_dir):
 
 @query(
     "shuffle",
-    """SELECT CAST(row_number() OVER (ORDER BY md5('7|' || s_suppkey), s_suppkey) AS INTEGER) AS place,
-         s_suppkey FROM supplier""",
+    """SELECT row_number() OVER (ORDER BY md5('7|' || o_orderkey), o_orderkey) AS place, o_orderkey
+       FROM orders""",
 )
 def shuffled(spark, sf_dir):
-    rows = shuffle(table(spark, sf_dir, "supplier").select("s_suppkey"), key="s_suppkey")
-    # The order of the rows, as numbers, so that it can be compared.
-    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
-    return rows.select(place.alias("place"), "s_suppkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey")
+    return shuffle(rows, key="o_orderkey", position="place")
 
 
 @query("sample_df")
@@ -120,14 +117,11 @@ def approximate(spark, sf_dir):
 
 @query(
     "sort_values",
-    """SELECT CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey DESC) AS INTEGER) AS place,
-         c_custkey, c_acctbal FROM customer""",
+    "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey DESC",
 )
 def sorted_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    ordered = sort_values(rows, "c_acctbal", "c_custkey", "descending")
-    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
-    return ordered.select(place.alias("place"), "c_custkey", "c_acctbal")
+    return sort_values(rows, "c_acctbal", "c_custkey", "descending")
 
 
 @query(

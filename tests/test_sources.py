@@ -1,0 +1,98 @@
+"""Parquet, catalog and CSV round trips."""
+
+from __future__ import annotations
+
+import glob
+
+import pytest
+from pyspark.sql import types as T
+
+from caseflow.schemas import SOURCE_NAMES, VISITS, require_columns
+from caseflow.sources import (
+    read_catalog,
+    read_result_csv,
+    read_table,
+    register_view,
+    shared_folder,
+    stage_table,
+    write_result_csv,
+    write_table,
+)
+from tests.conftest import plan_of
+
+SCHEMA = T.StructType([T.StructField("k", T.StringType()), T.StructField("t", T.StringType()), T.StructField("n", T.IntegerType())])
+TEXTS = [
+    'plain',
+    'comma, inside',
+    'He said "no", then\nleft.\n\n"""quoted block"""',
+    '  blanks around  ',
+    'back\\slash \\" and \\n',
+    'tab\there é漢🙂',
+    "NA",
+    "null",
+    '"',
+    "'single'",
+]
+
+
+@pytest.mark.parametrize("quote_all", [True, False])
+def test_csv_keeps_texts(spark, quote_all):
+    rows = [(f"k{i}", t, i) for i, t in enumerate(TEXTS)] + [("k99", None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    path = write_result_csv(df, shared_folder(spark), quote_all)
+    back = {r.k: (r.t, r.n) for r in read_result_csv(spark, path, SCHEMA).collect()}
+    assert back == {k: (t, n) for k, t, n in rows}
+
+
+def test_csv_files_are_bounded(spark):
+    df = spark.range(1000).selectExpr("string(id) AS k", "'a\nb' AS t", "int(id) AS n").coalesce(1)
+    path = write_result_csv(df, shared_folder(spark), rows_per_file=100)
+    assert len(glob.glob(path + "/*.csv")) == 10
+    assert read_result_csv(spark, path, SCHEMA).count() == 1000
+
+
+def test_row_index_column(spark, tmp_path):
+    (tmp_path / "r.csv").write_text(',k,t,n\n0,a,"line one\nline ""two""",5\n1,b,,\n')
+    plain = read_result_csv(spark, str(tmp_path), SCHEMA, row_index=True)
+    assert [tuple(r) for r in plain.orderBy("k").collect()] == [("a", 'line one\nline "two"', 5), ("b", None, None)]
+    placed = read_result_csv(spark, str(tmp_path), SCHEMA, row_index=True, keep_position=True)
+    assert {r.k: r.position for r in placed.collect()} == {"a": 0, "b": 1}
+
+
+def test_arrays_are_written_as_json(spark):
+    df = spark.createDataFrame([("a", ["x", 'y"z'])], "k string, l array<string>")
+    path = write_result_csv(df, shared_folder(spark))
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("l", T.StringType())])
+    assert read_result_csv(spark, path, schema).first().l == '["x","y\\"z"]'
+
+
+def test_read_table_prunes_columns(spark, sf_dir):
+    df = read_table(spark, f"{sf_dir}/lineitem.parquet", columns=["l_orderkey", "l_shipdate"])
+    assert "ReadSchema: struct<l_orderkey:bigint,l_shipdate:timestamp_ntz>" in plan_of(df)
+    with pytest.raises(ValueError, match="missing columns"):
+        read_table(spark, f"{sf_dir}/lineitem.parquet", columns=["nope"])
+
+
+def test_write_overwrites(spark):
+    path = shared_folder(spark)
+    write_table(spark.range(5), path)
+    write_table(spark.range(3), path)
+    assert read_table(spark, path).count() == 3
+
+
+def test_staged_tables_lie_in_the_shared_folder(spark):
+    staged = stage_table(spark.range(4))
+    assert staged.count() == 4
+    assert staged.inputFiles()[0].removeprefix("file://").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_catalog(spark):
+    register_view(spark.range(2), "some_view")
+    assert read_catalog(spark, "some_view").count() == 2
+
+
+def test_names_and_checks(spark):
+    assert SOURCE_NAMES["visit_occurrence_id"] == SOURCE_NAMES["encounterkey"] == "encounter_id"
+    assert "encounter_id" in VISITS.names
+    with pytest.raises(ValueError, match="visits: missing columns"):
+        require_columns(spark.range(1), ["encounter_id"], "visits")

@@ -26,8 +26,10 @@ from caseflow.operators.orders import collect_per_key, first_parts, orders_durin
 from caseflow.operators.profile import cohort_stats
 from caseflow.operators.skew import FAN, MIN_HOT_ROWS, SALT, hot_keys, salted_join, spread_join
 from caseflow.schemas import require_columns
+from caseflow.sources import stage_table
 
 VISIT_TIMES = ("arrival_datetime", "departure_datetime")
+MAX_BROADCAST_KEYS = 5_000_000  # note keys, some hundred megabytes
 DEMOGRAPHICS = ("sex", "ethnicity", "firstrace", "multiracial")
 
 
@@ -50,6 +52,18 @@ def notes_with_text(metadata: DataFrame, text: DataFrame) -> DataFrame:
     return merge(metadata, text.select("note_id", "note_text"), "note_id", "note_id", "left")
 
 
+def text_of(notes: DataFrame, text: DataFrame, max_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """The texts of `notes`, a stored table, as far as they can be told by their keys.
+
+    With up to `max_keys` notes their keys are broadcast, and all other texts are
+    dropped where they are read. With more, all texts go on to the join.
+    """
+    if notes.count() > max_keys:
+        return text
+    keys = notes.select(F.col("note_id").alias("_note")).filter("_note IS NOT NULL")
+    return text.join(F.broadcast(keys), text["note_id"] == F.col("_note"), "left_semi")
+
+
 def visit_notes(visits: DataFrame, notes: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Row per note of a visit; the note's own patient key is `patient_id_notes`.
 
@@ -157,6 +171,7 @@ def build_cohort(
     tables: Mapping[str, DataFrame],
     specialties: Sequence[str] = SPECIALTIES,
     orders_per_note: bool = False,
+    stage: bool = True,
     min_hot: int = MIN_HOT_ROWS,
 ) -> DataFrame:
     """The whole cohort from visits, patients, durations, note_metadata, note_text,
@@ -166,6 +181,10 @@ def build_cohort(
     are left. Until then notes move once: the visit and both order lists are joined
     on the partitioning the notes already have. `orders_per_note` lists a medication
     order once per note of its visit instead of once.
+
+    With `stage` the notes are written to the shared folder before their text is
+    joined. Their number is then known, and texts that no note needs are not moved;
+    and however often the cohort is read, only the text join runs again.
     """
     for name in ("visits", "patients", "durations", "note_metadata", "note_text"):
         require_columns(tables[name], _NEEDED[name], name)
@@ -184,7 +203,11 @@ def build_cohort(
     notes = add_order_lists(notes, imaging, "imaging_orders_parts", hot)
     notes = add_order_lists(notes, medications, "abx_list_parts", hot)
     notes = notes.withColumn("abx_ordered_ed", flag_present("medicationorderkey_abx_list"))
-    return notes_with_text(notes.drop(SALT, FAN), tables["note_text"])
+    notes, text = notes.drop(SALT, FAN), tables["note_text"]
+    if stage:
+        notes = stage_table(notes)
+        text = text_of(notes, text)
+    return notes_with_text(notes, text)
 
 
 _NEEDED = {
@@ -227,5 +250,6 @@ __all__ = [
     "medication_lists",
     "notes_with_text",
     "provider_notes",
+    "text_of",
     "visit_notes",
 ]

@@ -11,7 +11,7 @@ from caseflow.fixed_values import LABEL_COLUMNS, PROMPT_COLUMNS
 from caseflow.operators.frame import same_keys
 from caseflow.operators.profile import cohort_stats
 from caseflow.plans.answers import ingest_responses
-from caseflow.plans.cohort import add_site_label, build_cohort, funnel
+from caseflow.plans.cohort import add_site_label, build_cohort, funnel, text_of
 from caseflow.plans.notes import prepare_notes, sectioned_notes
 from caseflow.plans.prompts import QUESTIONS, build_prompts, template_rows, template_table
 from caseflow.plans.reports import main_report, sensitivity_report, unbalanced_report, word_counts
@@ -72,9 +72,9 @@ def test_cohort_columns(cohort):
     assert not [c for c in cohort.columns if c.startswith("_")]
 
 
-@pytest.mark.parametrize("min_hot", [1, 2])
-def test_hot_visits_change_nothing(tables, cohort, min_hot):
-    salted = build_cohort(tables, SPECIALTIES, min_hot=min_hot)
+@pytest.mark.parametrize("min_hot, stage", [(1, False), (2, True), (10**6, False)])
+def test_hot_visits_and_staging_change_nothing(tables, cohort, min_hot, stage):
+    salted = build_cohort(tables, SPECIALTIES, stage=stage, min_hot=min_hot)
     keys = ["note_id", "encounter_id", "abx_ordered_ed", "edvisit_age", "sex", "note_text"]
     assert sorted(map(tuple, salted.select(keys).collect()), key=str) == sorted(map(tuple, cohort.select(keys).collect()), key=str)
 
@@ -109,7 +109,7 @@ def test_cohort_plan(spark, sf_dir):
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = plan_of(build_cohort(driver_tables(spark, sf_dir), codes))
+        plan = plan_of(build_cohort(driver_tables(spark, sf_dir), codes, stage=False))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for word in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
@@ -120,6 +120,12 @@ def test_cohort_plan(spark, sf_dir):
     assert sum("text:string" in l for l in scans) == 1
 
 
+def test_texts_nobody_needs_stay_where_they_are(spark, tables):
+    notes = spark.createDataFrame([("n5a",), ("n16",), (None,), ("none",)], "note_id string")
+    assert sorted(r.note_id for r in text_of(notes, tables["note_text"]).collect()) == ["n16", "n5a"]
+    assert text_of(notes, tables["note_text"], max_keys=3).count() == len(clinic.NOTES)
+
+
 def test_first_notes(cohort):
     kept = {r.encounter_id: r for r in sectioned_notes(cohort).collect()}
     assert len(kept) == len({r.encounter_id for r in cohort.collect()})

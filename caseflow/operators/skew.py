@@ -50,7 +50,8 @@ def spread_hot(df: DataFrame, key: str, row_key: str | Column, hot: DataFrame) -
     `row_key` must tell the rows of a key apart.
     """
     fan = F.coalesce(F.col(FAN), F.lit(1))
-    salt = F.pmod(F.xxhash64(row_key), fan).cast("int")
+    # Never NULL, and said to be so: else the join would test the hash for NULL first.
+    salt = F.coalesce(F.pmod(F.xxhash64(row_key), fan).cast("int"), F.lit(0))
     return _with_fan(df, key, hot).withColumns({SALT: salt, FAN: fan})
 
 

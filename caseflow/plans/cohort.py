@@ -154,10 +154,9 @@ def add_site_label(df: DataFrame, sites: DataFrame, locations: DataFrame) -> Dat
     return merge(df, labels, "care_site_id", "care_site_id", "left")
 
 
-def adult_visits(visits: DataFrame, patients: DataFrame, durations: DataFrame) -> DataFrame:
-    """Visits with demographics and age, of adults, with their times parsed."""
-    aged = add_age(add_demographics(visits, patients), durations)
-    adults, _ = split_by_age(aged, ADULT_AGE)
+def adult_visits(visits: DataFrame, durations: DataFrame) -> DataFrame:
+    """Visits of adults with their age, their times parsed."""
+    adults, _ = split_by_age(add_age(visits, durations), ADULT_AGE)
     return parse_timestamps(adults.drop("agekey"), VISIT_TIMES)
 
 
@@ -189,9 +188,9 @@ def build_cohort(
     for name in ("visits", "patients", "durations", "note_metadata", "note_text"):
         require_columns(tables[name], _NEEDED[name], name)
     metadata = provider_notes(tables["note_metadata"], specialties)
-    visits = adult_visits(tables["visits"], tables["patients"], tables["durations"])
+    visits = adult_visits(tables["visits"], tables["durations"])
     hot = hot_keys(metadata, "encounter_id", min_hot)
-    notes = visit_notes(visits, metadata, hot)
+    notes = visit_notes(add_demographics(visits, tables["patients"]), metadata, hot)
 
     imaging = imaging_lists(tables["imaging"], visits, min_hot=min_hot)
     medications = medication_lists(

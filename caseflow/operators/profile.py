@@ -191,3 +191,22 @@ def crosstab_margins(df: DataFrame, a: str, b: str) -> DataFrame:
             "count",
         )
     )
+
+
+def crosstab_wide(df: DataFrame, a: str, b: str, values: Sequence) -> DataFrame:
+    """The crosstab as a grid: a row per value of `a`, a column per named value of `b`,
+    'All' for the margins, 0 where a pair does not occur.
+    """
+    names = [str(v) for v in values]
+    pairs = (
+        df.filter(F.col(a).isNotNull() & F.col(b).cast("string").isin(*names))
+        .groupBy(F.col(a).cast("string").alias(a))
+        .agg(*[_count_if(F.col(b).cast("string") == n).alias(n) for n in names])
+    )
+    return (
+        pairs.rollup(a)
+        .agg(*[F.sum(n).alias(n) for n in names], F.grouping(a).alias("_all"))
+        .withColumn(a, F.when(F.col("_all") == 1, ALL).otherwise(F.col(a)))
+        .withColumn(ALL, sum((F.col(n) for n in names[1:]), F.col(names[0])))
+        .drop("_all")
+    )

@@ -2,9 +2,9 @@
 
 Rows are ranked by md5(seed | key), so the same keys are drawn in any engine and
 on any partitioning; `key` must tell rows apart. Nothing is sorted whole: a first
-pass reads key and label alone and counts rows per hash prefix, which gives the
-prefix up to which exactly enough rows lie; only rows up to that prefix, hardly
-more than asked for, are ranked.
+pass reads key and label alone and counts rows per hash bucket, which tells the
+bucket in which the last wanted row lies. All rows of earlier buckets are drawn,
+none of later ones, and only within that one bucket does the rank decide.
 """
 
 from __future__ import annotations
@@ -16,18 +16,28 @@ from pyspark.sql import functions as F
 
 from caseflow.fixed_values import LABELLING_ROWS, SEED
 
-PREFIX_DIGITS = 5  # hex digits: 16**5 prefixes at most
-NUMBER_DIGITS = 4  # 16**4 prefixes, few enough to broadcast their counts
+BUCKET_DIGITS = 3  # hex digits after the leading zeros
+NUMBER_DIGITS = 4  # 16**4 hash prefixes, few enough to broadcast their counts
 _HASH = "_hash"
-_PREFIX = "_prefix"
+_BUCKET = "_bucket"
 
 
 def seeded_hash(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
-def hash_prefix(h: Column) -> Column:
-    return F.substring(h, 1, PREFIX_DIGITS)
+def hash_bucket(h: Column) -> Column:
+    """Where in the hash order `h` lies: its length without leading zeros, then its
+    first digits.
+
+    Buckets get narrower towards the start of the order. The one in which a draw ends
+    thus holds about one row per 256 drawn, however many rows there are, and some ten
+    thousand buckets cover any number of rows.
+    """
+    digits = F.ltrim(h, F.lit("0"))
+    return F.concat(
+        F.lpad(F.length(digits).cast("string"), 2, "0"), F.substring(digits, 1, BUCKET_DIGITS)
+    )
 
 
 def checked_cutoff(n: int, total: Column, cutoff: Column, what: Column) -> Column:
@@ -38,16 +48,38 @@ def checked_cutoff(n: int, total: Column, cutoff: Column, what: Column) -> Colum
     return F.when(total >= n, cutoff).otherwise(F.raise_error(message).cast("string"))
 
 
-def _prefix_counts(df: DataFrame, seed: int, key: str, by: Sequence[str]) -> DataFrame:
+def _cutoffs(df: DataFrame, n: int, seed: int, key: str, by: Sequence[str]) -> DataFrame:
+    """Per group: the bucket of the n-th row (`_upto`), how many rows to take in it
+    (`_rest`), and all rows (`_total`).
+    """
+    counts = df.groupBy(*by, hash_bucket(seeded_hash(seed, key)).alias(_BUCKET)).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    running = F.sum("_n").over(Window.partitionBy(*by).orderBy(_BUCKET))
+    reached = F.when(F.col("_sum") >= n, F.struct(_BUCKET, (n - F.col("_sum") + F.col("_n")).alias("r")))
     return (
-        df.groupBy(*by, hash_prefix(seeded_hash(seed, key)).alias(_PREFIX))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn(
-            "upto", F.sum("n").over(Window.partitionBy(*by).orderBy(_PREFIX))
-        )
+        counts.withColumn("_sum", running)
+        .groupBy(*by)
+        .agg(F.min(reached).alias("_cut"), F.coalesce(F.max("_sum"), F.lit(0)).alias("_total"))
+        .select(*by, F.col(f"_cut.{_BUCKET}").alias("_upto"), F.col("_cut.r").alias("_rest"), "_total")
     )
 
 
+def _draw(near: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """The drawn rows of those up to the cutoff bucket, their group's cutoff attached."""
+    place = F.row_number().over(Window.partitionBy(*by, _BUCKET).orderBy(_HASH, key))
+    return (
+        near.withColumn("_place", place)
+        .filter((F.col(_BUCKET) < F.col("_upto")) | (F.col("_place") <= F.col("_rest")))
+        .drop("_place", "_upto", "_rest", _HASH, _BUCKET)
+    )
+
+
+def _hashed(df: DataFrame, seed: int, key: str) -> DataFrame:
+    h = seeded_hash(seed, key)
+    return df.withColumns({_HASH: h, _BUCKET: hash_bucket(h)})
+
+
 def balanced_sample(
     df: DataFrame,
     label: str,
@@ -58,11 +90,7 @@ def balanced_sample(
 ) -> DataFrame:
     """Exactly n rows per class without replacement; an error for a short class."""
     rows = df.filter(F.col(label).isin(*classes))
-    counts = _prefix_counts(rows.select(label, key), seed, key, [label])
-    reached = counts.groupBy(F.col(label).alias("_class")).agg(
-        F.min(F.when(F.col("upto") >= n_per_class, F.col(_PREFIX))).alias("_upto"),
-        F.max("upto").alias("_total"),
-    )
+    reached = _cutoffs(rows, n_per_class, seed, key, [label]).withColumnRenamed(label, "_class")
     wanted = df.select(F.col(label).alias("_class")).schema
     cutoffs = (
         df.sparkSession.createDataFrame([(c,) for c in classes], wanted)
@@ -75,34 +103,33 @@ def balanced_sample(
                 F.col("_upto"),
                 F.concat(F.lit(f"{label} = "), F.col("_class").cast("string")),
             ).alias("_upto"),
+            "_rest",
         )
     )
     # As many cutoffs as classes were named, so the broadcast is bounded.
     near = (
-        rows.withColumn(_HASH, seeded_hash(seed, key))
+        _hashed(rows, seed, key)
         .join(F.broadcast(cutoffs), F.col(label) == F.col("_class"))
-        .filter(hash_prefix(F.col(_HASH)) <= F.col("_upto"))
-        .drop("_class", "_upto")
-    )
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(_HASH, key))
-    return (
-        near.withColumn("_rank", rank).filter(F.col("_rank") <= n_per_class).drop("_rank", _HASH)
+        .filter(F.col(_BUCKET) <= F.col("_upto"))
+        .drop("_class")
     )
+    return _draw(near, [label], key)
 
 
 def uniform_sample(
     df: DataFrame, n: int, seed: int = SEED, key: str = "encounter_id"
 ) -> DataFrame:
     """Exactly n rows without replacement; an error when there are fewer."""
-    counts = _prefix_counts(df.select(key), seed, key, [])
-    cutoff = counts.agg(
-        F.min(F.when(F.col("upto") >= n, F.col(_PREFIX))).alias("_upto"),
-        F.coalesce(F.max("upto"), F.lit(0)).alias("_total"),
-    ).select(checked_cutoff(n, F.col("_total"), F.col("_upto"), F.lit("all rows")))
-    near = df.withColumn(_HASH, seeded_hash(seed, key)).filter(
-        hash_prefix(F.col(_HASH)) <= cutoff.scalar()
+    upto = checked_cutoff(n, F.col("_total"), F.col("_upto"), F.lit("all rows"))
+    cutoff = _cutoffs(df, n, seed, key, []).select(F.struct(upto.alias("u"), "_rest")).scalar()
+    near = (
+        _hashed(df, seed, key)
+        .withColumn("_cut", cutoff)
+        .filter(F.col(_BUCKET) <= F.col("_cut.u"))
+        .select("*", F.col("_cut.u").alias("_upto"), "_cut._rest")
+        .drop("_cut")
     )
-    return near.orderBy(_HASH, key).limit(n).drop(_HASH)
+    return _draw(near, [], key)
 
 
 def shuffle(
@@ -117,15 +144,15 @@ def shuffle(
     h = seeded_hash(seed, key)
     if position is None:
         return df.orderBy(h, key)
-    rows = df.withColumn(_HASH, h).withColumn(_PREFIX, F.substring(_HASH, 1, NUMBER_DIGITS))
-    counts = rows.groupBy(_PREFIX).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(_PREFIX)) - F.col("_n")
-    starts = counts.select(_PREFIX, before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy(_PREFIX).orderBy(_HASH, key))
+    rows = df.withColumn(_HASH, h).withColumn(_BUCKET, F.substring(_HASH, 1, NUMBER_DIGITS))
+    counts = rows.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(_BUCKET)) - F.col("_n")
+    starts = counts.select(_BUCKET, before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(_BUCKET).orderBy(_HASH, key))
     return (
-        rows.join(F.broadcast(starts), _PREFIX)
+        rows.join(F.broadcast(starts), _BUCKET)
         .withColumn(position, F.col("_before") + place)
-        .drop(_PREFIX, _HASH, "_before")
+        .drop(_BUCKET, _HASH, "_before")
     )
 
 

@@ -100,3 +100,11 @@ def salted_join(
 def is_hot(df: DataFrame, key: str, hot: DataFrame, how: str) -> DataFrame:
     """Rows of hot keys (`left_semi`) or of all others (`left_anti`), where they are."""
     return df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col(_HOT_KEY)), how)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark `df` for broadcast when it has at most `max_rows` rows, which is counted.
+
+    For stored tables or tables of literals, where counting is cheap.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caseflow.fixed_values import (
     ADULT_AGE,
@@ -25,7 +26,7 @@ from caseflow.operators.frame import merge, parse_timestamps, split_by_age
 from caseflow.operators.orders import collect_per_key, first_parts, orders_during_visit
 from caseflow.operators.profile import cohort_stats
 from caseflow.operators.skew import FAN, MIN_HOT_ROWS, SALT, hot_keys, salted_join, spread_join
-from caseflow.schemas import require_columns
+from caseflow.schemas import NOTE_METADATA, VISITS, require_columns
 from caseflow.sources import stage_table
 
 VISIT_TIMES = ("arrival_datetime", "departure_datetime")
@@ -187,10 +188,11 @@ def build_cohort(
     """
     for name in ("visits", "patients", "durations", "note_metadata", "note_text"):
         require_columns(tables[name], _NEEDED[name], name)
-    metadata = provider_notes(tables["note_metadata"], specialties)
-    visits = adult_visits(tables["visits"], tables["durations"])
+    metadata = _known(provider_notes(tables["note_metadata"], specialties), NOTE_METADATA)
+    visits = adult_visits(_known(tables["visits"], VISITS), tables["durations"])
     hot = hot_keys(metadata, "encounter_id", min_hot)
-    notes = visit_notes(add_demographics(visits, tables["patients"]), metadata, hot)
+    described = add_demographics(visits, tables["patients"])
+    notes = visit_notes(described, metadata, hot)
 
     imaging = imaging_lists(tables["imaging"], visits, min_hot=min_hot)
     medications = medication_lists(
@@ -218,6 +220,11 @@ _NEEDED = {
 }
 
 
+def _known(df: DataFrame, schema: StructType) -> DataFrame:
+    """The columns of `schema` that are there, and no others."""
+    return df.select(*[c for c in schema.names if c in df.columns])
+
+
 def funnel(steps: Mapping[str, Column], df: DataFrame) -> DataFrame:
     """Rows, patients and visits left after each filter, all from one scan.
 

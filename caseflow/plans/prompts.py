@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from caseflow.fixed_values import PROMPT_COLUMNS, VARIANTS
 from caseflow.functions.text import build_prompt
+from caseflow.operators.skew import broadcast_if_small
 
 FORWARD, REVERSED = "forward", "reversed"
+MAX_TEMPLATES = 1_000  # rows to broadcast; there are 24
 
 ROLE = "Act as the physician of an emergency department who reads the note below."
 STEPS = "Reason step by step."
@@ -65,8 +67,7 @@ def template_table(spark: SparkSession) -> DataFrame:
 def build_prompts(task_sets: DataFrame, templates: DataFrame) -> DataFrame:
     """One prompt column per variant.
 
-    The templates of a task and order become one row, a few dozen rows in all, and
-    are broadcast to the sets.
+    The templates of a task and order become one row.
     """
     wide = (
         templates.groupBy("task", "prompt_order")
@@ -77,5 +78,5 @@ def build_prompts(task_sets: DataFrame, templates: DataFrame) -> DataFrame:
         name: build_prompt(F.col(str(v)), "history_text", "examination_text")
         for v, name in zip(VARIANTS, PROMPT_COLUMNS)
     }
-    joined = task_sets.join(F.broadcast(wide), ["task", "prompt_order"])
+    joined = task_sets.join(broadcast_if_small(wide, MAX_TEMPLATES), ["task", "prompt_order"])
     return joined.withColumns(prompts).drop(*[str(v) for v in VARIANTS])

@@ -16,11 +16,12 @@ from caseflow.fixed_values import (
     UNBALANCED_ROWS,
     YES_NO,
 )
+from caseflow.functions.text import build_prompt
 from caseflow.functions.values import map_codes
 from caseflow.operators.dedupe import first_by
-from caseflow.operators.sampling import checked_cutoff, hash_prefix, seeded_hash
-from caseflow.plans.prompts import FORWARD, REVERSED
-from caseflow.functions.text import build_prompt
+from caseflow.operators.sampling import checked_cutoff, hash_bucket, seeded_hash
+from caseflow.operators.skew import broadcast_if_small
+from caseflow.plans.prompts import FORWARD, MAX_TEMPLATES, REVERSED
 from caseflow.schemas import KEYS
 
 BALANCED, UNBALANCED = "balanced", "unbalanced"
@@ -52,7 +53,7 @@ def task_sets(prepared: DataFrame, spec: SampleSpec = SampleSpec()) -> DataFrame
     balanced draw, `reversed` the same rows for the reversed prompts.
 
     `prepared` is read twice in all, not once per set: one narrow pass counts rows
-    per hash prefix for every set at once, a second keeps the rows any set draws.
+    per hash bucket for every set at once, a second keeps the rows any set draws.
     """
     values = {f"_y{i}": outcome_value(prepared, c) for i, c in enumerate(spec.outcomes.values())}
     key = "encounter_id"
@@ -67,14 +68,14 @@ def task_sets(prepared: DataFrame, spec: SampleSpec = SampleSpec()) -> DataFrame
     def member(y: str | None, value: int | None) -> Column:
         return F.lit(True) if y is None else F.col(y) == value
 
-    prefix = hash_prefix(F.col("_hash")).alias("_prefix")
-    per_prefix = rows.groupBy(prefix).agg(
+    bucket = hash_bucket(F.col("_hash")).alias("_bucket")
+    per_bucket = rows.groupBy(bucket).agg(
         *[F.count(F.when(member(y, v), 1)).alias(n) for n, (y, v, _) in draws.items()]
     )
-    running = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
-    upto = per_prefix.select("_prefix", *[F.sum(n).over(running).alias(n) for n in draws])
+    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto = per_bucket.select("_bucket", *[F.sum(n).over(running).alias(n) for n in draws])
     cutoff = upto.agg(
-        *[F.min(F.when(F.col(n) >= size, F.col("_prefix"))).alias(n) for n, (*_, size) in draws.items()],
+        *[F.min(F.when(F.col(n) >= size, F.col("_bucket"))).alias(n) for n, (*_, size) in draws.items()],
         *[F.coalesce(F.max(n), F.lit(0)).alias(f"{n}_total") for n in draws],
     )
     checked = cutoff.select(
@@ -92,7 +93,7 @@ def task_sets(prepared: DataFrame, spec: SampleSpec = SampleSpec()) -> DataFrame
         F.array_compact(
             F.array(
                 *[
-                    F.when(member(y, v) & (hash_prefix(F.col("_hash")) <= F.col(f"_cut.{n}")), F.lit(n))
+                    F.when(member(y, v) & (hash_bucket(F.col("_hash")) <= F.col(f"_cut.{n}")), F.lit(n))
                     for n, (y, v, _) in draws.items()
                 ]
             )
@@ -152,11 +153,11 @@ def _numbered(drawn: DataFrame, spec: SampleSpec) -> DataFrame:
 def scoring_requests(sets: DataFrame, templates: DataFrame) -> DataFrame:
     """Row per set, encounter and prompt variant, with the prompt to be sent.
 
-    An encounter listed twice in a set keeps its last row. Templates, a few dozen
-    rows, are broadcast and joined on task and order.
+    An encounter listed twice in a set keeps its last row.
     """
     last = first_by(sets, ["task", "sample", "encounter_id"], [F.col("position").desc()])
-    return last.join(F.broadcast(templates), ["task", "prompt_order"]).select(
+    few = broadcast_if_small(templates, MAX_TEMPLATES)
+    return last.join(few, ["task", "prompt_order"]).select(
         "task",
         "sample",
         "encounter_id",

@@ -13,6 +13,7 @@ from caseflow.operators.profile import (
     count_notnull,
     count_null,
     crosstab_margins,
+    crosstab_wide,
     distributions,
     histogram,
     null_profile,
@@ -278,6 +279,17 @@ def crosstab(spark, sf_dir):
     )
 
 
+@query(
+    "crosstab_wide",
+    """SELECT CASE WHEN grouping(lang) = 1 THEN 'All' ELSE lang END AS lang,
+         count(*) FILTER (quality = 0) AS "0", count(*) FILTER (quality = 1) AS "1", count(*) AS "All"
+       FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)""",
+)
+def grid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return crosstab_wide(docs.join(table(spark, sf_dir, "labels"), "doc_id"), "lang", "quality", [0, 1])
+
+
 @query(
     "confusion",
     """SELECT lang, count(*) FILTER (quality = 1 AND toxic = 1) AS TP,

@@ -30,6 +30,7 @@ from caseflow.operators.frame import (
 from caseflow.operators.profile import (
     column_equality,
     crosstab_margins,
+    crosstab_wide,
     distributions,
     histogram,
     null_profile,
@@ -161,6 +162,12 @@ def test_crosstab_margins(spark):
          ("All", "0", 3), ("All", "1", 1), ("All", "All", 4)], key=str)
 
 
+def test_crosstab_wide(spark):
+    data = [("1", 0), ("1", 0), ("0", 0), (None, 1), ("1", None)]
+    out = rows(crosstab_wide(spark.createDataFrame(data, "a string, b int"), "a", "b", [0, 1]))
+    assert out == [("0", 1, 0, 1), ("1", 2, 0, 2), ("All", 3, 0, 3)]
+
+
 def test_first_note_order(spark):
     data = [
         ("e1", "2020-01-02", "long later note", "n1"),

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseflow.operators import sampling
 from caseflow.operators.sampling import (
     balanced_sample,
+    hash_bucket,
     labelling_sample,
     sample_df,
     shuffle,
@@ -72,8 +75,8 @@ def test_uniform(cases, n):
     assert keys_of(uniform_sample(cases, n)) == first([f"e{i}" for i in range(N)], n)
 
 
-def test_few_prefixes_change_nothing(cases, monkeypatch):
-    monkeypatch.setattr(sampling, "PREFIX_DIGITS", 1)
+def test_coarse_buckets_change_nothing(cases, monkeypatch):
+    monkeypatch.setattr(sampling, "BUCKET_DIGITS", 1)
     monkeypatch.setattr(sampling, "NUMBER_DIGITS", 1)
     assert keys_of(uniform_sample(cases, 333)) == first([f"e{i}" for i in range(N)], 333)
     places = {r.encounter_id: r.place for r in shuffle(cases, position="place").collect()}
@@ -100,12 +103,22 @@ def test_sample_df(cases):
     assert sample_df(cases, 10 * N).count() == N
 
 
+def test_buckets_follow_the_hash_order(spark):
+    rng = random.Random(2)
+    hashes = [f"{rng.getrandbits(rng.randint(1, 128)):032x}" for _ in range(3000)] + ["0" * 32]
+    df = spark.createDataFrame([(x,) for x in hashes], "h string").select("h", hash_bucket(F.col("h")).alias("b"))
+    buckets = [b for _, b in sorted(tuple(r) for r in df.collect())]
+    assert buckets == sorted(buckets) and len(set(buckets)) > 1000
+
+
 def test_only_rows_near_the_cut_are_ranked(cases):
-    """Rows are cut by hash prefix before the rank, and counted without their text."""
+    """Rows are cut by hash bucket before the rank, and counted without their text."""
     plan = plan_of(balanced_sample(cases, "y", 10))
-    ranked = plan.index("row_number()")
-    cut = re.search(r"\(substring\(.*, 1, 5\) <= _upto#", plan)
-    assert cut is not None and ranked < cut.start()
-    counted = next(l for l in plan.splitlines() if "partial_count" in l)
+    lines = plan.splitlines()
+    ranked = next(i for i, l in enumerate(lines) if "row_number()" in l)
+    cut = next(i for i, l in enumerate(lines) if re.search(r"Join.*_bucket#\d+ <= _upto#", l))
+    assert ranked < cut  # the plan reads from the bottom up
+    assert re.search(r"hashpartitioning\(y#\d+, _bucket#\d+", plan)  # no class in one task
+    counted = next(l for l in lines if "partial_count" in l)
     assert "text#" not in counted
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan

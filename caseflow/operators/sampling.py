@@ -9,12 +9,14 @@ none of later ones, and only within that one bucket does the rank decide.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from caseflow.fixed_values import LABELLING_ROWS, SEED
+from caseflow.functions.values import map_codes
 
 BUCKET_DIGITS = 3  # hex digits after the leading zeros
 NUMBER_DIGITS = 4  # 16**4 hash prefixes, few enough to broadcast their counts
@@ -40,15 +42,20 @@ def hash_bucket(h: Column) -> Column:
     )
 
 
-def checked_cutoff(n: int, total: Column, cutoff: Column, what: Column) -> Column:
+def _checked(n: Column, total: Column, cutoff: Column, what: Column) -> Column:
     """The cutoff, or an error when fewer than n rows are there to draw from."""
     message = F.concat(
-        F.lit(f"cannot draw {n} rows from "), total.cast("string"), F.lit(" of "), what
+        F.lit("cannot draw "),
+        n.cast("string"),
+        F.lit(" rows from "),
+        total.cast("string"),
+        F.lit(" of "),
+        what,
     )
     return F.when(total >= n, cutoff).otherwise(F.raise_error(message).cast("string"))
 
 
-def _cutoffs(df: DataFrame, n: int, seed: int, key: str, by: Sequence[str]) -> DataFrame:
+def _cutoffs(df: DataFrame, n: Column, seed: int, key: str, by: Sequence[str]) -> DataFrame:
     """Per group: the bucket of the n-th row (`_upto`), how many rows to take in it
     (`_rest`), and all rows (`_total`).
     """
@@ -56,7 +63,8 @@ def _cutoffs(df: DataFrame, n: int, seed: int, key: str, by: Sequence[str]) -> D
         F.count(F.lit(1)).alias("_n")
     )
     running = F.sum("_n").over(Window.partitionBy(*by).orderBy(_BUCKET))
-    reached = F.when(F.col("_sum") >= n, F.struct(_BUCKET, (n - F.col("_sum") + F.col("_n")).alias("r")))
+    rest = (n - F.col("_sum") + F.col("_n")).alias("r")
+    reached = F.when(F.col("_sum") >= n, F.struct(_BUCKET, rest))
     return (
         counts.withColumn("_sum", running)
         .groupBy(*by)
@@ -65,7 +73,12 @@ def _cutoffs(df: DataFrame, n: int, seed: int, key: str, by: Sequence[str]) -> D
     )
 
 
-def _draw(near: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+def _hashed(df: DataFrame, seed: int, key: str) -> DataFrame:
+    h = seeded_hash(seed, key)
+    return df.withColumns({_HASH: h, _BUCKET: hash_bucket(h)})
+
+
+def _take(near: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """The drawn rows of those up to the cutoff bucket, their group's cutoff attached."""
     place = F.row_number().over(Window.partitionBy(*by, _BUCKET).orderBy(_HASH, key))
     return (
@@ -75,9 +88,29 @@ def _draw(near: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     )
 
 
-def _hashed(df: DataFrame, seed: int, key: str) -> DataFrame:
-    h = seeded_hash(seed, key)
-    return df.withColumns({_HASH: h, _BUCKET: hash_bucket(h)})
+def draw_per_group(
+    df: DataFrame, group: str, sizes: Mapping, seed: int = SEED, key: str = "encounter_id"
+) -> DataFrame:
+    """Exactly `sizes[g]` rows of each group g without replacement, no others; an error
+    for a group with fewer.
+    """
+    schema = StructType([StructField("_group", df.schema[group].dataType), StructField("_size", LongType())])
+    wanted = df.sparkSession.createDataFrame(list(sizes.items()), schema)
+    rows = df.filter(F.col(group).isin(*sizes))
+    reached = _cutoffs(rows.select(group, key), map_codes(group, sizes), seed, key, [group])
+    what = F.concat(F.lit(f"{group} = "), F.col("_group").cast("string"))
+    total = F.coalesce("_total", F.lit(0))
+    cutoffs = wanted.join(reached, F.col("_group") == F.col(group), "left").select(
+        "_group", _checked(F.col("_size"), total, F.col("_upto"), what).alias("_upto"), "_rest"
+    )
+    # As many cutoffs as groups were named, so the broadcast is bounded.
+    near = (
+        _hashed(rows, seed, key)
+        .join(F.broadcast(cutoffs), F.col(group) == F.col("_group"))
+        .filter(F.col(_BUCKET) <= F.col("_upto"))
+        .drop("_group")
+    )
+    return _take(near, [group], key)
 
 
 def balanced_sample(
@@ -89,39 +122,16 @@ def balanced_sample(
     classes: Sequence = (1, 0),
 ) -> DataFrame:
     """Exactly n rows per class without replacement; an error for a short class."""
-    rows = df.filter(F.col(label).isin(*classes))
-    reached = _cutoffs(rows, n_per_class, seed, key, [label]).withColumnRenamed(label, "_class")
-    wanted = df.select(F.col(label).alias("_class")).schema
-    cutoffs = (
-        df.sparkSession.createDataFrame([(c,) for c in classes], wanted)
-        .join(reached, "_class", "left")
-        .select(
-            "_class",
-            checked_cutoff(
-                n_per_class,
-                F.coalesce("_total", F.lit(0)),
-                F.col("_upto"),
-                F.concat(F.lit(f"{label} = "), F.col("_class").cast("string")),
-            ).alias("_upto"),
-            "_rest",
-        )
-    )
-    # As many cutoffs as classes were named, so the broadcast is bounded.
-    near = (
-        _hashed(rows, seed, key)
-        .join(F.broadcast(cutoffs), F.col(label) == F.col("_class"))
-        .filter(F.col(_BUCKET) <= F.col("_upto"))
-        .drop("_class")
-    )
-    return _draw(near, [label], key)
+    return draw_per_group(df, label, {c: n_per_class for c in classes}, seed, key)
 
 
 def uniform_sample(
     df: DataFrame, n: int, seed: int = SEED, key: str = "encounter_id"
 ) -> DataFrame:
     """Exactly n rows without replacement; an error when there are fewer."""
-    upto = checked_cutoff(n, F.col("_total"), F.col("_upto"), F.lit("all rows"))
-    cutoff = _cutoffs(df, n, seed, key, []).select(F.struct(upto.alias("u"), "_rest")).scalar()
+    upto = _checked(F.lit(n), F.col("_total"), F.col("_upto"), F.lit("all rows"))
+    reached = _cutoffs(df.select(key), F.lit(n), seed, key, [])
+    cutoff = reached.select(F.struct(upto.alias("u"), "_rest")).scalar()
     near = (
         _hashed(df, seed, key)
         .withColumn("_cut", cutoff)
@@ -129,7 +139,7 @@ def uniform_sample(
         .select("*", F.col("_cut.u").alias("_upto"), "_cut._rest")
         .drop("_cut")
     )
-    return _draw(near, [], key)
+    return _take(near, [], key)
 
 
 def shuffle(

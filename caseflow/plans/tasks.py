@@ -19,7 +19,7 @@ from caseflow.fixed_values import (
 from caseflow.functions.text import build_prompt
 from caseflow.functions.values import map_codes
 from caseflow.operators.dedupe import first_by
-from caseflow.operators.sampling import checked_cutoff, hash_bucket, seeded_hash
+from caseflow.operators.sampling import draw_per_group, seeded_hash
 from caseflow.operators.skew import broadcast_if_small
 from caseflow.plans.prompts import FORWARD, MAX_TEMPLATES, REVERSED
 from caseflow.schemas import KEYS
@@ -52,102 +52,54 @@ def task_sets(prepared: DataFrame, spec: SampleSpec = SampleSpec()) -> DataFrame
     same draw from all rows for every task. `labelling` is the shuffled start of the
     balanced draw, `reversed` the same rows for the reversed prompts.
 
-    `prepared` is read twice in all, not once per set: one narrow pass counts rows
-    per hash bucket for every set at once, a second keeps the rows any set draws.
+    Every row belongs to the draws of its outcomes, and all draws are made together:
+    `prepared` is read twice, not once per set, first without its texts.
     """
-    values = {f"_y{i}": outcome_value(prepared, c) for i, c in enumerate(spec.outcomes.values())}
-    key = "encounter_id"
-    rows = prepared.select(*KEYS, *TEXTS, *[v.alias(n) for n, v in values.items()])
-    rows = rows.withColumn("_hash", seeded_hash(spec.seed, key))
-
-    draws = {"all": (None, None, spec.unbalanced)}
-    for i, task in enumerate(spec.outcomes):
+    sizes = {"all": spec.unbalanced}
+    uses = [("all", task, UNBALANCED, FORWARD) for task in spec.outcomes]
+    for task in spec.outcomes:
         for value in (1, 0):
-            draws[f"{task}_{value}"] = (f"_y{i}", value, spec.per_class)
-
-    def member(y: str | None, value: int | None) -> Column:
-        return F.lit(True) if y is None else F.col(y) == value
-
-    bucket = hash_bucket(F.col("_hash")).alias("_bucket")
-    per_bucket = rows.groupBy(bucket).agg(
-        *[F.count(F.when(member(y, v), 1)).alias(n) for n, (y, v, _) in draws.items()]
-    )
-    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    upto = per_bucket.select("_bucket", *[F.sum(n).over(running).alias(n) for n in draws])
-    cutoff = upto.agg(
-        *[F.min(F.when(F.col(n) >= size, F.col("_bucket"))).alias(n) for n, (*_, size) in draws.items()],
-        *[F.coalesce(F.max(n), F.lit(0)).alias(f"{n}_total") for n in draws],
-    )
-    checked = cutoff.select(
-        F.struct(
-            *[
-                checked_cutoff(size, F.col(f"{n}_total"), F.col(n), F.lit(n)).alias(n)
-                for n, (*_, size) in draws.items()
+            sizes[f"{task} {value}"] = spec.per_class
+            sizes[f"first {task} {value}"] = spec.labelling // 2
+            uses += [
+                (f"{task} {value}", task, BALANCED, FORWARD),
+                (f"first {task} {value}", task, LABELLING, FORWARD),
+                (f"first {task} {value}", task, REVERSED_SAMPLE, REVERSED),
             ]
-        )
-    ).scalar()
-
-    # Rows near enough to the start of the hash order for any of the draws.
-    marked = rows.withColumn("_cut", checked).withColumn(
-        "_draws",
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(member(y, v) & (hash_bucket(F.col("_hash")) <= F.col(f"_cut.{n}")), F.lit(n))
-                    for n, (y, v, _) in draws.items()
-                ]
-            )
-        ),
+
+    outcomes = {t: outcome_value(prepared, c) for t, c in spec.outcomes.items()}
+    rows = prepared.select(*KEYS, *TEXTS, *[y.alias(f"_{t}") for t, y in outcomes.items()])
+    draws = [F.lit("all")]
+    for task in spec.outcomes:
+        # NULL, and dropped, where the outcome is missing.
+        draws += [F.concat(F.lit(f"{kind}{task} "), F.col(f"_{task}")) for kind in ("", "first ")]
+    members = rows.withColumn("draw", F.explode(F.array_compact(F.array(*draws))))
+    drawn = draw_per_group(members, "draw", sizes, spec.seed, "encounter_id")
+
+    # A table of literals, one row per use of a draw.
+    used = prepared.sparkSession.createDataFrame(
+        uses, "draw string, task string, sample string, prompt_order string"
     )
-    near = marked.drop("_cut").withColumn("_draw", F.explode("_draws")).drop("_draws")
-    rank = F.row_number().over(Window.partitionBy("_draw").orderBy("_hash", key))
-    size = F.when(F.col("_draw") == "all", spec.unbalanced).otherwise(spec.per_class)
-    drawn = near.withColumn("_rank", rank).filter(F.col("_rank") <= size)
-    return _numbered(drawn, spec)
-
-
-def _numbered(drawn: DataFrame, spec: SampleSpec) -> DataFrame:
-    """Give every drawn row its sets, and its position in each of them."""
-    half = spec.labelling // 2
-    sets = []
-    for i, task in enumerate(spec.outcomes):
-        y = F.col(f"_y{i}").alias("outcome")
-        own = F.col("_draw").isin(f"{task}_1", f"{task}_0")
-
-        def entry(condition, sample, order, task=task, y=y):
-            return F.when(
-                condition,
-                F.struct(
-                    F.lit(task).alias("task"),
-                    F.lit(sample).alias("sample"),
-                    F.lit(order).alias("prompt_order"),
-                    y,
-                ),
-            )
-
-        labelled = own & (F.col("_rank") <= half)
-        sets += [
-            entry(own, BALANCED, FORWARD),
-            entry(F.col("_draw") == "all", UNBALANCED, FORWARD),
-            entry(labelled, LABELLING, FORWARD),
-            entry(labelled, REVERSED_SAMPLE, REVERSED),
-        ]
-    placed = drawn.withColumn("_set", F.explode(F.array_compact(F.array(*sets)))).select(
-        "_set.*", *KEYS, *TEXTS, "_hash"
+    outcome = F.coalesce(*[F.when(F.col("task") == t, F.col(f"_{t}")) for t in spec.outcomes])
+    placed = drawn.join(F.broadcast(used), "draw").withColumn("outcome", outcome)
+    return placed.withColumn("position", _position(spec.seed)).select(
+        "task", "sample", "prompt_order", "position", *KEYS, "outcome", *TEXTS
     )
-    # The labelling sets are shuffled, so that the outcome cannot be read off the
-    # order; balanced sets list the positive class first.
+
+
+def _position(seed: int) -> Column:
+    """Place of a row in its set. Labelling sets are shuffled anew, so that the
+    outcome cannot be read off the order; balanced sets list the positive class first.
+    """
     shuffled = F.col("sample").isin(LABELLING, REVERSED_SAMPLE)
-    place = F.row_number().over(
-        Window.partitionBy("task", "sample").orderBy(
-            F.when(F.col("sample") == BALANCED, -F.col("outcome")).otherwise(0),
-            F.when(shuffled, seeded_hash(spec.seed + 1, "encounter_id")).otherwise(F.col("_hash")),
-            "encounter_id",
-        )
-    )
-    return placed.withColumn("position", place).select(
-        "task", "sample", "prompt_order", "position", *KEYS, "outcome", *TEXTS
+    place = Window.partitionBy("task", "sample").orderBy(
+        F.when(F.col("sample") == BALANCED, -F.col("outcome")).otherwise(0),
+        F.when(shuffled, seeded_hash(seed + 1, "encounter_id")).otherwise(
+            seeded_hash(seed, "encounter_id")
+        ),
+        "encounter_id",
     )
+    return F.row_number().over(place)
 
 
 def scoring_requests(sets: DataFrame, templates: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from caseflow.operators.skew import (
     spread_hot,
 )
 
-PART_ROWS = 10_000
+PART_ROWS = 1_000
 
 
 def orders_during_visit(
@@ -34,14 +34,17 @@ def orders_during_visit(
 ) -> DataFrame:
     """Orders of a visit with start <= time <= end, visit times attached.
 
-    The interval is part of the join condition. With `dedupe` a visit counts once;
-    without, an order comes back once per row of its visit. The result is partitioned
+    The interval is part of the join condition. With `dedupe` a visit counts once.
+    Without, every row of the visit counts: an order then comes with the number of
+    rows it goes with as `copies`, instead of being repeated. The result is partitioned
     on the visit and its salt, which stay in it for `collect_per_key`.
     """
     hot = hot_keys(orders, key) if hot is None else hot
     times = visits.select(key, start, end)
     if dedupe:
         times = drop_duplicates(times, [key], [start, end])
+    else:
+        times = times.groupBy(key, start, end).agg(F.count(F.lit(1)).alias("copies"))
     return salted_join(
         spread_hot(orders, key, order_key, hot),
         times,

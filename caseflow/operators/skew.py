@@ -40,7 +40,8 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame
     )
 
 
-def _with_fan(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def with_fan(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Add the number of salts of each row's key, NULL unless it is hot."""
     return df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col(_HOT_KEY)), "left").drop(_HOT_KEY)
 
 
@@ -52,7 +53,7 @@ def spread_hot(df: DataFrame, key: str, row_key: str | Column, hot: DataFrame) -
     fan = F.coalesce(F.col(FAN), F.lit(1))
     # Never NULL, and said to be so: else the join would test the hash for NULL first.
     salt = F.coalesce(F.pmod(F.xxhash64(row_key), fan).cast("int"), F.lit(0))
-    return _with_fan(df, key, hot).withColumns({SALT: salt, FAN: fan})
+    return with_fan(df, key, hot).withColumns({SALT: salt, FAN: fan})
 
 
 def copy_hot(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def copy_hot(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     For sides with one row (or a bounded number of rows) per key.
     """
     salts = F.sequence(F.lit(0), F.coalesce(F.col(FAN), F.lit(1)) - 1)
-    return _with_fan(df, key, hot).withColumn(SALT, F.explode(salts)).drop(FAN)
+    return with_fan(df, key, hot).withColumn(SALT, F.explode(salts)).drop(FAN)
 
 
 def spread_join(

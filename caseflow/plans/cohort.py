@@ -23,9 +23,22 @@ from caseflow.functions.values import (
     starts_with_any,
 )
 from caseflow.operators.frame import merge, parse_timestamps, split_by_age
-from caseflow.operators.orders import collect_per_key, first_parts, orders_during_visit
+from caseflow.operators.orders import (
+    PART_ROWS,
+    collect_per_key,
+    first_parts,
+    orders_during_visit,
+)
 from caseflow.operators.profile import cohort_stats
-from caseflow.operators.skew import FAN, MIN_HOT_ROWS, SALT, hot_keys, salted_join, spread_join
+from caseflow.operators.skew import (
+    FAN,
+    MIN_HOT_ROWS,
+    SALT,
+    hot_keys,
+    salted_join,
+    spread_join,
+    with_fan,
+)
 from caseflow.schemas import NOTE_METADATA, VISITS, require_columns
 from caseflow.sources import stage_table
 
@@ -102,13 +115,10 @@ def medication_lists(
     medications: DataFrame,
     visits: DataFrame,
     therapeutic_class: str = MEDICATION_CLASS,
-    per_note: bool = False,
     min_hot: int = MIN_HOT_ROWS,
 ) -> DataFrame:
-    """Medication orders placed during each visit, as three `_abx_list` columns.
-
-    With `per_note` the rows of `visits` are not reduced to one per visit, and an
-    order is listed once for each of them.
+    """Medication orders placed during each visit: encounter_id, part, and the orders
+    as three `_abx_list` columns.
     """
     wanted = medications.filter(F.col("medicationtherapeuticclass") == therapeutic_class)
     timed = wanted.select(
@@ -124,7 +134,6 @@ def medication_lists(
         visits,
         "medicationorder_datetime",
         "medicationorderkey",
-        dedupe=not per_note,
         hot=hot_keys(wanted, "encounter_id", min_hot),
     )
     return collect_per_key(
@@ -136,13 +145,37 @@ def medication_lists(
     )
 
 
-def add_order_lists(notes: DataFrame, lists: DataFrame, parts: str, hot: DataFrame | None = None) -> DataFrame:
-    """Attach the list columns of each visit to its notes; notes without stay.
+def add_order_lists(
+    notes: DataFrame,
+    lists: DataFrame,
+    parts: str,
+    hot: DataFrame | None = None,
+    copies: DataFrame | None = None,
+) -> DataFrame:
+    """Attach the order lists of each visit to its notes; notes without stay.
 
-    `parts` names the number of parts of the visit's list. It is 1 but for visits
-    with more orders than one list holds, whose further parts are in `lists`.
+    `parts` names a column with the number of parts of the visit's list, NULL where
+    nothing was ordered. A list of one part is attached whole. A longer one is not
+    repeated on every note, and neither is any list of a visit with a great many notes
+    (`hot`): it is NULL on the notes, with `parts` filled, and stays in `lists`.
+
+    `copies` (encounter_id, copies) has every entry repeated that many times, as far as
+    the result still fits one part.
     """
     whole = first_parts(lists, "encounter_id", parts)
+    names = [c for c in whole.columns if c not in ("encounter_id", parts)]
+    fits, entry = F.col(parts) == 1, {c: F.col(c) for c in names}
+    if hot is not None:
+        whole = with_fan(whole, "encounter_id", hot)
+        fits = fits & F.col(FAN).isNull()
+    if copies is not None:
+        whole = whole.join(copies, "encounter_id", "left")
+        n = F.col("copies").cast("int")
+        fits = fits & (F.size(names[0]) * F.col("copies") <= PART_ROWS)
+        entry = {c: F.flatten(F.transform(c, lambda x: F.array_repeat(x, n))) for c in names}
+    whole = whole.select(
+        "encounter_id", *[F.when(fits, entry[c]).alias(c) for c in names], parts
+    )
     if hot is None:
         return merge(notes, whole, "encounter_id", "encounter_id", "left")
     return salted_join(notes, whole, "encounter_id", hot, "left")
@@ -180,7 +213,8 @@ def build_cohort(
     Note text is by far the widest column, so it is joined last, to the notes that
     are left. Until then notes move once: the visit and both order lists are joined
     on the partitioning the notes already have. `orders_per_note` lists a medication
-    order once per note of its visit instead of once.
+    order once per note of its visit instead of once. Very long lists are not attached
+    (`add_order_lists`).
 
     With `stage` the notes are written to the shared folder before their text is
     joined. Their number is then known, and texts that no note needs are not moved;
@@ -195,15 +229,13 @@ def build_cohort(
     notes = visit_notes(described, metadata, hot)
 
     imaging = imaging_lists(tables["imaging"], visits, min_hot=min_hot)
-    medications = medication_lists(
-        tables["medications"],
-        notes if orders_per_note else visits,
-        per_note=orders_per_note,
-        min_hot=min_hot,
-    )
+    medications = medication_lists(tables["medications"], visits, min_hot=min_hot)
+    copies = None
+    if orders_per_note:
+        copies = notes.groupBy("encounter_id").agg(F.count(F.lit(1)).alias("copies"))
     notes = add_order_lists(notes, imaging, "imaging_orders_parts", hot)
-    notes = add_order_lists(notes, medications, "abx_list_parts", hot)
-    notes = notes.withColumn("abx_ordered_ed", flag_present("medicationorderkey_abx_list"))
+    notes = add_order_lists(notes, medications, "abx_list_parts", hot, copies)
+    notes = notes.withColumn("abx_ordered_ed", flag_present("abx_list_parts"))
     notes, text = notes.drop(SALT, FAN), tables["note_text"]
     if stage:
         notes = stage_table(notes)

@@ -148,6 +148,6 @@ def prepare_notes(
         {
             "history_examination_text_tokens": F.col("history_text_tokens")
             + F.col("examination_text_tokens"),
-            "imaging_orders_binary": flag_present("imaging_orders"),
+            "imaging_orders_binary": flag_present("imaging_orders_parts"),
         }
     )

@@ -152,9 +152,7 @@ def interval_fanout(spark, sf_dir):
     placed = orders_during_visit(
         _timed_medications(spark, sf_dir), notes, "ordered", "medicationorderkey", dedupe=False
     )
-    return placed.groupBy("encounter_id", "medicationorderkey").agg(
-        F.count(F.lit(1)).alias("copies")
-    )
+    return placed.select("encounter_id", "medicationorderkey", "copies")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,16 @@ from caseflow.fixed_values import LABEL_COLUMNS, PROMPT_COLUMNS
 from caseflow.operators.frame import same_keys
 from caseflow.operators.profile import cohort_stats
 from caseflow.plans.answers import ingest_responses
-from caseflow.plans.cohort import add_site_label, build_cohort, funnel, text_of
+from caseflow.operators.orders import collect_per_key
+from caseflow.plans import cohort as cohort_plan
+from caseflow.plans.cohort import (
+    add_site_label,
+    adult_visits,
+    build_cohort,
+    funnel,
+    imaging_lists,
+    text_of,
+)
 from caseflow.plans.notes import prepare_notes, sectioned_notes
 from caseflow.plans.prompts import QUESTIONS, build_prompts, template_rows, template_table
 from caseflow.plans.reports import main_report, sensitivity_report, unbalanced_report, word_counts
@@ -87,6 +97,31 @@ def test_orders_per_note(tables):
     assert per_note["n14"].medicationorderkey_abx_list == ["m8"]
 
 
+def test_long_lists_and_hot_visits(spark, tables, monkeypatch):
+    """Lists of several parts, and lists of visits with many notes, stay apart."""
+    monkeypatch.setattr(cohort_plan, "collect_per_key", partial(collect_per_key, part_rows=2))
+    rows = {r.note_id: r for r in build_cohort(tables, SPECIALTIES).collect()}
+    assert (rows["n5a"].imaging_orders, rows["n5a"].imaging_orders_parts) == (None, 2)
+    assert rows["n13"].imaging_orders == ["US ABD", "IR CT BX"]
+    assert rows["n5a"].medicationorderkey_abx_list == ["m1", "m2"] and rows["n5a"].abx_list_parts == 1
+    visits = adult_visits(tables["visits"], tables["durations"])
+    parts = imaging_lists(tables["imaging"], visits).filter("encounter_id = 'e5'").orderBy("part").collect()
+    assert [r.imaging_orders for r in parts] == [["XRAY", "XR CHEST TWO VIEWS"], ["CT HEAD"]]
+    monkeypatch.undo()
+    hot = {r.note_id: r for r in build_cohort(tables, SPECIALTIES, min_hot=2).collect()}
+    assert hot["n5a"].imaging_orders is None and hot["n5a"].imaging_orders_parts >= 1
+    assert hot["n5a"].abx_ordered_ed == "Y" and hot["n7a"].imaging_orders == ["POC US FAST"]
+    assert prepare_notes(build_cohort(tables, SPECIALTIES, min_hot=2)).filter(
+        "encounter_id = 'e5' AND imaging_orders_binary = 'Y'").count() == 1
+
+
+def test_repeats_that_do_not_fit_are_left_out(tables, monkeypatch):
+    monkeypatch.setattr(cohort_plan, "PART_ROWS", 5)
+    rows = {r.note_id: r for r in build_cohort(tables, SPECIALTIES, orders_per_note=True).collect()}
+    assert (rows["n5a"].medicationorderkey_abx_list, rows["n5a"].abx_list_parts) == (None, 1)
+    assert rows["n7a"].medicationorderkey_abx_list == ["m7"] * 2
+
+
 def test_cohort_stats_and_funnel(cohort):
     assert cohort_stats(cohort).first().rows == len(clinic.COHORT_NOTES)
     steps = funnel({"all": F.lit(True), "abx": F.col("abx_ordered_ed") == "Y", "img": F.col("imaging_orders").isNotNull()}, cohort)

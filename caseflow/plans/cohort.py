@@ -29,7 +29,6 @@ from caseflow.operators.orders import (
     first_parts,
     orders_during_visit,
 )
-from caseflow.operators.profile import cohort_stats
 from caseflow.operators.skew import (
     FAN,
     MIN_HOT_ROWS,
@@ -282,7 +281,6 @@ __all__ = [
     "add_site_label",
     "adult_visits",
     "build_cohort",
-    "cohort_stats",
     "funnel",
     "imaging_lists",
     "medication_lists",

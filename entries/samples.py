@@ -15,7 +15,7 @@ from caseflow.operators.sampling import (
     uniform_sample,
 )
 from entries.registry import query, table
-from entries.standins import clean, note_metadata, note_text, with_tables
+from entries.standins import clean, note_metadata, note_text, visits, with_tables
 
 
 @query(
@@ -43,8 +43,6 @@ def first(spark, sf_dir):
          WHERE n > 1""",
 )
 def duplicates(spark, sf_dir):
-    from entries.standins import visits
-
     return show_duplicates(visits(spark, sf_dir).select("encounter_id", "agekey"), "agekey")
 
 

@@ -6,6 +6,8 @@ notes, line items for imaging and medication orders, events for responses.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -508,8 +510,6 @@ CTES = {
 
 def with_tables(*names: str) -> str:
     """WITH clause of the named tables and all they are built from."""
-    import re
-
     needed, todo = set(), list(names)
     while todo:
         name = todo.pop()
@@ -522,8 +522,6 @@ def with_tables(*names: str) -> str:
 
 def _sources(sql: str) -> str:
     """The parts of a query after FROM and JOIN, where tables are named."""
-    import re
-
     return " ".join(re.findall(r"(?:FROM|JOIN)\s+\(?\s*(\w+)", sql))
 
 

@@ -20,9 +20,8 @@ def _binary(c: Column | str) -> Column:
     return F.when(c.isin("1", "1.0"), 1).when(c.isin("0", "0.0"), 0)
 
 
-def _cells(actual: Column, predicted: Column) -> list[Column]:
-    """The four counts and the number of rows left out of them."""
-    a, p = _binary(actual), _binary(predicted)
+def _cells(a: Column, p: Column) -> list[Column]:
+    """The four counts of 0/1 columns, and the number of rows left out of them."""
 
     def count(condition: Column) -> Column:
         return F.count(F.when(condition, 1))
@@ -43,7 +42,8 @@ def confusion(
 
     Only pairs with both values 0 or 1 count; the others are in `n_excluded`.
     """
-    return df.groupBy(*by).agg(*_cells(F.col(actual), F.col(predicted)))
+    pairs = df.select(*by, _binary(actual).alias("_a"), _binary(predicted).alias("_p"))
+    return pairs.groupBy(*by).agg(*_cells(F.col("_a"), F.col("_p")))
 
 
 def rates(conf: DataFrame) -> DataFrame:
@@ -94,12 +94,17 @@ def evaluate(
     read once and not repeated per label; only the counts are turned into rows.
     """
     task = F.lit(actual) if task is None else as_column(task)
-    per_task = df.groupBy(task.alias("Task")).agg(
-        *[
-            cell.alias(f"_{i}_{j}")
-            for i, label in enumerate(label_columns)
-            for j, cell in enumerate(_cells(F.col(actual), F.col(label)))
-        ]
+    labels = [_binary(c).alias(f"_p{i}") for i, c in enumerate(label_columns)]
+    per_task = (
+        df.select(task.alias("Task"), _binary(actual).alias("_a"), *labels)
+        .groupBy("Task")
+        .agg(
+            *[
+                cell.alias(f"_{i}_{j}")
+                for i in range(len(labels))
+                for j, cell in enumerate(_cells(F.col("_a"), F.col(f"_p{i}")))
+            ]
+        )
     )
     names = [*CELLS, "n_excluded"]
     rows = F.array(

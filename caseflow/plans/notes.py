@@ -116,7 +116,10 @@ def sectioned_notes(
     headings: Mapping[str, Sequence[str]] = HEADINGS,
     sentinel: str = NO_SECTION,
 ) -> DataFrame:
-    """First note per encounter with outcome flag, clean text, sections, tokens."""
+    """First note per encounter with outcome flag, clean text, sections, tokens.
+
+    The clean text takes the place of `note_text`, so that only one of them moves.
+    """
     cleaned = keep_notnull(cohort, "encounter_id").withColumns(
         {
             "encounter_id": string_key("encounter_id"),

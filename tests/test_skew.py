@@ -9,6 +9,7 @@ import pytest
 
 from caseflow.operators import skew
 from caseflow.operators.orders import collect_per_key, first_parts, orders_during_visit
+from caseflow.plans.cohort import add_age, add_demographics
 from caseflow.operators.skew import FAN, SALT, hot_keys, spread_hot, spread_join
 from tests.conftest import plan_of
 
@@ -140,3 +141,31 @@ def test_counting_hot_keys_reads_the_key_alone(spark, sf_dir):
     plan = plan_of(hot_keys(df, "l_orderkey"))
     assert "ReadSchema: struct<l_orderkey:bigint>" in plan
     assert "partial_count" in plan
+
+
+def test_lookups_are_split_by_spark(spark):
+    """Patient and age lookups are plain joins: a hot patient is split at run time."""
+    visits = spark.range(60000).selectExpr(
+        "IF(id % 3 = 0, 'unknown', string(id % 9000)) AS patient_id",
+        "IF(id % 3 = 1, NULL, string(id % 80)) AS agekey",
+        "string(id) AS encounter_id",
+    )
+    patients = spark.range(9000).selectExpr("string(id) AS patient_id", "'F' AS sex", "'e' AS ethnicity", "'r' AS firstrace", "'N' AS multiracial")
+    durations = spark.range(80).selectExpr("string(id) AS durationkey", "int(id * 365) AS days")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        aged = add_age(add_demographics(visits, patients), durations)
+        assert aged.filter("sex IS NULL OR days >= 0 OR days IS NULL").count() == 60000
+        rows = aged.collect()
+        assert len(rows) == 60000
+        assert plan_of(aged).count("skew=true") >= 2
+    finally:
+        for k in settings:
+            spark.conf.unset(k)

@@ -34,7 +34,7 @@ def connect(sf_dir: str):
 
 def _plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v + 0.0, 9)
+        return None if math.isnan(v) else v + 0.0
     return v
 
 

@@ -48,7 +48,7 @@ def read_result_csv(
     row_index: bool = False,
     keep_position: bool = False,
 ) -> DataFrame:
-    """Read a result CSV. Only an empty field is NULL.
+    """Read a result CSV. An empty field is NULL, quoted or not; no other text is.
 
     With `row_index` the files lead with an unnamed row number, which is dropped
     unless `keep_position` asks for it as the column `position`.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import types as T
@@ -32,6 +33,10 @@ TEXTS = [
     "null",
     '"',
     "'single'",
+    "line\r\nfeed\rreturn",
+    "ends with quote\"",
+    "\n",
+    ",",
 ]
 
 
@@ -44,6 +49,26 @@ def test_csv_keeps_texts(spark, quote_all):
     assert back == {k: (t, n) for k, t, n in rows}
 
 
+@pytest.mark.parametrize("quote_all", [True, False])
+def test_an_empty_field_is_null(spark, quote_all):
+    df = spark.createDataFrame([("a", "", 1), ("b", None, 2)], SCHEMA)
+    path = write_result_csv(df, shared_folder(spark), quote_all)
+    back = {r.k: r.t for r in read_result_csv(spark, path, SCHEMA).collect()}
+    assert back == {"a": None, "b": None}
+
+
+def test_shared_folder_without_a_setting():
+    def session(master):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda name, default: default),
+            sparkContext=SimpleNamespace(master=master),
+        )
+
+    assert shared_folder(session("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("yarn"))
+
+
 def test_csv_files_are_bounded(spark):
     df = spark.range(1000).selectExpr("string(id) AS k", "'a\nb' AS t", "int(id) AS n").coalesce(1)
     path = write_result_csv(df, shared_folder(spark), rows_per_file=100)

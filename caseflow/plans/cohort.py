@@ -42,7 +42,7 @@ from caseflow.schemas import NOTE_METADATA, VISITS, require_columns
 from caseflow.sources import stage_table
 
 VISIT_TIMES = ("arrival_datetime", "departure_datetime")
-MAX_BROADCAST_KEYS = 5_000_000  # note keys, some hundred megabytes
+MAX_BROADCAST_KEYS = 20_000_000  # hashed note keys, some half a gigabyte
 DEMOGRAPHICS = ("sex", "ethnicity", "firstrace", "multiracial")
 
 
@@ -66,15 +66,16 @@ def notes_with_text(metadata: DataFrame, text: DataFrame) -> DataFrame:
 
 
 def text_of(notes: DataFrame, text: DataFrame, max_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """The texts of `notes`, a stored table, as far as they can be told by their keys.
+    """`text` without most of the texts that none of `notes`, a stored table, needs.
 
-    With up to `max_keys` notes their keys are broadcast, and all other texts are
-    dropped where they are read. With more, all texts go on to the join.
+    With up to `max_keys` notes, eight-byte hashes of their keys are broadcast and
+    other texts are dropped where they are read; the join by key that follows settles
+    the rest. With more notes all texts go on to the join.
     """
     if notes.count() > max_keys:
         return text
-    keys = notes.select(F.col("note_id").alias("_note")).filter("_note IS NOT NULL")
-    return text.join(F.broadcast(keys), text["note_id"] == F.col("_note"), "left_semi")
+    keys = notes.filter("note_id IS NOT NULL").select(F.xxhash64("note_id").alias("_note"))
+    return text.join(F.broadcast(keys), F.xxhash64("note_id") == F.col("_note"), "left_semi")
 
 
 def visit_notes(visits: DataFrame, notes: DataFrame, hot: DataFrame | None = None) -> DataFrame:

@@ -258,21 +258,53 @@ def _known(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def funnel(steps: Mapping[str, Column], df: DataFrame) -> DataFrame:
-    """Rows, patients and visits left after each filter, all from one scan.
+    """Rows, patients and visits left after each filter: step, name, rows, patients, visits.
 
-    `steps` maps a name to its condition; conditions add up in the given order.
+    `steps` maps a name to its condition; conditions add up in the given order. A row is
+    thus described by how many of them it passes, a patient or visit by the most that
+    any of its rows passes, and no row is repeated per step.
     """
-    kept = F.lit(True)
-    levels = []
-    for i, (name, condition) in enumerate(steps.items()):
+    kept, passed = F.lit(True), F.lit(0)
+    for condition in steps.values():
         kept = kept & F.coalesce(condition, F.lit(False))
-        levels.append(F.when(kept, F.struct(F.lit(i).alias("step"), F.lit(name).alias("name"))))
-    passed = df.select("patient_id", "encounter_id", F.explode(F.array_compact(F.array(*levels))).alias("s"))
-    return passed.groupBy("s.step", "s.name").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.countDistinct("patient_id").alias("patients"),
-        F.countDistinct("encounter_id").alias("visits"),
+        passed = passed + F.when(kept, 1).otherwise(0)
+    levels = df.select(passed.alias("level"), "patient_id", "encounter_id")
+    ids = F.array(
+        F.struct(F.lit("patients").alias("kind"), F.col("patient_id").cast("string").alias("id")),
+        F.struct(F.lit("visits").alias("kind"), F.col("encounter_id").cast("string").alias("id")),
     )
+    highest = (
+        levels.select("level", F.inline(ids))
+        .filter("id IS NOT NULL")
+        .groupBy("kind", "id")
+        .agg(F.max("level").alias("level"))
+    )
+    counts = levels.select(F.lit("rows").alias("kind"), "level").unionByName(
+        highest.select("kind", "level")
+    )
+    by_level = counts.groupBy("kind", "level").agg(F.count(F.lit(1)).alias("n"))
+
+    def left(kind: str, step: int) -> Column:
+        reached = (F.col("kind") == kind) & (F.col("level") > step)
+        return F.coalesce(F.sum(F.when(reached, F.col("n"))), F.lit(0)).alias(kind)
+
+    rows = by_level.agg(
+        *[
+            F.struct(*[left(kind, i) for kind in ("rows", "patients", "visits")]).alias(f"_{i}")
+            for i in range(len(steps))
+        ]
+    )
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("step"),
+                F.lit(name).alias("name"),
+                *[F.col(f"_{i}.{kind}").alias(kind) for kind in ("rows", "patients", "visits")],
+            )
+            for i, name in enumerate(steps)
+        ]
+    )
+    return rows.select(F.inline(table))
 
 
 __all__ = [

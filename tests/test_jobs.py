@@ -126,10 +126,12 @@ def test_cohort_stats_and_funnel(cohort):
     assert cohort_stats(cohort).first().rows == len(clinic.COHORT_NOTES)
     steps = funnel({"all": F.lit(True), "abx": F.col("abx_ordered_ed") == "Y", "img": F.col("imaging_orders").isNotNull()}, cohort)
     got = {r.name: (r.rows, r.visits) for r in steps.collect()}
-    both = set(clinic.ABX_LISTS) & set(clinic.IMAGING_LISTS) | set()
+    both = set(clinic.ABX_LISTS) & set(clinic.IMAGING_LISTS)
     assert got["abx"][1] == len(clinic.ABX_LISTS)
     assert got["img"][1] == len(both)
     assert got["all"][0] == len(clinic.COHORT_NOTES)
+    none = funnel({"none": F.lit(None).cast("boolean"), "all": F.lit(True)}, cohort).collect()
+    assert [tuple(r) for r in none] == [(0, "none", 0, 0, 0), (1, "all", 0, 0, 0)]
 
 
 def test_missing_input_columns_raise(tables):

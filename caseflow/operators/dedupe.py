@@ -17,8 +17,8 @@ def first_by(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]) ->
     The rank limit is applied before the shuffle too, so a key that holds a large
     share of the rows sends one row per task.
     """
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)))
-    return ranked.filter(F.col("_rank") == 1).drop("_rank")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def drop_duplicates(

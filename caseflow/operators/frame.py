@@ -129,8 +129,8 @@ def same_keys(
     names = list(frames)
     at = [position] if position else []
     rows = stack_tagged({n: df.select(*at, key) for n, df in frames.items()}, "_frame")
-    counts = {n: F.count(F.when(F.col("_frame") == n, 1)).alias(f"_{i}") for i, n in enumerate(names)}
-    per_key = rows.groupBy(*at, key).agg(*counts.values())
+    counts = [F.count(F.when(F.col("_frame") == n, 1)).alias(f"_{i}") for i, n in enumerate(names)]
+    per_key = rows.groupBy(*at, key).agg(*counts)
     pairs = list(combinations(range(len(names)), 2))
     verdict = per_key.agg(
         *[

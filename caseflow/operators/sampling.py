@@ -25,7 +25,8 @@ _BUCKET = "_bucket"
 
 
 def seeded_hash(seed: int, key: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    """md5 of seed and key in hex; a missing key counts as an empty one."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
 
 def hash_bucket(h: Column) -> Column:
@@ -65,11 +66,13 @@ def _cutoffs(df: DataFrame, n: Column, seed: int, key: str, by: Sequence[str]) -
     running = F.sum("_n").over(Window.partitionBy(*by).orderBy(_BUCKET))
     rest = (n - F.col("_sum") + F.col("_n")).alias("r")
     reached = F.when(F.col("_sum") >= n, F.struct(_BUCKET, rest))
+    total = F.coalesce(F.max("_sum"), F.lit(0)).alias("_total")
+    cut = (F.col(f"_cut.{_BUCKET}").alias("_upto"), F.col("_cut.r").alias("_rest"))
     return (
         counts.withColumn("_sum", running)
         .groupBy(*by)
-        .agg(F.min(reached).alias("_cut"), F.coalesce(F.max("_sum"), F.lit(0)).alias("_total"))
-        .select(*by, F.col(f"_cut.{_BUCKET}").alias("_upto"), F.col("_cut.r").alias("_rest"), "_total")
+        .agg(F.min(reached).alias("_cut"), total)
+        .select(*by, *cut, "_total")
     )
 
 
@@ -94,7 +97,8 @@ def draw_per_group(
     """Exactly `sizes[g]` rows of each group g without replacement, no others; an error
     for a group with fewer.
     """
-    schema = StructType([StructField("_group", df.schema[group].dataType), StructField("_size", LongType())])
+    kind = df.schema[group].dataType
+    schema = StructType([StructField("_group", kind), StructField("_size", LongType())])
     wanted = df.sparkSession.createDataFrame(list(sizes.items()), schema)
     rows = df.filter(F.col(group).isin(*sizes))
     reached = _cutoffs(rows.select(group, key), map_codes(group, sizes), seed, key, [group])

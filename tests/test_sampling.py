@@ -103,6 +103,13 @@ def test_sample_df(cases):
     assert sample_df(cases, 10 * N).count() == N
 
 
+def test_rows_without_a_key_can_be_drawn(spark):
+    df = spark.createDataFrame([(None, 1)] + [(f"e{i}", i % 2) for i in range(40)], "encounter_id string, y int")
+    assert uniform_sample(df, 41).count() == 41
+    assert balanced_sample(df, "y", 20).count() == 40
+    assert sorted(r.p for r in shuffle(df, position="p").collect()) == list(range(1, 42))
+
+
 def test_buckets_follow_the_hash_order(spark):
     rng = random.Random(2)
     hashes = [f"{rng.getrandbits(rng.randint(1, 128)):032x}" for _ in range(3000)] + ["0" * 32]

@@ -40,8 +40,11 @@ def strip_newlines(c: Column | str) -> Column:
 
 
 def squeeze_spaces(c: Column | str) -> Column:
-    """Runs of blanks cut to one; tabs are left alone."""
-    return F.regexp_replace(as_column(c), " +", " ")
+    """Runs of blanks cut to one; tabs are left alone.
+
+    Only runs of two or more are matched: most blanks stand alone and stay untouched.
+    """
+    return F.regexp_replace(as_column(c), " {2,}", " ")
 
 
 def clean_text(c: Column | str) -> Column:

@@ -151,6 +151,7 @@ def add_order_lists(
     parts: str,
     hot: DataFrame | None = None,
     copies: DataFrame | None = None,
+    min_hot: int = MIN_HOT_ROWS,
 ) -> DataFrame:
     """Attach the order lists of each visit to its notes; notes without stay.
 
@@ -164,21 +165,21 @@ def add_order_lists(
     """
     whole = first_parts(lists, "encounter_id", parts)
     names = [c for c in whole.columns if c not in ("encounter_id", parts)]
-    fits, entry = F.col(parts) == 1, {c: F.col(c) for c in names}
-    if hot is not None:
-        whole = with_fan(whole, "encounter_id", hot)
-        fits = fits & F.col(FAN).isNull()
+    entry = {c: F.col(c) for c in names}
+    hot = hot_keys(notes, "encounter_id", min_hot) if hot is None else hot
+    fits = (F.col(parts) == 1) & F.col(FAN).isNull()
+    whole = with_fan(whole, "encounter_id", hot)
     if copies is not None:
         whole = whole.join(copies, "encounter_id", "left")
         n = F.col("copies").cast("int")
         fits = fits & (F.size(names[0]) * F.col("copies") <= PART_ROWS)
         entry = {c: F.flatten(F.transform(c, lambda x: F.array_repeat(x, n))) for c in names}
-    whole = whole.select(
-        "encounter_id", *[F.when(fits, entry[c]).alias(c) for c in names], parts
-    )
-    if hot is None:
-        return merge(notes, whole, "encounter_id", "encounter_id", "left")
-    return salted_join(notes, whole, "encounter_id", hot, "left")
+    attached = [F.when(fits, entry[c]).alias(c) for c in names]
+    whole = whole.select("encounter_id", *attached, parts)
+    if SALT in notes.columns:
+        return salted_join(notes, whole, "encounter_id", hot, "left")
+    spread = spread_join(notes, whole, "encounter_id", "note_id", "left", hot=hot)
+    return spread.drop(SALT, FAN)
 
 
 def add_site_label(df: DataFrame, sites: DataFrame, locations: DataFrame) -> DataFrame:

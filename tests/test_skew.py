@@ -9,8 +9,8 @@ import pytest
 
 from caseflow.operators import skew
 from caseflow.operators.orders import collect_per_key, first_parts, orders_during_visit
-from caseflow.plans.cohort import add_age, add_demographics
 from caseflow.operators.skew import FAN, SALT, hot_keys, spread_hot, spread_join
+from caseflow.plans.cohort import add_age, add_demographics, add_order_lists
 from tests.conftest import plan_of
 
 N = 3000
@@ -108,6 +108,30 @@ def test_lists_come_whole_in_bounded_parts(orders, visits):
         assert first[visit][1] == len(parts[visit])
 
 
+def test_add_order_lists_to_hot_notes(spark, orders):
+    notes = spark.createDataFrame(
+        [("hot" if i % 3 else f"v{i % 200}" if i % 2 else None, f"n{i}") for i in range(900)],
+        "encounter_id string, note_id string",
+    )
+    lists = collect_per_key(orders, "encounter_id", ["okey"], ["t", "okey"])
+    want = defaultdict(list)
+    for visit, key, t, _ in sorted(make_orders(), key=lambda r: (r[2] is not None, r[2], r[1])):
+        want[visit].append(key)
+    for min_hot in (MIN, 10**6):
+        out = add_order_lists(notes, lists, "parts", min_hot=min_hot)
+        assert out.columns == ["encounter_id", "note_id", "okey_list", "parts"]
+        rows = {r.note_id: r for r in out.collect()}
+        assert len(rows) == 900
+        for r in rows.values():
+            visit = r.encounter_id
+            if visit is None or visit not in want:
+                assert (r.okey_list, r.parts) == (None, None)
+            elif visit == "hot" and min_hot == MIN:
+                assert (r.okey_list, r.parts) == (None, 1)
+            else:
+                assert set(r.okey_list) == set(want[visit]) and r.parts == 1
+
+
 @pytest.mark.parametrize("min_rows", [MIN, 10**6])
 def test_unsalted_lists(orders, min_rows):
     lists = collect_per_key(

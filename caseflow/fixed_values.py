@@ -23,9 +23,9 @@ SPECIALTIES = ("Emergency Medicine",)  # a site adds its own codes
 IMAGING_PREFIXES = ("XR", "US ", "POC US ", "CT ", "IR CT ", "MR ")
 MEDICATION_CLASS = "ANTIBIOTICS"
 
-# Timestamp formats of the source tables.
+# Fixed value: timestamp format of the source tables. Order dates and times are held
+# apart as yyyy-MM-dd and HH:mm.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
-ORDER_TIME_FORMAT = "yyyy-MM-ddHH:mm:ss"
 
 # Code lists of the human labels.
 YES_NO = {"Y": 1, "N": 0}

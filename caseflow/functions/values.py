@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from caseflow.fixed_values import (
     DAYS_PER_YEAR,
     NO_ADMISSION,
-    ORDER_TIME_FORMAT,
     TIMESTAMP_FORMAT,
 )
 
@@ -30,8 +29,23 @@ def age_years(days: Column | str) -> Column:
 
 
 def parse_timestamp(c: Column | str, fmt: str = TIMESTAMP_FORMAT) -> Column:
-    """Text to a zone-free timestamp; text that does not fit the format is NULL."""
-    return F.try_to_timestamp(as_column(c), F.lit(fmt)).cast("timestamp_ntz")
+    """Text to a zone-free timestamp; text that does not fit the format is NULL.
+
+    No session time zone is involved, so no clock change moves an hour. Text of the
+    usual format is cast once its shape is checked; other formats are read as UTC and
+    rebuilt from their distance to 1970, which takes about twice as long.
+    """
+    c = as_column(c)
+    if fmt == TIMESTAMP_FORMAT:
+        shaped = c.like("____-__-__ __:__:__") & F.substring(c, 19, 1).between("0", "9")
+        return F.when(shaped, c.try_cast("timestamp_ntz"))
+    return _timestamp_by_format(c, fmt)
+
+
+def _timestamp_by_format(c: Column, fmt: str) -> Column:
+    instant = F.try_to_timestamp(F.concat(c, F.lit("Z")), F.lit(f"{fmt}X"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
 
 
 def order_timestamp(date: Column | str, time: Column | str) -> Column:
@@ -40,7 +54,7 @@ def order_timestamp(date: Column | str, time: Column | str) -> Column:
     The hour needs both digits: `9:05` is NULL, as is any missing part.
     """
     return parse_timestamp(
-        F.concat(as_column(date), as_column(time), F.lit(":00")), ORDER_TIME_FORMAT
+        F.concat(as_column(date), F.lit(" "), as_column(time), F.lit(":00"))
     )
 
 

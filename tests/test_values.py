@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from caseflow.fixed_values import IMAGING_PREFIXES, MODALITY, TIMESTAMP_FORMAT, YES_NO
 from caseflow.functions.values import (
+    _timestamp_by_format,
     age_years,
     flag_not_sentinel,
     flag_present,
@@ -18,7 +22,6 @@ from caseflow.functions.values import (
     string_key,
     within_visit,
 )
-from caseflow.fixed_values import IMAGING_PREFIXES, MODALITY, YES_NO
 
 
 def values(df, *columns):
@@ -58,6 +61,37 @@ def test_bad_timestamp_text_is_null(spark):
     assert values(df, parse_timestamp("t")) == [dt.datetime(2020, 2, 29, 23, 59, 59)] + [None] * 4
 
 
+def mutated(n=2000, seed=4):
+    """Timestamps with some characters changed, dropped or added."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        t = list(f"{rng.randint(1900, 2100):04d}-{rng.randint(1, 12):02d}-{rng.randint(1, 31):02d} "
+                 f"{rng.randint(0, 24):02d}:{rng.randint(0, 60):02d}:{rng.randint(0, 60):02d}")
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            i = rng.randrange(len(t))
+            t[i] = rng.choice(["", "0", "9", " ", "-", ":", "T", "Z", "+", ".", "a", t[i] * 2])
+        out.append("".join(t))
+    return out
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_both_ways_to_parse_agree(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = mutated() + ["1996-04-07 02:35:00", "2020-10-25 01:30:00", "2020-01-01 09:05:0Z", " 020-01-01 09:05:00"]
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        rows = df.select("t", parse_timestamp("t").alias("a"), _timestamp_by_format(F.col("t"), TIMESTAMP_FORMAT).alias("b")).collect()
+        assert [r.t for r in rows if r.a != r.b] == []
+        assert 500 < sum(r.a is not None for r in rows) < 1800
+        shown = {r.t: r.a for r in rows}
+        assert shown["1996-04-07 02:35:00"] == dt.datetime(1996, 4, 7, 2, 35)
+        other = df.limit(1).select(parse_timestamp(F.lit("07/04/1996 02:35"), "dd/MM/yyyy HH:mm"))
+        assert other.first()[0] == dt.datetime(1996, 4, 7, 2, 35)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_order_time_needs_two_digit_hours_and_both_parts(spark):
     rows = [("2020-01-01", "09:05"), ("2020-01-01", "9:05"), (None, "09:05"), ("2020-01-01", None)]
     df = spark.createDataFrame(rows, "d string, t string")

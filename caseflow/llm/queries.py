@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import decontamination, packing, simhash
+from caseflow.llm import decontamination, line_dedup, packing, simhash, toxicity, url_filter, warc
 from caseflow.llm.common import table
 
 #: 4-word shingles; fingerprints that differ in at most 4 bits are near duplicates.
@@ -25,6 +25,62 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "held_out", "score", "predicted")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = line_dedup.line_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "line_no", "n_chars", "n_links", "class_doc_id", "class_line_no", "kept")
+
+
+def _hex(text: Column, start: int, size: int) -> Column:
+    return F.conv(F.substring(F.md5(text), start, size), 16, 10).cast("int")
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as captures: the tables have no fetch times, so the id makes one."""
+    seconds = (F.col("page_id") * 7919) % 126_230_400
+    at = F.timestamp_add("SECOND", seconds, F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", at.alias("fetched_at"))
+
+
+def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated entries for a quarter of the domains, hosts and first folders of the pages:
+    three of them each, with dates and statuses that a hash of the value makes."""
+    urls = table(spark, sf_dir, "pages").select(url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    folder = F.regexp_extract("path", "^(/[^/]+/)", 1)
+    values = F.array(
+        F.struct(F.lit("domain").alias("kind"), F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("value")),
+        F.struct(F.lit("host").alias("kind"), F.col("host").alias("value")),
+        F.struct(F.lit("prefix").alias("kind"), F.when(folder != "", F.concat("host", folder)).otherwise("").alias("value")),
+    )
+    known = urls.filter("host is not null").select(F.explode(values).alias("v")).select("v.*").filter("value <> ''").distinct()
+    name = F.concat("kind", F.lit(":"), "value")
+    listed = known.filter(_hex(name, 1, 1) < 4)
+    dated = listed.select("kind", "value", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("i"))
+    seed = F.concat(name, F.lit(":"), F.col("i").cast("string"))
+    start = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    status = _hex(seed, 5, 1)
+    return dated.select(
+        F.lit("house").alias("list"), "kind", "value",
+        F.timestamp_add("DAY", _hex(seed, 1, 4) % 1461, start).alias("listed_at"),
+        F.when(status < 6, "block").when(status < 10, "allow").otherwise("off").alias("status"),
+    )
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_captures(captures(spark, sf_dir), list_entries(spark, sf_dir))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_records(spark, warc.write_archive(table(spark, sf_dir, "pages")))
+    return warc.reconstruct(records).select(
+        "page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), SHINGLE, DISTANCE)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -74,9 +130,75 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+OP5_SQL = r"""
+WITH pieces AS (
+    SELECT page_id, url, TIMESTAMP '2020-01-01' + to_seconds((page_id * 7919) % 126230400) AS fetched_at,
+        rtrim(lower(regexp_replace(regexp_replace(
+            regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '.') AS host,
+        regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\]*([^?#]*)', 1) AS path
+    FROM pages
+),
+caps AS (
+    SELECT row_number() OVER () AS cap, page_id, url, fetched_at,
+        CASE WHEN host <> '' AND length(host) <= 253 THEN host END AS host,
+        CASE WHEN path = '' THEN '/' ELSE path END AS path
+    FROM pieces
+),
+known AS (
+    SELECT DISTINCT kind, value FROM (
+        SELECT 'domain' AS kind, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS value FROM caps
+        UNION ALL SELECT 'host', host FROM caps
+        UNION ALL SELECT 'prefix', host || regexp_extract(path, '^(/[^/]+/)', 1) FROM caps
+            WHERE regexp_extract(path, '^(/[^/]+/)', 1) <> ''
+    ) WHERE value <> ''
+),
+entries AS (
+    SELECT kind, value,
+        TIMESTAMP '2020-01-01' + to_days(CAST('0x' || substr(md5(kind || ':' || value || ':' || i), 1, 4) AS INTEGER) % 1461) AS t,
+        CAST('0x' || substr(md5(kind || ':' || value || ':' || i), 5, 1) AS INTEGER) AS s
+    FROM known, range(3) r(i) WHERE CAST('0x' || substr(md5(kind || ':' || value), 1, 1) AS INTEGER) < 4
+),
+latest AS (
+    SELECT kind, value, t, max(CASE WHEN s < 6 THEN 2 WHEN s < 10 THEN 1 ELSE 0 END) AS s
+    FROM entries GROUP BY kind, value, t
+),
+spans AS (SELECT *, lead(t) OVER (PARTITION BY kind, value ORDER BY t) AS until FROM latest),
+matched AS (
+    SELECT c.cap, e.*, length(e.value) AS size, CASE e.kind WHEN 'domain' THEN 1 WHEN 'host' THEN 2 ELSE 3 END AS k
+    FROM caps c JOIN spans e ON e.s > 0 AND c.fetched_at >= e.t AND (e.until IS NULL OR c.fetched_at < e.until)
+    AND CASE e.kind WHEN 'host' THEN c.host = e.value
+        WHEN 'domain' THEN c.host = e.value OR ends_with(c.host, '.' || e.value)
+        ELSE starts_with(c.host || c.path, e.value) END
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY cap ORDER BY size DESC, k DESC, s DESC, value) AS place,
+        count(*) OVER (PARTITION BY cap) AS n FROM matched
+)
+SELECT c.page_id, c.url, c.fetched_at, c.host, coalesce(r.n, 0) AS n_active,
+    CASE r.s WHEN 2 THEN 'block' WHEN 1 THEN 'allow' ELSE 'unlisted' END AS verdict,
+    CASE WHEN r.n > 0 THEN 'house' END AS list, r.kind, r.value, r.t AS valid_from
+FROM caps c LEFT JOIN ranked r ON c.cap = r.cap AND r.place = 1
+"""
+
+OP6_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest,
+        octet_length(encode(coalesce(html, ''))) AS bytes FROM pages
+),
+first AS (SELECT digest, min(page_id) AS head FROM p WHERE bytes >= 100 GROUP BY digest)
+SELECT page_id, bytes AS payload_bytes, p.digest AS payload_digest,
+    CASE WHEN head IS NULL OR head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p LEFT JOIN first ON p.digest = first.digest
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
+    "op5_url_filter": op5_url_filter,
+    "op6_warc": op6_warc,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op10_decontamination": OP10_SQL}
+ORACLES: dict[str, str] = {"op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op10_decontamination": OP10_SQL}

@@ -4,9 +4,11 @@ Two models, of toxic and of ordinary labelled documents, give each letter of a w
 probability after the `ORDER - 1` letters before it. Both back off, with absolute
 discounting, to one shared Kneser-Ney model whose continuation counts come from every
 document, labelled or not; so an expression that neither class has seen weighs nothing.
-A document's feature is the difference of its two log-likelihoods, by its length and by
-the root of its length; a logistic curve through the labelled documents makes it a score.
-Each of those is measured with models that have not seen it (two halves, crosswise).
+A document is measured by the difference of its two log-likelihoods over its length: once
+plainly, and once for each of `EXCESS` with what its words have beyond that much, since a
+few words make a text toxic and the noise of many others would hide them. A logistic curve
+through the labelled documents makes these a score. Each of those documents is measured
+with models that have not seen it (two halves, crosswise).
 
 What scoring needs of the models is one number per gram of a labelled document, and one
 per context for grams it has not seen. That table is broadcast. It is bounded by
@@ -37,6 +39,8 @@ FOLDS = 5
 WORDS_HELD = 300_000
 CHUNK = 1 << 20
 SEED = 42
+#: A word's log ratio counts beyond these.
+EXCESS = (0.0, 2.0, 4.0, 6.0, 8.0)
 START, END = "\x02", "\x03"
 #: Sides: ordinary and toxic documents of either half.
 SIDES = ("o1", "o2", "t1", "t2")
@@ -83,14 +87,18 @@ def _with_side(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def gram_counts(docs: DataFrame, chosen: DataFrame, order: int) -> DataFrame:
-    """Occurrences of every gram in all documents (n) and on each side of the labels."""
+    """Occurrences of every gram in all documents (n) and on each side of the labels.
+
+    A word counts once in a document (in each `CHUNK` of a very long one), so a document
+    that repeats a word tells no more of it than any other.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides: dict[str | None, Counter] = {s: Counter() for s in (None, *SIDES)}
         for batch in batches:
             for text, side in zip(batch.column("text"), batch.column("side").to_pylist()):
                 for words in _word_lists(text.as_py()):
-                    sides[side].update(words)
+                    sides[side].update(set(words))
                     if sum(map(len, sides.values())) > WORDS_HELD:
                         yield emptied(sides)
         yield emptied(sides)
@@ -213,45 +221,53 @@ class _Scorer:
                 self.held[w] = values[bounds[i] : bounds[i + 1]].sum(axis=0)
 
     def score(self, text: str) -> tuple[np.ndarray, int]:
-        total, n = np.zeros(self.weights.shape[1]), 0
+        """Sums over the different words, a row for each kind of measure and a column for
+        each model, and their number."""
+        total, n = np.zeros((1 + len(EXCESS), self.weights.shape[1])), 0
         for words in _word_lists(text):
-            counts = Counter(words)
-            self.learn(set(counts))
-            total += np.array([self.held[w] for w in counts]).T @ np.fromiter(counts.values(), float) if counts else 0
-            n += sum(map(len, words)) + len(words)
+            different = set(words)
+            if not different:
+                continue
+            self.learn(different)
+            ratios = np.array([self.held[w] for w in different])
+            total[0] += ratios.sum(axis=0)
+            for i, beyond in enumerate(EXCESS, 1):
+                total[i] += np.maximum(ratios - beyond, 0.0).sum(axis=0)
+            n += len(different)
         return total, n
 
 
 def measured(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], order: int, carry: list[str]) -> DataFrame:
-    """The columns `carry` and, for each text, its sums of log ratios (s, s1, s2) and the
-    number of its grams (n). `docs` has a column text."""
+    """The columns `carry` and the features of each text by the whole models and by those of
+    either half (x, x1, x2). `docs` has a column text."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(*held.value, order)
         for batch in batches:
-            found = [scorer.score(t.as_py() or "") for t in batch.column("text")]
-            sums = np.array([f[0] for f in found]).reshape(-1, 3)
-            columns = [batch.column(c) for c in carry] + [pa.array(c) for c in sums.T]
-            columns.append(pa.array([f[1] for f in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, [*carry, "s", "s1", "s2", "n"])
+            found = [_features(*scorer.score(t.as_py() or "")) for t in batch.column("text")]
+            columns = [batch.column(c) for c in carry]
+            columns += [pa.array([f[:, i] for f in found], pa.list_(pa.float64())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, [*carry, "x", "x1", "x2"])
 
     kept = docs.select(*carry).schema.fields
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept])
     rows = docs.select(*carry, "text")
-    return rows.mapInArrow(run, f"{schema}, s double, s1 double, s2 double, n bigint")
+    return rows.mapInArrow(run, f"{schema}, x array<double>, x1 array<double>, x2 array<double>")
 
 
-def _features(total: np.ndarray, n: np.ndarray) -> np.ndarray:
-    n = np.maximum(n, 1)
-    return np.column_stack((np.ones(len(n)), total / n, total / np.sqrt(n)))
+def _features(total: np.ndarray, n: int) -> np.ndarray:
+    """Measures by length; the excesses on a logarithmic scale."""
+    mean = total / max(n, 1)
+    return np.concatenate((mean[:1], np.log1p(1000 * mean[1:])))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights of a penalised logistic regression, by Newton's method with halved steps."""
+    """Intercept and weights of a penalised logistic regression, by Newton's method with
+    halved steps."""
     scale = np.maximum(np.abs(x).mean(axis=0), 1e-12)
-    z, w = x / scale, np.zeros(x.shape[1])
+    z, w = np.column_stack((np.ones(len(x)), x / scale)), np.zeros(x.shape[1] + 1)
 
     def loss(w: np.ndarray) -> float:
         return float(np.logaddexp(0, -(2 * y - 1) * (z @ w)).sum() + penalty * w @ w / 2)
@@ -267,7 +283,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int =
         w = w - size * step
         if np.abs(size * step).max() < 1e-8:
             break
-    return w / scale
+    return w / np.concatenate(([1.0], scale))
 
 
 def toxicity_scores(
@@ -304,10 +320,12 @@ def toxicity_scores(
     labelled = texts.join(F.broadcast(chosen), "doc_id")
     sample = measured(labelled, model, order, ["side"]).toArrow()
     side = np.array(sample.column("side").to_pylist())
-    other = np.where(np.char.endswith(side, "1"), sample.column("s2"), sample.column("s1"))
-    curve = logistic(_features(other, sample.column("n").to_numpy()), np.char.startswith(side, "t").astype(float))
-    n = F.greatest(F.col("n"), F.lit(1)).cast("double")
-    total = float(curve[0]) + float(curve[1]) * F.col("s") / n + float(curve[2]) * F.col("s") / F.sqrt(n)
+    first, second = (np.array(sample.column(c).to_pylist()) for c in ("x1", "x2"))
+    other = np.where(np.char.endswith(side, "1")[:, None], second, first)
+    curve = logistic(other, np.char.startswith(side, "t").astype(float))
+    total = F.lit(float(curve[0]))
+    for i, weight in enumerate(curve[1:]):
+        total = total + float(weight) * F.col("x")[i]
     scored = measured(plain, model, order, ["doc_id", "text_hash", "held_out"])
     return _judged(scored, 1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(500.0)), F.lit(-500.0)))))
 

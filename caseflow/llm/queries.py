@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import decontamination, line_dedup, packing, simhash, toxicity, url_filter, warc
+from caseflow.llm import decontamination, html_text, line_dedup, packing, pii, simhash, toxicity, url_filter, warc
 from caseflow.llm.common import table
 
 #: 4-word shingles; fingerprints that differ in at most 4 bits are near duplicates.
@@ -35,6 +35,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "line_no", "n_chars", "n_links", "class_doc_id", "class_line_no", "kept")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def _hex(text: Column, start: int, size: int) -> Column:
     return F.conv(F.substring(F.md5(text), start, size), 16, 10).cast("int")
 
@@ -81,6 +85,17 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != pii.TERM)
+    counts = [
+        F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.spans_text(base), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans")
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), SHINGLE, DISTANCE)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -195,8 +210,10 @@ FROM p LEFT JOIN first ON p.digest = first.digest
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_html_text": op3_html_text,
     "op5_url_filter": op5_url_filter,
     "op6_warc": op6_warc,
+    "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,

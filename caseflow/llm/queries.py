@@ -10,7 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import decontamination, html_text, line_dedup, packing, pii, simhash, toxicity, url_filter, warc
+from caseflow.llm import (
+    decontamination,
+    html_text,
+    line_dedup,
+    nn_descent,
+    packing,
+    pii,
+    simhash,
+    toxicity,
+    url_filter,
+    warc,
+)
 from caseflow.llm.common import table
 
 #: 4-word shingles; fingerprints that differ in at most 4 bits are near duplicates.
@@ -39,6 +50,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def _hex(text: Column, start: int, size: int) -> Column:
     return F.conv(F.substring(F.md5(text), start, size), 16, 10).cast("int")
 
@@ -211,6 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op3_html_text": op3_html_text,
+    "op4_nn_descent": op4_nn_descent,
     "op5_url_filter": op5_url_filter,
     "op6_warc": op6_warc,
     "op7_pii": op7_pii,

@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +35,10 @@ MAX_LABELLED = 200_000
 #: Every fifth document, by CRC-32 of its id, is held out of training.
 FOLDS = 5
 #: Different words counted or scored before a task empties its table.
-WORDS_HELD = 300_000
+WORDS_HELD = 500_000
+WORDS_AT_ONCE = 20_000
 CHUNK = 1 << 20
+MAX_WORD = 256
 SEED = 42
 #: A word's log ratio counts beyond these.
 EXCESS = (0.0, 2.0, 4.0, 6.0, 8.0)
@@ -52,18 +53,51 @@ def fold(doc_id: Column) -> Column:
 
 
 def _word_lists(text: str) -> Iterator[list[str]]:
-    """The lower-case words of a text, a bounded part of it at a time."""
+    """The lower-case words of a text, a bounded part of it at a time. Words of more than
+    `MAX_WORD` letters are cut."""
     start = 0
     while start < len(text):
-        gap = _GAP.search(text, start + CHUNK) if start + CHUNK < len(text) else None
-        end = gap.start() if gap else len(text)
-        yield text[start:end].lower().split()
+        near = start + CHUNK
+        gap = _GAP.search(text, near, near + MAX_WORD)
+        end = gap.start() if gap else min(near + MAX_WORD, len(text))
+        words = text[start:end].lower().split()
+        if words and max(map(len, words)) > MAX_WORD:
+            words = [w[i : i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)]
+        yield words
         start = end
 
 
-def _grams(word: str, order: int) -> list[str]:
-    padded = START * (order - 1) + word + END
-    return [padded[i : i + order] for i in range(len(word) + 1)]
+def _multipliers(n: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _hash(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the `size` letters from each place on."""
+    factors = _multipliers(size + 1)
+    total = np.full(len(at), factors[size])
+    for i in range(size):
+        total += factors[i] * codes[at + i]
+    return total ^ (total >> np.uint64(29))
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _gram_places(words: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray]:
+    """The padded words in one string, where its grams begin, and the word of each."""
+    padded = "".join([START * (order - 1) + w + END for w in words])
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + order
+    ends = np.cumsum(sizes)
+    of = np.repeat(np.arange(len(words)), sizes)
+    at = np.flatnonzero(np.arange(len(padded)) <= ends[of] - order)
+    return padded, at, of[at]
+
+
+def _some(words: list[str]) -> Iterator[list[str]]:
+    """The words in lists of a bounded number of letters."""
+    for start in range(0, len(words), WORDS_AT_ONCE):
+        yield words[start : start + WORDS_AT_ONCE]
 
 
 def training_labels(labels: DataFrame, max_labelled: int) -> DataFrame:
@@ -104,19 +138,26 @@ def gram_counts(docs: DataFrame, chosen: DataFrame, order: int) -> DataFrame:
         yield emptied(sides)
 
     def emptied(sides: dict[str | None, Counter]) -> pa.RecordBatch:
-        tally: dict[str, list[int]] = {}
-        for i, side in enumerate((None, *SIDES)):
-            for word, n in sides[side].items():
-                for gram in _grams(word, order):
-                    row = tally.get(gram)
-                    if row is None:
-                        row = tally[gram] = [0] * (1 + len(SIDES))
-                    row[i] += n
-            sides[side].clear()
-        counts = np.array(list(tally.values()), np.int64).reshape(-1, 1 + len(SIDES))
-        counts[:, 0] = counts.sum(axis=1)
-        columns = [pa.array(list(tally), pa.string()), *(pa.array(c) for c in counts.T)]
-        return pa.RecordBatch.from_arrays(columns, ["gram", "n", *SIDES])
+        words = list(set().union(*sides.values()))
+        table = np.array([[sides[s].get(w, 0) for s in (None, *SIDES)] for w in words], float).reshape(-1, 1 + len(SIDES))
+        for counter in sides.values():
+            counter.clear()
+        table[:, 0] = table.sum(axis=1)
+        parts: list[tuple] = []
+        done = 0
+        for some in _some(words):
+            padded, at, of = _gram_places(some, order)
+            keys, first, group = np.unique(_hash(_letters(padded), at, order), return_index=True, return_inverse=True)
+            weights = table[done : done + len(some)][of]
+            sums = np.column_stack([np.bincount(group, w, len(keys)) for w in weights.T])
+            parts.append((keys, np.array([padded[i : i + order] for i in at[first].tolist()], object), sums))
+            done += len(some)
+        if not parts:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.string())] + [pa.array([], pa.int64())] * 5, ["gram", "n", *SIDES])
+        every, grams, sums = (np.concatenate(p) for p in zip(*parts))
+        keys, first, group = np.unique(every, return_index=True, return_inverse=True)
+        counts = [pa.array(np.bincount(group, c, len(keys)).astype(np.int64)) for c in sums.T]
+        return pa.RecordBatch.from_arrays([pa.array(grams[first], pa.string()), *counts], ["gram", "n", *SIDES])
 
     rows = _with_side(require(docs, "doc_id", "text").filter("text is not null"), chosen)
     schema = "gram string, n bigint, " + ", ".join(f"{s} bigint" for s in SIDES)
@@ -157,11 +198,10 @@ def _class(name: str, half: str | None) -> Column:
 
 
 def log_ratios(grams: DataFrame, order: int) -> DataFrame:
-    """Rows (key, w, w1, w2): the log of the toxic over the ordinary probability of a gram,
+    """Rows (gram, w, w1, w2): the log of the toxic over the ordinary probability of a gram,
     and of a context's backoff weights for grams that neither class has seen.
 
-    w is of the whole models, w1 and w2 of those of one half. key is the XXH64 of the
-    gram or context.
+    w is of the whole models, w1 and w2 of those of one half. A context has one letter less.
     """
     models = {"w": None, "w1": "1", "w2": "2"}
     own = grams.filter(" + ".join(SIDES) + " > 0").withColumn("context", F.expr(f"substring(gram, 1, {order - 1})"))
@@ -183,8 +223,20 @@ def log_ratios(grams: DataFrame, order: int) -> DataFrame:
 
     by_gram = [(F.log(probability(f"t_{m}")) - F.log(probability(f"o_{m}"))).cast("float").alias(m) for m in models]
     by_context = [(F.log(rest_weight(f"t_{m}")) - F.log(rest_weight(f"o_{m}"))).cast("float").alias(m) for m in models]
-    rows = joined.select(F.xxhash64("gram").alias("key"), *by_gram)
-    return rows.union(totals.select(F.xxhash64("context").alias("key"), *by_context))
+    return joined.select("gram", *by_gram).union(totals.select(F.col("context"), *by_context))
+
+
+def _model(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams and contexts, sorted, and their weights."""
+    grams = np.array(table.column("gram").to_pylist(), object)
+    weights = np.column_stack([table.column(c).to_numpy() for c in ("w", "w1", "w2")])
+    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+    keys = np.empty(len(grams), np.uint64)
+    for size in (order - 1, order):
+        own = np.flatnonzero(sizes == size)
+        keys[own] = _hash(_letters("".join(grams[own])), np.arange(len(own)) * size, size)
+    by_key = np.argsort(keys)
+    return keys[by_key], weights[by_key]
 
 
 class _Scorer:
@@ -192,33 +244,33 @@ class _Scorer:
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, order: int) -> None:
         self.keys, self.weights, self.order = keys, weights, order
-        self.held: dict[str, np.ndarray] = {}
+        self.held: dict[str, int] = {}
+        self.values = np.empty((WORDS_HELD, weights.shape[1]), np.float32)
 
-    def _find(self, strings: list[bytes]) -> np.ndarray:
+    def _find(self, wanted: np.ndarray) -> np.ndarray:
         """Rows of the table, -1 where there is none."""
-        digests = b"".join([xxhash.xxh64_digest(s, SEED) for s in strings])
-        wanted = np.frombuffer(digests, ">u8").astype(np.uint64).view(np.int64)
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, at, -1)
 
     def learn(self, words: set[str]) -> None:
         """Look up the words not yet held."""
         new = [w for w in words if w not in self.held]
-        if not new:
-            return
-        if len(self.held) + len(new) > WORDS_HELD:
+        if len(self.held) + len(new) > len(self.values):
             self.held.clear()
             new = list(words)
-        for start in range(0, len(new), 20_000):
-            some = new[start : start + 20_000]
-            grams = [g for w in some for g in _grams(w, self.order)]
-            at = self._find([g.encode("utf-8", "surrogatepass") for g in grams])
-            unseen = np.flatnonzero(at < 0)
-            at[unseen] = self._find([grams[i][:-1].encode("utf-8", "surrogatepass") for i in unseen])
-            values = np.where((at >= 0)[:, None], self.weights[at], 0.0)
-            bounds = np.cumsum([0] + [len(w) + 1 for w in some])
-            for i, w in enumerate(some):
-                self.held[w] = values[bounds[i] : bounds[i + 1]].sum(axis=0)
+            if len(new) > len(self.values):
+                self.values = np.empty((len(new), self.weights.shape[1]), np.float32)
+        for some in _some(new):
+            padded, at, of = _gram_places(some, self.order)
+            codes = _letters(padded)
+            row = self._find(_hash(codes, at, self.order))
+            unseen = np.flatnonzero(row < 0)
+            row[unseen] = self._find(_hash(codes, at[unseen], self.order - 1))
+            found = np.where((row >= 0)[:, None], self.weights[row], 0.0)
+            first = len(self.held)
+            for i, column in enumerate(found.T):
+                self.values[first : first + len(some), i] = np.bincount(of, column, len(some))
+            self.held.update(zip(some, range(first, first + len(some))))
 
     def score(self, text: str) -> tuple[np.ndarray, int]:
         """Sums over the different words, a row for each kind of measure and a column for
@@ -229,7 +281,7 @@ class _Scorer:
             if not different:
                 continue
             self.learn(different)
-            ratios = np.array([self.held[w] for w in different])
+            ratios = self.values[[self.held[w] for w in different]].astype(float)
             total[0] += ratios.sum(axis=0)
             for i, beyond in enumerate(EXCESS, 1):
                 total[i] += np.maximum(ratios - beyond, 0.0).sum(axis=0)
@@ -311,11 +363,7 @@ def toxicity_scores(
     if not (toxic and ordinary):
         return _judged(plain.drop("text"), F.lit(toxic / max(toxic + ordinary, 1)))
     grams = stage(gram_counts(texts, chosen, order))
-    table = log_ratios(grams, order).toArrow()
-    keys = table.column("key").to_numpy()
-    by_key = np.argsort(keys, kind="stable")
-    weights = np.column_stack([table.column(c).to_numpy() for c in ("w", "w1", "w2")])[by_key]
-    model = (keys[by_key], weights)
+    model = _model(log_ratios(grams, order).toArrow(), order)
     # At most `max_labelled` rows, each measured with the half it is not in.
     labelled = texts.join(F.broadcast(chosen), "doc_id")
     sample = measured(labelled, model, order, ["side"]).toArrow()

@@ -165,76 +165,102 @@ def gram_counts(docs: DataFrame, chosen: DataFrame, order: int) -> DataFrame:
     return counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", *SIDES)])
 
 
-def shared_model(grams: DataFrame, order: int) -> DataFrame:
-    """Kneser-Ney probability p of the last letter of every gram one letter shorter than
-    `order`, from the different letters seen before it (column gram)."""
-    levels = []
-    seen = grams.select("gram", F.col("n").alias("c"))
-    for _ in range(order - 1):
-        shorter = F.expr("substring(gram, 2)")
-        # What begins a word has nothing but padding before it: there, occurrences count.
-        weight = F.when(shorter.startswith(START), F.col("c")).otherwise(F.lit(1))
-        seen = seen.groupBy(shorter.alias("gram")).agg(F.sum(weight).alias("c"))
-        levels.append(seen)
-    below = None
-    for size, level in enumerate(reversed(levels), 1):
-        context = F.expr(f"substring(gram, 1, {size - 1})")
-        totals = level.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
-        joined = level.withColumn("context", context).join(totals, "context")
-        if below is None:
-            backoff = F.lit(1.0) / F.col("kinds")
-        else:
-            lower = below.select(F.col("gram").alias("rest"), F.col("p").alias("q"))
-            joined = joined.withColumn("rest", F.expr("substring(gram, 2)")).join(lower, "rest")
-            backoff = F.col("q")
-        own = F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / F.col("total")
-        below = joined.select("gram", (own + DISCOUNT * F.col("kinds") / F.col("total") * backoff).alias("p"))
-    return below
-
-
-def _class(name: str, half: str | None) -> Column:
-    """Occurrences in a class, in one half of its documents or in both."""
-    return F.col(name + half) if half else F.col(name + "1") + F.col(name + "2")
+def _short_model(grams: DataFrame) -> DataFrame:
+    """Kneser-Ney probability p of the second letter of every pair of letters (column pair),
+    from the different letters seen before it. As many rows as pairs of letters."""
+    triples = grams.groupBy(F.expr("right(gram, 3)").alias("triple")).agg(F.sum("n").alias("n"))
+    pair, letter = F.expr("right(triple, 2)"), F.expr("right(pair, 1)")
+    # What begins a word has nothing but padding before it: there, occurrences count.
+    seen = triples.groupBy(pair.alias("pair")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    pairs = seen.select("pair", F.when(F.col("pair").startswith(START), F.col("n")).otherwise(F.col("kinds")).alias("c"))
+    pairs = stage(pairs.withColumns({"letter": letter, "before": F.expr("left(pair, 1)")}))
+    letters = pairs.groupBy("letter").agg(F.count("*").alias("c"))
+    every = letters.agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+    single = letters.join(F.broadcast(every)).select(  # one row
+        "letter", ((F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) + DISCOUNT) / F.col("total")).alias("q")
+    )
+    contexts = pairs.groupBy("before").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+    own = F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / F.col("total")
+    return pairs.join(contexts, "before").join(single, "letter").select(
+        "pair", (own + DISCOUNT * F.col("kinds") / F.col("total") * F.col("q")).alias("p")
+    )
+
+
+def _discounted(counts: dict[str, int], below: dict[str, float]) -> dict[str, float]:
+    """Interpolated Kneser-Ney: the probability of the last letter of each key."""
+    total: dict[str, int] = {}
+    kinds: dict[str, int] = {}
+    for key, c in counts.items():
+        total[key[:-1]] = total.get(key[:-1], 0) + c
+        kinds[key[:-1]] = kinds.get(key[:-1], 0) + 1
+    return {
+        key: (max(c - DISCOUNT, 0.0) + DISCOUNT * kinds[key[:-1]] * below[key[1:]]) / total[key[:-1]]
+        for key, c in counts.items()
+    }
+
+
+def _group_ratios(order: int):
+    """Log ratios of all grams whose last letters but one are the same two."""
+
+    def run(group: pa.Table) -> pa.Table:
+        grams = group.column("gram").to_pylist()
+        below = {g[-2:]: p for g, p in zip(grams, group.column("p").to_pylist())}
+        levels = [dict(zip(grams, group.column("n").to_pylist()))]
+        for _ in range(order - 3):
+            shorter: dict[str, int] = {}
+            for key, c in levels[-1].items():
+                shorter[key[1:]] = shorter.get(key[1:], 0) + (c if key[1] == START else 1)
+            levels.append(shorter)
+        for level in reversed(levels[1:]):
+            below = _discounted(level, below)
+        counts = np.array([group.column(s).to_numpy() for s in SIDES], float)  # o1, o2, t1, t2
+        own = np.flatnonzero(counts.any(axis=0))
+        grams = [grams[i] for i in own]
+        shared = np.array([below[g[1:]] for g in grams])
+        contexts = sorted({g[:-1] for g in grams})
+        at = {c: i for i, c in enumerate(contexts)}
+        of = np.array([at[g[:-1]] for g in grams], np.int64)
+        o1, o2, t1, t2 = counts[:, own]
+        by_gram, by_context = [], []
+        for ordinary, toxic in ((o1 + o2, t1 + t2), (o1, t1), (o2, t2)):
+            logs, rests = [], []
+            for c in (toxic, ordinary):
+                total = np.bincount(of, c, len(contexts))
+                kinds = np.bincount(of, c > 0, len(contexts))
+                rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+                logs.append(np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(total[of], 1) + rest[of] * shared))
+                rests.append(np.log(rest))
+            by_gram.append(logs[0] - logs[1])
+            by_context.append(rests[0] - rests[1])
+        keys = [_hash(_letters("".join(x)), np.arange(len(x)) * size, size) for x, size in ((grams, order), (contexts, order - 1))]
+        weights = np.concatenate((by_gram, by_context), axis=1).astype(np.float32)
+        key = np.concatenate(keys).view(np.int64)
+        return pa.table({"key": key, "w": weights[0], "w1": weights[1], "w2": weights[2]})
+
+    return run
 
 
 def log_ratios(grams: DataFrame, order: int) -> DataFrame:
-    """Rows (gram, w, w1, w2): the log of the toxic over the ordinary probability of a gram,
+    """Rows (key, w, w1, w2): the log of the toxic over the ordinary probability of a gram,
     and of a context's backoff weights for grams that neither class has seen.
 
-    w is of the whole models, w1 and w2 of those of one half. A context has one letter less.
+    w is of the whole models, w1 and w2 of those of one half. key is the hash of the gram,
+    or of the context, which has one letter less. Both models back off to a shared one. All
+    that concerns a gram shares the two letters before its last, so a group for each two
+    letters holds the counts that the shared model needs, down to those of two letters.
     """
-    models = {"w": None, "w1": "1", "w2": "2"}
-    own = grams.filter(" + ".join(SIDES) + " > 0").withColumn("context", F.expr(f"substring(gram, 1, {order - 1})"))
-    counts = {f"{c}_{m}": _class(c, half) for m, half in models.items() for c in "ot"}
-    own = own.select("gram", "context", *[v.alias(k) for k, v in counts.items()])
-    totals = own.groupBy("context").agg(
-        *[F.sum(k).alias(f"sum_{k}") for k in counts], *[F.count_if(F.col(k) > 0).alias(f"kinds_{k}") for k in counts]
-    )
-    shared = shared_model(grams, order).select(F.col("gram").alias("rest"), "p")
-    joined = own.join(totals, "context").withColumn("rest", F.expr("substring(gram, 2)")).join(shared, "rest")
-
-    def rest_weight(k: str) -> Column:
-        total = F.col(f"sum_{k}")
-        return F.when(total > 0, DISCOUNT * F.col(f"kinds_{k}") / total).otherwise(1.0)
-
-    def probability(k: str) -> Column:
-        mine = F.greatest(F.col(k) - DISCOUNT, F.lit(0.0))
-        return F.coalesce(F.try_divide(mine, F.col(f"sum_{k}")), F.lit(0.0)) + rest_weight(k) * F.col("p")
-
-    by_gram = [(F.log(probability(f"t_{m}")) - F.log(probability(f"o_{m}"))).cast("float").alias(m) for m in models]
-    by_context = [(F.log(rest_weight(f"t_{m}")) - F.log(rest_weight(f"o_{m}"))).cast("float").alias(m) for m in models]
-    return joined.select("gram", *by_gram).union(totals.select(F.col("context"), *by_context))
+    if order < 4:
+        raise ValueError("order must be 4 or more")
+    pair = F.expr("right(gram, 2)")
+    short = _short_model(grams)
+    rows = grams.withColumn("pair", pair).join(short, "pair").withColumn("group", F.expr(f"substring(gram, {order - 2}, 2)"))
+    return rows.groupBy("group").applyInArrow(_group_ratios(order), "key bigint, w float, w1 float, w2 float")
 
 
-def _model(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+def _model(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the grams and contexts, sorted, and their weights."""
-    grams = np.array(table.column("gram").to_pylist(), object)
+    keys = table.column("key").to_numpy().view(np.uint64)
     weights = np.column_stack([table.column(c).to_numpy() for c in ("w", "w1", "w2")])
-    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-    keys = np.empty(len(grams), np.uint64)
-    for size in (order - 1, order):
-        own = np.flatnonzero(sizes == size)
-        keys[own] = _hash(_letters("".join(grams[own])), np.arange(len(own)) * size, size)
     by_key = np.argsort(keys)
     return keys[by_key], weights[by_key]
 
@@ -363,7 +389,7 @@ def toxicity_scores(
     if not (toxic and ordinary):
         return _judged(plain.drop("text"), F.lit(toxic / max(toxic + ordinary, 1)))
     grams = stage(gram_counts(texts, chosen, order))
-    model = _model(log_ratios(grams, order).toArrow(), order)
+    model = _model(log_ratios(grams, order).toArrow())
     # At most `max_labelled` rows, each measured with the half it is not in.
     labelled = texts.join(F.broadcast(chosen), "doc_id")
     sample = measured(labelled, model, order, ["side"]).toArrow()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,11 @@ def lower_ascii(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often it occurs in it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns cannot clash with new ones."""
     missing = [c for c in columns if c not in df.columns]

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import require, stage
+from caseflow.llm.common import let, require, stage
 from caseflow.operators.skew import broadcast_if_small
 
 REACH = 80
@@ -55,26 +55,35 @@ def running_sum(values: Column) -> Column:
     def add(s: Column, x: Column) -> Column:
         return F.struct((s["total"] + x).alias("total"), F.concat(s["before"], F.array(s["total"])).alias("before"))
 
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int")),
-        lambda c: F.aggregate(F.slice(values, c * _CHUNK + 1, _CHUNK), start, add),
-    )
-    firsts = F.aggregate(F.transform(chunks, lambda c: c["total"]), start, add)["before"]
-    joined = F.flatten(F.zip_with(chunks, firsts, lambda c, first: F.transform(c["before"], lambda b: b + first)))
-    return F.when(F.size(values) > 0, joined).otherwise(empty)
+    def summed(values: Column) -> Column:
+        pieces = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int")),
+            lambda c: F.aggregate(F.slice(values, c * _CHUNK + 1, _CHUNK), start, add),
+        )
+        return F.when(F.size(values) > 0, let(pieces, shifted)).otherwise(empty)
+
+    def shifted(pieces: Column) -> Column:
+        firsts = F.aggregate(F.transform(pieces, lambda c: c["total"]), start, add)["before"]
+        return F.flatten(F.zip_with(pieces, firsts, lambda c, first: F.transform(c["before"], lambda b: b + first)))
+
+    return let(values, summed)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the matches, in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern)  # one more than the matches
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.char_length(b).alias("b"), F.char_length(m).alias("m")))
-    before = running_sum(F.transform(steps, lambda s: (s["b"] + s["m"]).cast("bigint")))
-    starts = F.zip_with(before, steps, lambda at, s: at + s["b"])
-    return F.zip_with(
-        starts, found,
-        lambda at, m: F.struct(at.alias("start"), (at + F.char_length(m)).alias("end"), m.alias("value")),
-    )
+
+    def placed(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern), 1, F.size(found))  # what stands before each match
+        steps = F.zip_with(
+            between, found, lambda b, m: F.struct(F.char_length(b).cast("bigint").alias("b"), F.char_length(m).cast("bigint").alias("m"), m.alias("value"))
+        )
+        return let(steps, spans)
+
+    def spans(steps: Column) -> Column:
+        before = running_sum(F.transform(steps, lambda s: s["b"] + s["m"]))
+        return F.zip_with(before, steps, lambda at, s: F.struct((at + s["b"]).alias("start"), (at + s["b"] + s["m"]).alias("end"), s["value"].alias("value")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _digits(value: Column) -> Column:

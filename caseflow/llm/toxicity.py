@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ FOLDS = 5
 #: Different words counted or scored before a task empties its table.
 WORDS_HELD = 500_000
 WORDS_AT_ONCE = 20_000
+WORDS_SCORED = 200_000
 CHUNK = 1 << 20
 MAX_WORD = 256
 SEED = 42
@@ -67,6 +69,7 @@ def _word_lists(text: str) -> Iterator[list[str]]:
         start = end
 
 
+@lru_cache
 def _multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(SEED).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -139,8 +142,10 @@ def gram_counts(docs: DataFrame, chosen: DataFrame, order: int) -> DataFrame:
 
     def emptied(sides: dict[str | None, Counter]) -> pa.RecordBatch:
         words = list(set().union(*sides.values()))
-        table = np.array([[sides[s].get(w, 0) for s in (None, *SIDES)] for w in words], float).reshape(-1, 1 + len(SIDES))
-        for counter in sides.values():
+        place = dict(zip(words, range(len(words))))
+        table = np.zeros((len(words), 1 + len(SIDES)))
+        for i, counter in enumerate(sides.values()):
+            table[list(map(place.__getitem__, counter)), i] = list(counter.values())
             counter.clear()
         table[:, 0] = table.sum(axis=1)
         parts: list[tuple] = []
@@ -298,47 +303,67 @@ class _Scorer:
                 self.values[first : first + len(some), i] = np.bincount(of, column, len(some))
             self.held.update(zip(some, range(first, first + len(some))))
 
-    def score(self, text: str) -> tuple[np.ndarray, int]:
-        """Sums over the different words, a row for each kind of measure and a column for
-        each model, and their number."""
-        total, n = np.zeros((1 + len(EXCESS), self.weights.shape[1])), 0
-        for words in _word_lists(text):
-            different = set(words)
-            if not different:
-                continue
-            self.learn(different)
-            ratios = self.values[[self.held[w] for w in different]].astype(float)
-            total[0] += ratios.sum(axis=0)
-            for i, beyond in enumerate(EXCESS, 1):
-                total[i] += np.maximum(ratios - beyond, 0.0).sum(axis=0)
-            n += len(different)
-        return total, n
-
-
-def measured(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], order: int, carry: list[str]) -> DataFrame:
-    """The columns `carry` and the features of each text by the whole models and by those of
-    either half (x, x1, x2). `docs` has a column text."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
+    def scores(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The features of each text, a column for each model."""
+        parts: list[set[str]] = []  # the different words of a text, or of a chunk of it
+        chunks: list[int] = []  # how many parts each text has
+        size = 0
+        for text in texts:
+            chunks.append(0)
+            for words in _word_lists(text):
+                parts.append(set(words))
+                chunks[-1] += 1
+                size += len(parts[-1])
+            if size > WORDS_SCORED:
+                yield from self._features(parts, chunks)
+                parts, chunks, size = [], [], 0
+        yield from self._features(parts, chunks)
+
+    def _features(self, parts: list[set[str]], chunks: list[int]) -> Iterator[np.ndarray]:
+        """Mean measures over the different words; the excesses on a logarithmic scale."""
+        of = np.repeat(np.arange(len(chunks)), chunks)
+        words = np.zeros(len(chunks))
+        total = np.zeros((len(chunks), 1 + len(EXCESS), self.weights.shape[1]))
+        first = 0
+        while first < len(parts):  # no more at once than are held
+            last, size = first, 0
+            while last < len(parts) and (last == first or size + len(parts[last]) <= WORDS_HELD):
+                size += len(parts[last])
+                last += 1
+            some = parts[first:last]
+            self.learn(set().union(*some))
+            sizes = list(map(len, some))
+            rows = self.values[[i for part in some for i in map(self.held.__getitem__, part)]].astype(float)
+            text = np.repeat(of[first:last], sizes)
+            words += np.bincount(text, minlength=len(chunks))
+            for m in range(rows.shape[1]):
+                total[:, 0, m] += np.bincount(text, rows[:, m], len(chunks))
+                for i, beyond in enumerate(EXCESS, 1):
+                    total[:, i, m] += np.bincount(text, np.maximum(rows[:, m] - beyond, 0.0), len(chunks))
+            first = last
+        mean = total / np.maximum(words, 1)[:, None, None]
+        mean[:, 1:] = np.log1p(1000 * mean[:, 1:])
+        yield from mean
+
+
+def measured(
+    docs: DataFrame, model: tuple[np.ndarray, np.ndarray], order: int, carry: list[str], names: list[str]
+) -> DataFrame:
+    """The columns `carry` and the features of each text, an array for each column of the
+    model's weights (`names`). `docs` has a column text."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(*held.value, order)
         for batch in batches:
-            found = [_features(*scorer.score(t.as_py() or "")) for t in batch.column("text")]
+            found = list(scorer.scores(t.as_py() or "" for t in batch.column("text")))
             columns = [batch.column(c) for c in carry]
-            columns += [pa.array([f[:, i] for f in found], pa.list_(pa.float64())) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(columns, [*carry, "x", "x1", "x2"])
+            columns += [pa.array([f[:, i] for f in found], pa.list_(pa.float64())) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, [*carry, *names])
 
     kept = docs.select(*carry).schema.fields
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept])
-    rows = docs.select(*carry, "text")
-    return rows.mapInArrow(run, f"{schema}, x array<double>, x1 array<double>, x2 array<double>")
-
-
-def _features(total: np.ndarray, n: int) -> np.ndarray:
-    """Measures by length; the excesses on a logarithmic scale."""
-    mean = total / max(n, 1)
-    return np.concatenate((mean[:1], np.log1p(1000 * mean[1:])))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} array<double>" for n in names]
+    return docs.select(*carry, "text").mapInArrow(run, ", ".join(schema))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -392,7 +417,8 @@ def toxicity_scores(
     model = _model(log_ratios(grams, order).toArrow())
     # At most `max_labelled` rows, each measured with the half it is not in.
     labelled = texts.join(F.broadcast(chosen), "doc_id")
-    sample = measured(labelled, model, order, ["side"]).toArrow()
+    keys, weights = model
+    sample = measured(labelled, (keys, weights[:, 1:]), order, ["side"], ["x1", "x2"]).toArrow()
     side = np.array(sample.column("side").to_pylist())
     first, second = (np.array(sample.column(c).to_pylist()) for c in ("x1", "x2"))
     other = np.where(np.char.endswith(side, "1")[:, None], second, first)
@@ -400,7 +426,7 @@ def toxicity_scores(
     total = F.lit(float(curve[0]))
     for i, weight in enumerate(curve[1:]):
         total = total + float(weight) * F.col("x")[i]
-    scored = measured(plain, model, order, ["doc_id", "text_hash", "held_out"])
+    scored = measured(plain, (keys, weights[:, :1]), order, ["doc_id", "text_hash", "held_out"], ["x"])
     return _judged(scored, 1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(500.0)), F.lit(-500.0)))))
 
 

@@ -17,6 +17,7 @@ from caseflow.operators.skew import (
     salted_join,
     spread_hot,
 )
+from caseflow.sources import stage_table
 
 PART_ROWS = 1_000
 
@@ -55,6 +56,25 @@ def orders_during_visit(
     )
 
 
+def _ranked_by_range(rows: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
+    """Add `_rank`, the place of each row among those of its key, without a task that has
+    all of a key: rows are dealt out by ranges of (key, order), written, and numbered from
+    the counts of the ranges before.
+    """
+    ranges = rows.repartitionByRange(key, *order_by).withColumn("_range", F.spark_partition_id())
+    ranges = stage_table(ranges)  # the ranges are sampled anew in each run
+    counts = ranges.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    earlier = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_key", "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order_by))
+    numbered = ranges.withColumn("_place", inside).join(
+        before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at"))
+    )
+    return numbered.withColumn("_rank", F.col("_before") + F.col("_place")).select(*rows.columns, "_rank")
+
+
 def collect_per_key(
     df: DataFrame,
     key: str,
@@ -63,46 +83,40 @@ def collect_per_key(
     suffix: str = "_list",
     part_rows: int = PART_ROWS,
     min_rows: int = MIN_HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """One list per key and column, in `order_by` order; NULLs are skipped.
+    """Lists per key and column in pages: key, part, rows, lists; NULLs are skipped.
 
-    Result: key, part, lists. No list is longer than `part_rows`, so no key is held
-    in memory whole: longer lists go on in further rows, told apart by `part`. A key
-    of up to `part_rows` rows is one row with part 0. The rows of a hot key are
-    collected in many tasks, each in parts of its own; rows salted by an earlier join
-    are collected where they are. `order_by` must tell the rows of a key apart.
+    Page `part` (from 0) holds entries part * part_rows and on of the key, in `order_by`
+    order, and was made of `rows` rows: put end to end the pages are the whole list,
+    whatever the page length and whichever keys are hot. No page is longer than
+    `part_rows`, so no key is held in memory whole. `order_by` must tell the rows of a key
+    apart. Rows salted by an earlier join are numbered where they are, but for those of
+    `hot` keys (which that join was given), which are numbered by ranges.
     """
-    rows = df
-    if SALT not in df.columns:
-        hot = hot_keys(df, key, min_rows)
-        rows = spread_hot(df, key, F.xxhash64(*order_by), hot)
-    rank = F.row_number().over(Window.partitionBy(key, SALT).orderBy(*order_by))
+    hot = hot_keys(df, key, min_rows) if hot is None else hot
+    rows = df if SALT in df.columns else spread_hot(df, key, F.xxhash64(*order_by), hot)
+    names = list(dict.fromkeys([key, *columns, *order_by]))
+    single = F.row_number().over(Window.partitionBy(key, SALT).orderBy(*order_by))
+    ranked = rows.filter(F.col(FAN) == 1).withColumn("_rank", single).select(*names, SALT, "_rank")
+    if not hot.isEmpty():
+        spread = _ranked_by_range(rows.filter(F.col(FAN) > 1).select(*names), key, order_by)
+        ranked = ranked.union(spread.select(*names, F.lit(0).alias(SALT), "_rank"))
     entry = F.struct(
         *[as_column(c).alias(f"_o{i}") for i, c in enumerate(order_by)],
         *[as_column(c).alias(f"_c{i}") for i, c in enumerate(columns)],
     )
     collected = (
-        rows.withColumn("_chunk", F.floor((rank - 1) / F.lit(part_rows)).cast("long"))
-        .groupBy(key, SALT, FAN, "_chunk")
+        ranked.withColumn("part", F.floor((F.col("_rank") - 1) / F.lit(part_rows)).cast("long"))
+        .groupBy(key, SALT, "part")
         .agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
     )
     return collected.select(
         key,
-        (F.col("_chunk") * F.col(FAN) + F.col(SALT)).alias("part"),
+        "part",
+        F.size("_rows").cast("long").alias("rows"),
         *[
             F.array_compact(F.col("_rows").getField(f"_c{i}")).alias(c + suffix)
             for i, c in enumerate(columns)
         ],
     )
-
-
-def first_parts(lists: DataFrame, key: str, parts: str) -> DataFrame:
-    """One row per key: its first part, and the number of parts in column `parts`.
-
-    That is the whole list for every key with one part. Each task hands on one part
-    per key, so a key of many parts sends few rows.
-    """
-    names = [c for c in lists.columns if c not in (key, "part")]
-    first = F.min(F.struct("part", *names)).alias("_first")
-    counted = lists.groupBy(key).agg(first, F.count(F.lit(1)).alias(parts))
-    return counted.select(key, *[F.col(f"_first.{n}").alias(n) for n in names], parts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,7 +26,6 @@ from caseflow.operators.frame import merge, parse_timestamps, split_by_age
 from caseflow.operators.orders import (
     PART_ROWS,
     collect_per_key,
-    first_parts,
     orders_during_visit,
 )
 from caseflow.operators.skew import (
@@ -36,7 +35,6 @@ from caseflow.operators.skew import (
     hot_keys,
     salted_join,
     spread_join,
-    with_fan,
 )
 from caseflow.schemas import NOTE_METADATA, VISITS, require_columns
 from caseflow.sources import stage_table
@@ -93,22 +91,23 @@ def imaging_lists(
     visits: DataFrame,
     prefixes: Sequence[str] = IMAGING_PREFIXES,
     min_hot: int = MIN_HOT_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Imaging orders placed during each visit: encounter_id, part, imaging_orders."""
+    """Imaging orders placed during each visit, in pages: encounter_id, part,
+    imaging_rows, imaging_orders.
+    """
     name = "firstprocedurename"
     wanted = imaging.filter(starts_with_any(name, prefixes)).select(
         "encounter_id", "imagingkey", name, "ordering_datetime"
     )
+    hot = stage_table(hot_keys(wanted, "encounter_id", min_hot))
     placed = orders_during_visit(
-        parse_timestamps(wanted, ["ordering_datetime"]),
-        visits,
-        "ordering_datetime",
-        "imagingkey",
-        hot=hot_keys(wanted, "encounter_id", min_hot),
+        parse_timestamps(wanted, ["ordering_datetime"]), visits, "ordering_datetime", "imagingkey", hot=hot
     )
     named = placed.withColumn("imaging_orders", strip_commas(name))
     order = ["ordering_datetime", "imagingkey"]
-    return collect_per_key(named, "encounter_id", ["imaging_orders"], order, suffix="")
+    lists = collect_per_key(named, "encounter_id", ["imaging_orders"], order, "", part_rows, hot=hot)
+    return lists.withColumnRenamed("rows", "imaging_rows")
 
 
 def medication_lists(
@@ -116,9 +115,10 @@ def medication_lists(
     visits: DataFrame,
     therapeutic_class: str = MEDICATION_CLASS,
     min_hot: int = MIN_HOT_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Medication orders placed during each visit: encounter_id, part, and the orders
-    as three `_abx_list` columns.
+    """Medication orders placed during each visit, in pages: encounter_id, part, abx_rows,
+    and the orders as three `_abx_list` columns.
     """
     wanted = medications.filter(F.col("medicationtherapeuticclass") == therapeutic_class)
     timed = wanted.select(
@@ -129,57 +129,50 @@ def medication_lists(
             "medicationorder_datetime"
         ),
     )
+    hot = stage_table(hot_keys(wanted, "encounter_id", min_hot))
     placed = orders_during_visit(
-        timed,
-        visits,
-        "medicationorder_datetime",
-        "medicationorderkey",
-        hot=hot_keys(wanted, "encounter_id", min_hot),
+        timed, visits, "medicationorder_datetime", "medicationorderkey", hot=hot
     )
-    return collect_per_key(
+    lists = collect_per_key(
         placed,
         "encounter_id",
         ["medicationorderkey", "medicationgenericname", "medicationorder_datetime"],
         ["medicationorder_datetime", "medicationorderkey"],
-        suffix="_abx_list",
+        "_abx_list",
+        part_rows,
+        hot=hot,
     )
+    return lists.withColumnRenamed("rows", "abx_rows")
+
+
+def order_pages(imaging: DataFrame, medications: DataFrame) -> DataFrame:
+    """Both lists of each visit side by side, a row per page (encounter_id, part), with the
+    numbers of orders of the whole visit: imaging_count and abx_count, NULL for none.
+    """
+    both = imaging.join(medications, ["encounter_id", "part"], "full_outer")
+    of_visit = Window.partitionBy("encounter_id")
+    counts = {f"{c}_count": F.sum(f"{c}_rows").over(of_visit) for c in ("imaging", "abx")}
+    return both.withColumns(counts).drop("imaging_rows", "abx_rows")
 
 
 def add_order_lists(
     notes: DataFrame,
-    lists: DataFrame,
-    parts: str,
+    pages: DataFrame,
     hot: DataFrame | None = None,
-    copies: DataFrame | None = None,
     min_hot: int = MIN_HOT_ROWS,
 ) -> DataFrame:
-    """Attach the order lists of each visit to its notes; notes without stay.
-
-    `parts` names a column with the number of parts of the visit's list, NULL where
-    nothing was ordered. A list of one part is attached whole. A longer one is not
-    repeated on every note, and neither is any list of a visit with a great many notes
-    (`hot`): it is NULL on the notes, with `parts` filled, and stays in `lists`.
+    """Attach the order lists of each visit to its notes: one row per note and page.
 
-    `copies` (encounter_id, copies) has every entry repeated that many times, as far as
-    the result still fits one part.
+    Every note gets every page, so a list is never cut off and no row is longer than a
+    page. A visit of up to one page, or without orders, leaves one row per note, with part
+    0. Notes of `hot` visits are spread over salts and the pages copied to each.
     """
-    whole = first_parts(lists, "encounter_id", parts)
-    names = [c for c in whole.columns if c not in ("encounter_id", parts)]
-    entry = {c: F.col(c) for c in names}
     hot = hot_keys(notes, "encounter_id", min_hot) if hot is None else hot
-    fits = (F.col(parts) == 1) & F.col(FAN).isNull()
-    whole = with_fan(whole, "encounter_id", hot)
-    if copies is not None:
-        whole = whole.join(copies, "encounter_id", "left")
-        n = F.col("copies").cast("int")
-        fits = fits & (F.size(names[0]) * F.col("copies") <= PART_ROWS)
-        entry = {c: F.flatten(F.transform(c, lambda x: F.array_repeat(x, n))) for c in names}
-    attached = [F.when(fits, entry[c]).alias(c) for c in names]
-    whole = whole.select("encounter_id", *attached, parts)
     if SALT in notes.columns:
-        return salted_join(notes, whole, "encounter_id", hot, "left")
-    spread = spread_join(notes, whole, "encounter_id", "note_id", "left", hot=hot)
-    return spread.drop(SALT, FAN)
+        joined = salted_join(notes, pages, "encounter_id", hot, "left")
+    else:
+        joined = spread_join(notes, pages, "encounter_id", "note_id", "left", hot=hot).drop(SALT, FAN)
+    return joined.withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
 
 
 def add_site_label(df: DataFrame, sites: DataFrame, locations: DataFrame) -> DataFrame:
@@ -207,15 +200,17 @@ def build_cohort(
     orders_per_note: bool = False,
     stage: bool = True,
     min_hot: int = MIN_HOT_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """The whole cohort from visits, patients, durations, note_metadata, note_text,
     imaging and medications.
 
     Note text is by far the widest column, so it is joined last, to the notes that
     are left. Until then notes move once: the visit and both order lists are joined
-    on the partitioning the notes already have. `orders_per_note` lists a medication
-    order once per note of its visit instead of once. Very long lists are not attached
-    (`add_order_lists`).
+    on the partitioning the notes already have. A note has a row for each page of
+    `part_rows` orders of its visit (`add_order_lists`), which is one for nearly all.
+    `orders_per_note` adds order_copies, the number of notes of the visit, which is how
+    often each medication order counts then.
 
     With `stage` the notes are written to the shared folder before their text is
     joined. Their number is then known, and texts that no note needs are not moved;
@@ -225,18 +220,19 @@ def build_cohort(
         require_columns(tables[name], _NEEDED[name], name)
     metadata = _known(provider_notes(tables["note_metadata"], specialties), NOTE_METADATA)
     visits = adult_visits(_known(tables["visits"], VISITS), tables["durations"])
-    hot = hot_keys(metadata, "encounter_id", min_hot)
+    hot = stage_table(hot_keys(metadata, "encounter_id", min_hot))
     described = add_demographics(visits, tables["patients"])
     notes = visit_notes(described, metadata, hot)
 
-    imaging = imaging_lists(tables["imaging"], visits, min_hot=min_hot)
-    medications = medication_lists(tables["medications"], visits, min_hot=min_hot)
-    copies = None
+    pages = order_pages(
+        imaging_lists(tables["imaging"], visits, min_hot=min_hot, part_rows=part_rows),
+        medication_lists(tables["medications"], visits, min_hot=min_hot, part_rows=part_rows),
+    )
     if orders_per_note:
-        copies = notes.groupBy("encounter_id").agg(F.count(F.lit(1)).alias("copies"))
-    notes = add_order_lists(notes, imaging, "imaging_orders_parts", hot)
-    notes = add_order_lists(notes, medications, "abx_list_parts", hot, copies)
-    notes = notes.withColumn("abx_ordered_ed", flag_present("abx_list_parts"))
+        copies = notes.groupBy("encounter_id").agg(F.count(F.lit(1)).alias("order_copies"))
+        pages = pages.join(copies, "encounter_id", "left")
+    notes = add_order_lists(notes, pages, hot)
+    notes = notes.withColumn("abx_ordered_ed", flag_present("abx_count"))
     notes, text = notes.drop(SALT, FAN), tables["note_text"]
     if stage:
         notes = stage_table(notes)

@@ -143,7 +143,13 @@ def prepare_notes(
     sentinel: str = NO_SECTION,
     limit: int = TOKEN_LIMIT,
 ) -> DataFrame:
-    """Notes ready to sample from: all sections usable, text within the limit."""
+    """Notes ready to sample from: all sections usable, text within the limit.
+
+    Of a cohort in pages (`part`) the first page of each note is used; it has an order of
+    every kind that the visit has.
+    """
+    if "part" in cohort.columns:
+        cohort = cohort.filter("part = 0")
     usable = within_token_limit(
         drop_unusable(sectioned_notes(cohort, headings, sentinel), SECTIONS, sentinel), limit=limit
     )
@@ -151,6 +157,6 @@ def prepare_notes(
         {
             "history_examination_text_tokens": F.col("history_text_tokens")
             + F.col("examination_text_tokens"),
-            "imaging_orders_binary": flag_present("imaging_orders_parts"),
+            "imaging_orders_binary": flag_present("imaging_orders"),
         }
     )

@@ -17,6 +17,7 @@ from entries.profiles import rounded
 from entries.registry import query
 from entries.standins import (
     LABELLING,
+    PAGE,
     PER_CLASS,
     SPECIALTIES,
     UNBALANCED,
@@ -45,11 +46,11 @@ def joined(df, column, name):
     with_tables("cohort")
     + """SELECT patient_id, patient_id2, ed_visit_id, encounter_id, admission_id, arrivalmethod, sex,
            ethnicity, firstrace, multiracial, days, round(edvisit_age, 9) AS edvisit_age, note_id,
-           service_date, note_text, imaging_orders, order_keys, generic_names, order_times,
-           abx_ordered_ed FROM cohort""",
+           service_date, note_text, part, imaging_orders, order_keys, generic_names, order_times,
+           imaging_count, abx_count, abx_ordered_ed FROM cohort""",
 )
 def cohort(spark, sf_dir):
-    df = build_cohort(tables(spark, sf_dir), SPECIALTIES)
+    df = build_cohort(tables(spark, sf_dir), SPECIALTIES, part_rows=PAGE)
     return df.select(
         "patient_id",
         "patient_id2",
@@ -66,10 +67,13 @@ def cohort(spark, sf_dir):
         "note_id",
         "service_date",
         "note_text",
+        "part",
         joined(df, "imaging_orders", "imaging_orders"),
         joined(df, "medicationorderkey_abx_list", "order_keys"),
         joined(df, "medicationgenericname_abx_list", "generic_names"),
         joined(df, "medicationorder_datetime_abx_list", "order_times"),
+        "imaging_count",
+        "abx_count",
         "abx_ordered_ed",
     )
 

@@ -14,12 +14,14 @@ from caseflow.plans.cohort import (
     add_site_label,
     imaging_lists,
     medication_lists,
+    order_pages,
     notes_with_text,
     visit_notes,
 )
 from caseflow.plans.reports import HUMAN, attach_human_left, attach_human_right, human_label
 from entries.registry import query, table
 from entries.standins import (
+    PAGE,
     human_codes,
     imaging,
     medications,
@@ -157,21 +159,27 @@ def interval_fanout(spark, sf_dir):
 
 @query(
     "collect_per_key",
-    """SELECT o_custkey, CAST(0 AS BIGINT) AS part,
-         string_agg(o_orderpriority, '|' ORDER BY o_orderdate, o_orderkey) AS priorities,
+    """SELECT o_custkey, place // 8 AS part, count(*) AS rows,
+         string_agg(o_orderpriority, '|' ORDER BY place) AS priorities,
          coalesce(string_agg(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, '|'
-           ORDER BY o_orderdate, o_orderkey), '') AS statuses
-       FROM orders GROUP BY o_custkey""",
+           ORDER BY place), '') AS statuses
+       FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1
+         AS place FROM orders) GROUP BY o_custkey, part""",
 )
 def collected(spark, sf_dir):
     status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
     rows = table(spark, sf_dir, "orders").withColumn("o_orderstatus", status)
     lists = collect_per_key(
-        rows, "o_custkey", ["o_orderpriority", "o_orderstatus"], ["o_orderdate", "o_orderkey"]
+        rows,
+        "o_custkey",
+        ["o_orderpriority", "o_orderstatus"],
+        ["o_orderdate", "o_orderkey"],
+        part_rows=8,
     )
     return lists.select(
         "o_custkey",
         "part",
+        "rows",
         F.array_join("o_orderpriority_list", "|").alias("priorities"),
         F.array_join("o_orderstatus_list", "|").alias("statuses"),
     )
@@ -179,22 +187,28 @@ def collected(spark, sf_dir):
 
 @query(
     "add_order_lists",
-    with_tables("note_metadata", "imaging_lists", "medication_lists")
-    + """SELECT note_id, encounter_id, imaging_orders, order_keys, generic_names, order_times
-         FROM note_metadata LEFT JOIN imaging_lists USING (encounter_id)
-         LEFT JOIN medication_lists USING (encounter_id)""",
+    with_tables("note_metadata", "order_pages")
+    + """SELECT note_id, encounter_id, coalesce(part, 0) AS part, imaging_orders, order_keys,
+           generic_names, order_times, imaging_count, abx_count
+         FROM note_metadata LEFT JOIN order_pages USING (encounter_id)""",
 )
 def listed(spark, sf_dir):
     timed = _timed_visits(spark, sf_dir)
     notes = note_metadata(spark, sf_dir).select("note_id", "encounter_id")
-    notes = add_order_lists(notes, imaging_lists(imaging(spark, sf_dir), timed), "n_imaging")
-    notes = add_order_lists(notes, medication_lists(medications(spark, sf_dir), timed), "n_abx")
+    pages = order_pages(
+        imaging_lists(imaging(spark, sf_dir), timed, part_rows=PAGE),
+        medication_lists(medications(spark, sf_dir), timed, part_rows=PAGE),
+    )
+    notes = add_order_lists(notes, pages)
     times = F.transform(
         "medicationorder_datetime_abx_list", lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
     )
     return notes.select(
         "note_id",
         "encounter_id",
+        "part",
+        "imaging_count",
+        "abx_count",
         F.array_join("imaging_orders", "|").alias("imaging_orders"),
         F.array_join("medicationorderkey_abx_list", "|").alias("order_keys"),
         F.array_join("medicationgenericname_abx_list", "|").alias("generic_names"),

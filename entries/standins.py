@@ -15,6 +15,8 @@ from caseflow.plans.prompts import template_rows
 from entries.registry import table
 
 SPECIALTIES = ("Emergency Medicine", "Urgent Care")
+#: Orders on a page of a list; some visits have more.
+PAGE = 2
 TASKS = ("admitted", "imaging_orders_binary", "abx_ordered_ed")
 SAMPLES = ("balanced", "unbalanced", "labelling", "reversed")
 FMT = "yyyy-MM-dd HH:mm:ss"
@@ -366,38 +368,45 @@ CTES = {
               '%Y-%m-%d%H:%M:%S') END AS medicationorder_datetime
         FROM medications""",
     "imaging_lists": f"""
-        SELECT encounter_id, string_agg(replace(firstprocedurename, ',', ''), '|'
-            ORDER BY {_timestamp('ordering_datetime')}, imagingkey) AS imaging_orders
+        SELECT encounter_id, place // {PAGE} AS part, string_agg(replace(firstprocedurename, ',', ''), '|'
+            ORDER BY place) AS imaging_orders
+        FROM (SELECT *, row_number() OVER (PARTITION BY encounter_id
+            ORDER BY {_timestamp('ordering_datetime')} NULLS FIRST, imagingkey) - 1 AS place
         FROM imaging JOIN visit_times USING (encounter_id)
         WHERE {_timestamp('ordering_datetime')} BETWEEN arrival AND departure
           AND (firstprocedurename LIKE 'XR%' OR firstprocedurename LIKE 'US %'
             OR firstprocedurename LIKE 'POC US %' OR firstprocedurename LIKE 'CT %'
-            OR firstprocedurename LIKE 'IR CT %' OR firstprocedurename LIKE 'MR %')
-        GROUP BY encounter_id""",
-    "medication_lists": """
-        SELECT encounter_id,
-          string_agg(medicationorderkey, '|' ORDER BY medicationorder_datetime, medicationorderkey)
-            AS order_keys,
-          coalesce(string_agg(medicationgenericname, '|'
-            ORDER BY medicationorder_datetime, medicationorderkey), '') AS generic_names,
-          string_agg(strftime(medicationorder_datetime, '%Y-%m-%d %H:%M:%S'), '|'
-            ORDER BY medicationorder_datetime, medicationorderkey) AS order_times
+            OR firstprocedurename LIKE 'IR CT %' OR firstprocedurename LIKE 'MR %'))
+        GROUP BY encounter_id, part""",
+    "medication_lists": f"""
+        SELECT encounter_id, place // {PAGE} AS part,
+          string_agg(medicationorderkey, '|' ORDER BY place) AS order_keys,
+          coalesce(string_agg(medicationgenericname, '|' ORDER BY place), '') AS generic_names,
+          string_agg(strftime(medicationorder_datetime, '%Y-%m-%d %H:%M:%S'), '|' ORDER BY place)
+            AS order_times
+        FROM (SELECT *, row_number() OVER (PARTITION BY encounter_id
+            ORDER BY medicationorder_datetime, medicationorderkey) - 1 AS place
         FROM timed_medications JOIN visit_times USING (encounter_id)
         WHERE medicationtherapeuticclass = 'ANTIBIOTICS'
-          AND medicationorder_datetime BETWEEN arrival AND departure
-        GROUP BY encounter_id""",
+          AND medicationorder_datetime BETWEEN arrival AND departure)
+        GROUP BY encounter_id, part""",
+    "order_pages": """
+        SELECT encounter_id, part, imaging_orders, order_keys, generic_names, order_times,
+          CAST(sum(len(string_split(imaging_orders, '|'))) OVER w AS BIGINT) AS imaging_count,
+          CAST(sum(len(string_split(order_keys, '|'))) OVER w AS BIGINT) AS abx_count
+        FROM imaging_lists FULL JOIN medication_lists USING (encounter_id, part)
+        WINDOW w AS (PARTITION BY encounter_id)""",
     "cohort": """
         SELECT v.patient_id, v.patient_id2, v.ed_visit_id, v.encounter_id, v.admission_id,
           v.arrivalmethod, p.sex, p.ethnicity, p.firstrace, p.multiracial, d.days,
           d.days / 365.25 AS edvisit_age, m.note_id, m.service_date, t.note_text,
-          i.imaging_orders, a.order_keys, a.generic_names, a.order_times,
-          CASE WHEN a.order_keys IS NULL THEN 'N' ELSE 'Y' END AS abx_ordered_ed
+          coalesce(o.part, 0) AS part, o.imaging_orders, o.order_keys, o.generic_names, o.order_times,
+          o.imaging_count, o.abx_count, CASE WHEN o.abx_count IS NULL THEN 'N' ELSE 'Y' END AS abx_ordered_ed
         FROM note_metadata m
         JOIN visits v ON m.encounter_id = v.encounter_id
         LEFT JOIN patients p ON v.patient_id = p.patient_id
         JOIN durations d ON v.agekey = d.durationkey AND d.days / 365.25 >= 18
-        LEFT JOIN imaging_lists i ON m.encounter_id = i.encounter_id
-        LEFT JOIN medication_lists a ON m.encounter_id = a.encounter_id
+        LEFT JOIN order_pages o ON m.encounter_id = o.encounter_id
         LEFT JOIN note_text t ON m.note_id = t.note_id
         WHERE m.note_type = 'ED Provider Notes'
           AND m.prov_specialty IN ('Emergency Medicine', 'Urgent Care')""",
@@ -407,7 +416,7 @@ CTES = {
               ORDER BY service_date NULLS LAST, length(txt) DESC NULLS LAST, note_id) AS place
           FROM (SELECT *, {clean('note_text')} AS txt,
               CASE WHEN admission_id IS NOT DISTINCT FROM '-1' THEN 0 ELSE 1 END AS admitted
-            FROM cohort))
+            FROM cohort WHERE part = 0))
         WHERE place = 1""",
     "placed_headings": f"""
         SELECT *, {position('txt', ('Chief Complaint', 'CHIEF COMPLAINT'))} AS p1,

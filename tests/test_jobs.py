@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from functools import partial
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,14 +12,11 @@ from caseflow.fixed_values import LABEL_COLUMNS, PROMPT_COLUMNS
 from caseflow.operators.frame import same_keys
 from caseflow.operators.profile import cohort_stats
 from caseflow.plans.answers import ingest_responses
-from caseflow.operators.orders import collect_per_key
-from caseflow.plans import cohort as cohort_plan
 from caseflow.plans.cohort import (
     add_site_label,
     adult_visits,
     build_cohort,
     funnel,
-    imaging_lists,
     text_of,
 )
 from caseflow.plans.notes import prepare_notes, sectioned_notes
@@ -65,7 +62,9 @@ def test_cohort_lists(cohort):
         keys, names = clinic.ABX_LISTS.get(e, (None, None))
         assert (r.medicationorderkey_abx_list, r.medicationgenericname_abx_list) == (keys, names), e
         assert r.abx_ordered_ed == ("Y" if keys else "N")
-        assert r.imaging_orders_parts == (1 if e in clinic.IMAGING_LISTS else None)
+        assert r.part == 0
+        assert r.imaging_count == (len(clinic.IMAGING_LISTS[e]) if e in clinic.IMAGING_LISTS else None)
+        assert r.abx_count == (len(keys) if keys else None)
 
 
 def test_cohort_columns(cohort):
@@ -85,41 +84,42 @@ def test_cohort_columns(cohort):
 @pytest.mark.parametrize("min_hot, stage", [(1, False), (2, True), (10**6, False)])
 def test_hot_visits_and_staging_change_nothing(tables, cohort, min_hot, stage):
     salted = build_cohort(tables, SPECIALTIES, stage=stage, min_hot=min_hot)
-    keys = ["note_id", "encounter_id", "abx_ordered_ed", "edvisit_age", "sex", "note_text"]
-    assert sorted(map(tuple, salted.select(keys).collect()), key=str) == sorted(map(tuple, cohort.select(keys).collect()), key=str)
+    assert salted.columns == cohort.columns
+    assert sorted(map(str, salted.collect())) == sorted(map(str, cohort.collect()))
+
+
+@pytest.mark.parametrize("min_hot", [1, 2, 10**6])
+def test_pages_put_end_to_end_are_the_lists(tables, min_hot):
+    paged = build_cohort(tables, SPECIALTIES, min_hot=min_hot, part_rows=2)
+    lists = ["imaging_orders", "medicationorderkey_abx_list", "medicationgenericname_abx_list"]
+    joined = defaultdict(lambda: [[], [], []])
+    flags = defaultdict(set)
+    for r in sorted(paged.collect(), key=lambda r: r.part):
+        for whole, c in zip(joined[r.note_id], lists):
+            assert len(r[c] or []) <= 2
+            whole += r[c] or []
+        flags[r.encounter_id].add((r.abx_ordered_ed, r.imaging_count, r.abx_count))
+    assert set(joined) == set(clinic.COHORT_NOTES)
+    for r in build_cohort(tables, SPECIALTIES).collect():
+        assert joined[r.note_id] == [r[c] or [] for c in lists]
+        assert flags[r.encounter_id] == {(r.abx_ordered_ed, r.imaging_count, r.abx_count)}
+    assert sorted(map(str, prepare_notes(paged).drop("part", *lists, "medicationorder_datetime_abx_list").collect())) == sorted(
+        map(str, prepare_notes(build_cohort(tables, SPECIALTIES)).drop("part", *lists, "medicationorder_datetime_abx_list").collect())
+    )
+
+
+def test_notes_of_a_stored_cohort_without_pages(cohort, prepared):
+    stored = prepare_notes(cohort.drop("part", "imaging_count", "abx_count"))
+    keys = ["encounter_id", "imaging_orders_binary", "abx_ordered_ed"]
+    assert sorted(map(tuple, stored.select(keys).collect())) == sorted(map(tuple, prepared.select(keys).collect()))
 
 
 def test_orders_per_note(tables):
     per_note = {r.note_id: r for r in build_cohort(tables, SPECIALTIES, orders_per_note=True).collect()}
     assert len(per_note) == len(clinic.COHORT_NOTES)
-    assert per_note["n5a"].medicationorderkey_abx_list == ["m1"] * 3 + ["m2"] * 3
-    assert per_note["n7a"].medicationorderkey_abx_list == ["m7"] * 2
-    assert per_note["n14"].medicationorderkey_abx_list == ["m8"]
-
-
-def test_long_lists_and_hot_visits(spark, tables, monkeypatch):
-    """Lists of several parts, and lists of visits with many notes, stay apart."""
-    monkeypatch.setattr(cohort_plan, "collect_per_key", partial(collect_per_key, part_rows=2))
-    rows = {r.note_id: r for r in build_cohort(tables, SPECIALTIES).collect()}
-    assert (rows["n5a"].imaging_orders, rows["n5a"].imaging_orders_parts) == (None, 2)
-    assert rows["n13"].imaging_orders == ["US ABD", "IR CT BX"]
-    assert rows["n5a"].medicationorderkey_abx_list == ["m1", "m2"] and rows["n5a"].abx_list_parts == 1
-    visits = adult_visits(tables["visits"], tables["durations"])
-    parts = imaging_lists(tables["imaging"], visits).filter("encounter_id = 'e5'").orderBy("part").collect()
-    assert [r.imaging_orders for r in parts] == [["XRAY", "XR CHEST TWO VIEWS"], ["CT HEAD"]]
-    monkeypatch.undo()
-    hot = {r.note_id: r for r in build_cohort(tables, SPECIALTIES, min_hot=2).collect()}
-    assert hot["n5a"].imaging_orders is None and hot["n5a"].imaging_orders_parts >= 1
-    assert hot["n5a"].abx_ordered_ed == "Y" and hot["n7a"].imaging_orders == ["POC US FAST"]
-    assert prepare_notes(build_cohort(tables, SPECIALTIES, min_hot=2)).filter(
-        "encounter_id = 'e5' AND imaging_orders_binary = 'Y'").count() == 1
-
-
-def test_repeats_that_do_not_fit_are_left_out(tables, monkeypatch):
-    monkeypatch.setattr(cohort_plan, "PART_ROWS", 5)
-    rows = {r.note_id: r for r in build_cohort(tables, SPECIALTIES, orders_per_note=True).collect()}
-    assert (rows["n5a"].medicationorderkey_abx_list, rows["n5a"].abx_list_parts) == (None, 1)
-    assert rows["n7a"].medicationorderkey_abx_list == ["m7"] * 2
+    assert (per_note["n5a"].medicationorderkey_abx_list, per_note["n5a"].order_copies) == (["m1", "m2"], 3)
+    assert (per_note["n7a"].medicationorderkey_abx_list, per_note["n7a"].order_copies) == (["m7"], 2)
+    assert per_note["n14"].order_copies == 1
 
 
 def test_cohort_stats_and_funnel(cohort):

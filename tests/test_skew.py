@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from caseflow.operators import skew
-from caseflow.operators.orders import collect_per_key, first_parts, orders_during_visit
+from caseflow.operators.orders import collect_per_key, orders_during_visit
 from caseflow.operators.skew import FAN, SALT, hot_keys, spread_hot, spread_join
 from caseflow.plans.cohort import add_age, add_demographics, add_order_lists
 from tests.conftest import plan_of
@@ -87,72 +87,71 @@ def test_orders_during_visit(orders, visits, min_rows):
     assert sorted((r.okey, r.copies) for r in fan.collect()) == sorted((r[1], 2) for r in inside())
 
 
-def test_lists_come_whole_in_bounded_parts(orders, visits):
-    placed = orders_during_visit(orders, visits, "t", "okey", hot=hot_keys(orders, "encounter_id", MIN))
-    lists = collect_per_key(placed, "encounter_id", ["okey", "name"], ["t", "okey"], part_rows=8)
+def whole_lists(rows):
+    """Entries by visit, in order."""
+    out = defaultdict(list)
+    for visit, key, t, name in sorted(rows, key=lambda r: (r[2] is not None, r[2], r[1])):
+        out[visit].append((key, name))
+    return out
+
+
+@pytest.mark.parametrize("min_rows", [MIN, 10**6])
+@pytest.mark.parametrize("part_rows", [8, 10**6])
+def test_pages_are_whole_and_in_order(orders, visits, min_rows, part_rows):
+    hot = hot_keys(orders, "encounter_id", min_rows)
+    placed = orders_during_visit(orders, visits, "t", "okey", hot=hot)
+    lists = collect_per_key(placed, "encounter_id", ["okey", "name"], ["t", "okey"], part_rows=part_rows, hot=hot)
     got, parts = defaultdict(list), defaultdict(list)
-    for r in lists.collect():
-        assert 0 < len(r.okey_list) <= 8 and len(r.okey_list) == len(r.name_list)
+    for r in lists.orderBy("part").collect():
+        assert 0 < len(r.okey_list) == len(r.name_list) == r.rows <= part_rows
         got[r.encounter_id] += zip(r.okey_list, r.name_list)
-        parts[r.encounter_id].append(r.part)
-    want = defaultdict(list)
-    for visit, key, t, name in sorted(inside(), key=lambda r: (r[2], r[1])):
-        want[visit].append((key, name))
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
-    assert all(len(set(p)) == len(p) for p in parts.values())
-    first = {r.encounter_id: (r.okey_list, r.n) for r in first_parts(lists, "encounter_id", "n").collect()}
-    assert set(first) == set(want)
-    for visit, rows in want.items():
-        if len(rows) <= 8 and visit != "hot":
-            assert first[visit] == ([k for k, _ in rows], 1)
-        assert first[visit][1] == len(parts[visit])
-
-
-def test_add_order_lists_to_hot_notes(spark, orders):
+        parts[r.encounter_id].append((r.part, r.rows))
+    assert got == whole_lists(inside())
+    for pages in parts.values():
+        assert [p for p, _ in pages] == list(range(len(pages)))
+        assert all(n == part_rows for _, n in pages[:-1])
+
+
+def test_every_note_gets_every_order(spark):
+    """2,500 orders and three notes of one visit; five inside another and 500 outside."""
+    rows = [("long", f"o{i:05d}", i) for i in range(2_500)] + [("few", f"p{i}", i) for i in range(5)]
+    rows += [("few", f"q{i}", 10**6 + i) for i in range(500)]
+    orders = spark.createDataFrame(rows, "encounter_id string, okey string, t bigint")
+    visits = spark.createDataFrame([("long", 0, 10_000), ("few", 0, 10_000)], "encounter_id string, a bigint, d bigint")
     notes = spark.createDataFrame(
-        [("hot" if i % 3 else f"v{i % 200}" if i % 2 else None, f"n{i}") for i in range(900)],
+        [("long", "n1"), ("long", "n2"), ("long", "n3"), ("few", "n4"), ("none", "n5"), (None, "n6")],
         "encounter_id string, note_id string",
     )
-    lists = collect_per_key(orders, "encounter_id", ["okey"], ["t", "okey"])
-    want = defaultdict(list)
-    for visit, key, t, _ in sorted(make_orders(), key=lambda r: (r[2] is not None, r[2], r[1])):
-        want[visit].append(key)
-    for min_hot in (MIN, 10**6):
-        out = add_order_lists(notes, lists, "parts", min_hot=min_hot)
-        assert out.columns == ["encounter_id", "note_id", "okey_list", "parts"]
-        rows = {r.note_id: r for r in out.collect()}
-        assert len(rows) == 900
-        for r in rows.values():
-            visit = r.encounter_id
-            if visit is None or visit not in want:
-                assert (r.okey_list, r.parts) == (None, None)
-            elif visit == "hot" and min_hot == MIN:
-                assert (r.okey_list, r.parts) == (None, 1)
-            else:
-                assert set(r.okey_list) == set(want[visit]) and r.parts == 1
+    for min_hot in (100, 10**6):
+        hot = hot_keys(orders, "encounter_id", min_hot)
+        placed = orders_during_visit(orders, visits, "t", "okey", start="a", end="d", hot=hot)
+        lists = collect_per_key(placed, "encounter_id", ["okey"], ["t", "okey"], hot=hot)
+        got = defaultdict(list)
+        for r in add_order_lists(notes, lists, min_hot=2).orderBy("part").collect():
+            got[r.note_id] += r.okey_list or []
+        long = [f"o{i:05d}" for i in range(2_500)]
+        assert got == {"n1": long, "n2": long, "n3": long, "n4": [f"p{i}" for i in range(5)], "n5": [], "n6": []}
 
 
 @pytest.mark.parametrize("min_rows", [MIN, 10**6])
 def test_unsalted_lists(orders, min_rows):
     lists = collect_per_key(
-        orders, "encounter_id", ["okey", "t"], ["t", "okey"], part_rows=10**6, min_rows=min_rows
-    ).collect()
-    keys = Counter(k for r in lists for k in r.okey_list)
-    assert keys == Counter(r[1] for r in make_orders())
+        orders, "encounter_id", ["okey", "t"], ["t", "okey"], part_rows=10, min_rows=min_rows
+    ).orderBy("part").collect()
+    got = defaultdict(list)
+    for r in lists:
+        got[r.encounter_id] += r.okey_list
+    assert got == {visit: [k for k, _ in rows] for visit, rows in whole_lists(make_orders()).items()}
     assert sum(len(r.t_list) for r in lists) == sum(r[2] is not None for r in make_orders())
-    if min_rows > N:
-        assert {r.part for r in lists} == {0}
-    else:
-        assert len([r for r in lists if r.encounter_id == "hot"]) == -(-N // 3 // MIN)
 
 
 def test_orders_move_once(orders, visits, spark):
     """The join, the numbering and the grouping share one partitioning."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        hot = hot_keys(orders, "encounter_id", MIN)
+        hot = hot_keys(orders, "encounter_id", 10**6)
         placed = orders_during_visit(orders, visits, "t", "okey", hot=hot)
-        plan = plan_of(collect_per_key(placed, "encounter_id", ["okey"], ["t", "okey"]))
+        plan = plan_of(collect_per_key(placed, "encounter_id", ["okey"], ["t", "okey"], hot=hot))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     main = [l for l in plan.splitlines() if "hashpartitioning" in l and SALT.lstrip("_") in l]

@@ -9,15 +9,20 @@ from caseflow.fixed_values import NO_RESPONSE
 from caseflow.functions.values import as_column
 
 
+_ANSWER = "array<struct<choices:array<struct<message:struct<content:string>>>>>"
+
+
 def response_content(c: Column | str, sentinel: str = NO_RESPONSE) -> Column:
     """Answer text at choices[0].message.content, else the sentinel.
 
-    The text is parsed as the one element of an array, so that anything after the
-    JSON value makes it malformed instead of being ignored.
+    The text must be exactly one JSON value: it is read as the first of two elements of an
+    array, so that another value or other text after it makes it malformed. Of a key that
+    an object repeats the last value counts.
     """
-    parsed = F.try_parse_json(F.concat(F.lit("["), as_column(c), F.lit("]")))
-    content = F.try_variant_get(parsed, "$[0].choices[0].message.content", "string")
-    return F.coalesce(content, F.lit(sentinel))
+    pair = F.concat(F.lit("["), as_column(c), F.lit(",{}]"))
+    parsed = F.from_json(pair, _ANSWER, {"allowSingleQuotes": "false"})
+    first = F.get(F.get(parsed, F.lit(0))["choices"], F.lit(0))["message"]["content"]
+    return F.coalesce(F.when(F.size(parsed) == 2, first), F.lit(sentinel))
 
 
 def parse_label(

@@ -122,10 +122,12 @@ def column_equality(df: DataFrame, a: str, b: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 20, log: bool = False) -> DataFrame:
     """Equal-width bins between smallest and largest value: bin, lower, upper, count.
 
-    Values are cut to whole numbers, or replaced by their natural logarithm.
+    Values are cut to whole numbers, or replaced by their natural logarithm. Text is read
+    as numbers; what is no finite number, or has no logarithm, is left out.
     """
-    c = F.col(column)
-    value = F.when(c > 0, F.ln(c)) if log else c.cast("int").cast("double")
+    number = F.col(column).try_cast("double")
+    finite = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    value = F.when(finite > 0, F.ln(finite)) if log else finite - finite % 1
     values = df.select(value.alias("v")).filter(F.col("v").isNotNull())
     bounds = values.agg(F.min("v").alias("low"), F.max("v").alias("high"))
     edges = bounds.select(F.struct("low", "high")).scalar()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.fixed_values import SUFFIX, VARIANTS
+from caseflow.fixed_values import NO_RESPONSE, SUFFIX, VARIANTS
 from caseflow.functions.responses import parse_label, response_content
 
 REQUEST = ["task", "sample", "encounter_id", "variant"]
@@ -30,15 +30,25 @@ def label_responses(attached: DataFrame) -> DataFrame:
 def ingest_responses(sets: DataFrame, requests: DataFrame, responses: DataFrame) -> DataFrame:
     """The task sets with `response_content…` and `label…` for the four variants.
 
-    Encounters that lack a response to any variant are left out. Prompts are not
-    carried through the shuffles: only answers and keys are.
+    Encounters that lack a response to any variant are left out. Of several responses to
+    one request one is taken whole: one with a label of 0 or 1 before one without, one with
+    an answer before a failed one, and then the first by its text. Prompts are not carried
+    through the shuffles: only answers and keys are.
     """
     labelled = label_responses(attach_responses(requests.select(*REQUEST), responses))
+    whole = F.struct(
+        (~F.col("label").isin("0", "1")).alias("unread"),
+        (F.col("response_content") == NO_RESPONSE).alias("failed"),
+        "response_content",
+        "label",
+    )
+    chosen = [F.min(F.when(F.col("variant") == v, whole)).alias(f"_{v}") for v in VARIANTS]
+    picked = labelled.groupBy("task", "sample", "encounter_id").agg(*chosen)
     values = [
-        F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{c}{SUFFIX}{v}")
+        F.col(f"_{v}.{c}").alias(f"{c}{SUFFIX}{v}")
         for c in ("response_content", "label")
         for v in VARIANTS
     ]
-    wide = labelled.groupBy("task", "sample", "encounter_id").agg(*values)
+    wide = picked.select("task", "sample", "encounter_id", *values)
     complete = wide.dropna(subset=[f"label{SUFFIX}{v}" for v in VARIANTS])
     return sets.join(complete, ["task", "sample", "encounter_id"])

@@ -7,9 +7,9 @@ cannot be split, so one file is one task: writes are bounded by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 _DIALECT = {
     "header": True,
@@ -23,11 +23,22 @@ POSITION = "position"
 
 
 def write_result_csv(
-    df: DataFrame, path: str, quote_all: bool = True, rows_per_file: int = 100_000
+    df: DataFrame,
+    path: str,
+    quote_all: bool = True,
+    rows_per_file: int = 100_000,
+    index: str | None = None,
 ) -> str:
-    """Overwrite a CSV dataset; array columns are written as JSON text."""
+    """Overwrite a CSV dataset; array columns are written as JSON text.
+
+    The column `index`, if named, is written first and without a name, as
+    `read_result_csv(row_index=True)` reads it.
+    """
+    if index is not None:
+        others = [c for c in df.columns if c != index]
+        df = df.select(F.col(index).alias(""), *others)
     columns = [
-        F.to_json(f.name).alias(f.name) if isinstance(f.dataType, ArrayType) else f.name
+        F.to_json(f.name).alias(f.name) if isinstance(f.dataType, ArrayType) else F.col(f"`{f.name}`")
         for f in df.schema
     ]
     (
@@ -48,13 +59,35 @@ def read_result_csv(
     row_index: bool = False,
     keep_position: bool = False,
 ) -> DataFrame:
-    """Read a result CSV. An empty field is NULL, quoted or not; no other text is.
+    """Read the columns of `schema` from a result CSV, by the names in its header.
+
+    Their order in the file does not matter and other columns are ignored. A missing name
+    raises at once, a value that is not of its column's type when it is read, and so does
+    a file whose header is not that of the others. An empty field is NULL, quoted or not;
+    no other text is.
 
     With `row_index` the files lead with an unnamed row number, which is dropped
     unless `keep_position` asks for it as the column `position`.
     """
-    fields = list(schema.fields)
-    if row_index:
-        fields = [StructField(POSITION, LongType()), *fields]
-    df = spark.read.schema(StructType(fields)).options(**_DIALECT).csv(path, multiLine=True)
-    return df.drop(POSITION) if row_index and not keep_position else df
+    # Spark cannot compare headers that have a column without a name.
+    raw = spark.read.options(**_DIALECT, enforceSchema=row_index).csv(path, multiLine=True)
+    wanted = list(schema.fields)
+    names = {f.name: f.name for f in wanted}
+    if row_index and keep_position:
+        names[POSITION] = raw.columns[0]
+        wanted.insert(0, StructField(POSITION, LongType()))
+    missing = [f.name for f in wanted if names[f.name] not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}; found {raw.columns}")
+    return raw.select(*[_typed(names[f.name], f) for f in wanted])
+
+
+def _typed(name: str, field: StructField) -> Column:
+    """The text of a column as its type; a value that is none is an error."""
+    text = F.col(f"`{name}`")
+    if isinstance(field.dataType, StringType):
+        return text.alias(field.name)
+    value = text.try_cast(field.dataType)
+    problem = F.raise_error(F.concat(F.lit(f"{field.name}: not {field.dataType.simpleString()}: "), text))
+    bad = text.isNotNull() & value.isNull()
+    return F.when(bad, problem.cast(field.dataType)).otherwise(value).alias(field.name)

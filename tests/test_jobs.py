@@ -345,3 +345,20 @@ def test_site_label(spark):
     locations = spark.createDataFrame([("l1", "north"), ("l2", "south"), ("l3", "east")], "location_id string, location_source_value string")
     got = sorted((r.i, r.location_source_value) for r in add_site_label(df, sites, locations).collect())
     assert got == [(1, "north"), (2, None), (3, None), (4, None)]
+
+
+def test_one_whole_response_of_several(spark):
+    def answer(text):
+        return json.dumps({"choices": [{"message": {"content": text}}]})
+
+    keys = [("t", "s", f"e{i}", v) for i in range(2) for v in (1, 2, 3, 4)]
+    requests = spark.createDataFrame(keys, "task string, sample string, encounter_id string, variant int")
+    given = [(*k, answer("0: no")) for k in keys]
+    given += [("t", "s", "e0", 1, answer("answer 1")), ("t", "s", "e1", 2, "broken"), ("t", "s", "e1", 2, answer("perhaps"))]
+    given = [g for g in given if g != ("t", "s", "e1", 2, answer("0: no"))] + [("t", "s", "e1", 2, answer("1: yes"))]
+    responses = spark.createDataFrame(given, "task string, sample string, encounter_id string, variant int, response_json string")
+    sets = spark.createDataFrame([("t", "s", "e0"), ("t", "s", "e1")], "task string, sample string, encounter_id string")
+    got = {r.encounter_id: r for r in ingest_responses(sets, requests, responses).collect()}
+    name = "_history_examination"
+    assert (got["e0"][f"response_content{name}1"], got["e0"][f"label{name}1"]) == ("0: no", "0")
+    assert (got["e1"][f"response_content{name}2"], got["e1"][f"label{name}2"]) == ("1: yes", "1")

@@ -121,3 +121,26 @@ def test_names_and_checks(spark):
     assert "encounter_id" in VISITS.names
     with pytest.raises(ValueError, match="visits: missing columns"):
         require_columns(spark.range(1), ["encounter_id"], "visits")
+
+
+def test_columns_are_read_by_name(spark, tmp_path):
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    path = tmp_path / "r.csv"
+    path.write_text('encounter_id,extra,patient_id,human_code\n"e1","x","p1","3"\n')
+    fields = [StructField("patient_id", StringType()), StructField("encounter_id", StringType())]
+    row = read_result_csv(spark, str(path), StructType(fields)).first()
+    assert (row.patient_id, row.encounter_id) == ("p1", "e1")
+    with pytest.raises(ValueError, match="absent"):
+        read_result_csv(spark, str(path), StructType([StructField("absent", StringType())]))
+    number = StructType([StructField("extra", IntegerType())])
+    with pytest.raises(Exception, match="not int"):
+        read_result_csv(spark, str(path), number).collect()
+    assert read_result_csv(spark, str(path), StructType([StructField("human_code", IntegerType())])).first().human_code == 3
+
+
+def test_index_column_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(0, "a", 1.5), (1, None, 2.5)], "i bigint, name string, value double")
+    path = write_result_csv(df, f"{tmp_path}/indexed", quote_all=False, index="i")
+    back = read_result_csv(spark, path, df.select("value", "name").schema, row_index=True, keep_position=True)
+    assert sorted(map(tuple, back.collect())) == [(0, 1.5, "a"), (1, 2.5, None)]

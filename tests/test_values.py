@@ -115,3 +115,25 @@ def test_age_is_days_over_365_25(spark):
     df = spark.createDataFrame([(6574,), (6575,), (None,)], "days int")
     assert values(df, (age_years("days") >= 18)) == [False, True, None]
     assert values(df.limit(1), F.round(age_years("days"), 6)) == [round(6574 / 365.25, 6)]
+
+
+def test_histogram_leaves_out_what_is_no_number(spark):
+    from caseflow.operators.profile import histogram
+
+    df = spark.createDataFrame([("3e9",), ("abc",), ("0.9",), (None,), ("NaN",), ("Infinity",), ("-1.5",)], "x string")
+    rows = histogram(df, "x", bins=2).orderBy("bin").collect()
+    assert [(r.lower, r.upper, r["count"]) for r in rows] == [(-1.0, 1499999999.5, 2), (1499999999.5, 3e9, 1)]
+    logs = histogram(spark.createDataFrame([(1.0,), (float("nan"),), (-2.0,)], "x double"), "x", bins=1, log=True)
+    assert [(r.lower, r["count"]) for r in logs.collect()] == [(0.0, 1)]
+
+
+def test_answers_are_exactly_one_value(spark):
+    from caseflow.fixed_values import NO_RESPONSE
+    from caseflow.functions.responses import response_content
+
+    good = '{"choices": [{"message": {"content": "0 x"}}]}'
+    twice = '{"choices": [], "choices": [{"message": {"content": "1"}}]}'
+    texts = [good, good + ',{"b": 1}', good + " tail", twice, "", None, "[]", good + "]", '{"choices": []}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.c for r in df.orderBy("i").select(response_content("t").alias("c")).collect()]
+    assert got == ["0 x", NO_RESPONSE, NO_RESPONSE, "1"] + [NO_RESPONSE] * 5

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -48,16 +47,15 @@ def write_table(df: DataFrame, path: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's `spark.checkpoint.dir`.
-
-    Only a local session that names no such directory gets a temporary folder:
-    executors on other machines could not read it.
+    """A fresh folder under the cluster's `spark.checkpoint.dir`, or under the checkpoint
+    directory set on the context. Without either there is none that all executors share.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if given.isEmpty():
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="caseflow-")
+        base = given.get()
     return f"{base.rstrip('/')}/caseflow-{uuid.uuid4().hex}"
 
 

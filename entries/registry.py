@@ -9,11 +9,23 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def set_local_folder(spark: SparkSession) -> None:
+    """Name a checkpoint directory if none is set and the session runs in one process."""
+    context = spark.sparkContext
+    unset = not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty()
+    if unset and context.master.startswith("local") and "cluster" not in context.master:
+        context.setCheckpointDir("/tmp/checkpoints")
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under `name`, with the SQL it is compared to."""
 
     def register(f: Query) -> Query:
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            set_local_folder(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return f

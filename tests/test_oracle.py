@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from entries import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 ORACLE = oracle_sql()
@@ -21,7 +22,8 @@ def test_matches_sql(spark, con, sf_dir, name):
 
 
 def test_every_query_has_sql_but_the_random_one():
-    assert set(queries()) - set(ORACLE) == {"sample_df"}
+    assert set(QUERIES) - set(ORACLES) == {"sample_df"}
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(ORACLE)
 
 
 def test_no_query_result_is_empty(con):

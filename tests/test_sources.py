@@ -58,15 +58,17 @@ def test_an_empty_field_is_null(spark, quote_all):
 
 
 def test_shared_folder_without_a_setting():
-    def session(master):
+    def session(given):
+        option = SimpleNamespace(isEmpty=lambda: given is None, get=lambda: given)
+        context = SimpleNamespace(getCheckpointDir=lambda: option)
         return SimpleNamespace(
             conf=SimpleNamespace(get=lambda name, default: default),
-            sparkContext=SimpleNamespace(master=master),
+            sparkContext=SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: context)),
         )
 
-    assert shared_folder(session("local[2]"))
+    assert shared_folder(session("/shared")).startswith("/shared/")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(session("yarn"))
+        shared_folder(session(None))
 
 
 def test_csv_files_are_bounded(spark):

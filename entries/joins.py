@@ -220,18 +220,18 @@ def listed(spark, sf_dir):
     "add_site_label",
     """SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS care_site_id, r_name AS location_source_value
        FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
-       LEFT JOIN (SELECT * FROM region WHERE r_name <> 'ASIA') ON n_regionkey = r_regionkey""",
+       LEFT JOIN region ON CASE WHEN n_nationkey % 5 > 0 THEN n_regionkey END = r_regionkey""",
 )
 def site_label(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_nationkey").cast("string").alias("care_site_id")
     )
+    region = F.when(F.col("n_nationkey") % 5 > 0, F.col("n_regionkey"))  # others have no location
     sites = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("string").alias("care_site_id"),
-        F.col("n_regionkey").cast("string").alias("location_id"),
+        region.cast("string").alias("location_id"),
     )
-    region = table(spark, sf_dir, "region").filter(F.col("r_name") != "ASIA")
-    locations = region.select(
+    locations = table(spark, sf_dir, "region").select(
         F.col("r_regionkey").cast("string").alias("location_id"),
         F.col("r_name").alias("location_source_value"),
     )
@@ -315,11 +315,11 @@ def stacked(spark, sf_dir):
 @query(
     "stack_tagged",
     """SELECT 'large' AS Sample, doc_id, quality FROM labels
-       UNION ALL SELECT 'small', doc_id, toxic FROM labels WHERE quality = 0""",
+       UNION ALL SELECT 'small', doc_id, toxic FROM labels""",
 )
 def tagged(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
-    small = labels.filter(F.col("quality") == 0).select("doc_id", F.col("toxic").alias("quality"))
+    small = labels.select("doc_id", F.col("toxic").alias("quality"))
     return stack_tagged({"large": labels.select("doc_id", "quality"), "small": small}, "Sample")
 
 

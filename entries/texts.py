@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caseflow.functions.responses import parse_label, response_content
 from caseflow.functions.text import (
     clean_text,
+    contains_any,
     section_between,
     section_fallback,
     section_tail,
@@ -33,10 +34,19 @@ TITLE, BODY = ("<title>",), ("<body>", "<BODY>")
 NAV, H1, MAIN, FOOTER = ("<nav>",), ("<h1",), ("<main",), ("<footer",)
 
 
-@query("clean_text", f"SELECT doc_id, {clean('text')} AS cleaned FROM documents")
+@query(
+    "clean_text",
+    f"""SELECT doc_id, {clean('text')} AS cleaned, contains({clean('text')}, chr(10)) AS has_newline,
+          contains(text, 'the ') OR contains(text, 'die ') AS has_article FROM documents""",
+)
 def cleaned(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", clean_text("text").alias("cleaned"))
-    return df.filter(~F.col("cleaned").contains("\n"))
+    df = table(spark, sf_dir, "documents").withColumn("cleaned", clean_text("text"))
+    return df.select(
+        "doc_id",
+        "cleaned",
+        F.col("cleaned").contains("\n").alias("has_newline"),
+        contains_any("text", ("the ", "die ")).alias("has_article"),
+    )
 
 
 @query(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import require, stage
+from caseflow.llm.common import discard, require, stage, write_staged
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -413,8 +413,10 @@ def toxicity_scores(
     )
     if not (toxic and ordinary):
         return _judged(plain.drop("text"), F.lit(toxic / max(toxic + ordinary, 1)))
-    grams = stage(gram_counts(texts, chosen, order))
-    model = _model(log_ratios(grams, order).toArrow())
+    spark = docs.sparkSession
+    path = write_staged(gram_counts(texts, chosen, order))
+    model = _model(log_ratios(spark.read.parquet(path), order).toArrow())
+    discard(spark, path)
     # At most `max_labelled` rows, each measured with the half it is not in.
     labelled = texts.join(F.broadcast(chosen), "doc_id")
     keys, weights = model

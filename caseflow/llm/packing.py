@@ -15,6 +15,7 @@ import bisect
 import os
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,49 +30,55 @@ END = 0
 BUCKET_ROWS = 100_000
 #: Words are never split over spaces by this vocabulary's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The added tokens of `byte_bpe_50k.json`, which a `.tiktoken` file does not name.
+ADDED = {"<|endoftext|>": 50256}
 _ENCODERS: dict = {}
 
 
-def encoder(path: str):
+def encoder(path: str, added_tokens: bool = False):
     """A function from texts to lists of ids, loaded once per Python worker.
 
     `path`: a tokenizers JSON file, or a `.tiktoken` file of byte-pair ranks that are
-    split by `PATTERN`. No string in a text stands for a special token.
+    split by `PATTERN`. With `added_tokens` the literal of an added token is its one id, as
+    `Tokenizer.from_file` has it; without, no string in a text stands for a special token.
     """
-    if path not in _ENCODERS:
+    if (path, added_tokens) not in _ENCODERS:
         if path.endswith(".tiktoken"):
             import tiktoken
 
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             coder = tiktoken.Encoding(
-                os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
+                os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=ADDED
             )
-            _ENCODERS[path] = lambda texts: [coder.encode_ordinary(t) for t in texts]
+            encode = partial(coder.encode, allowed_special="all") if added_tokens else coder.encode_ordinary
+            _ENCODERS[path, added_tokens] = lambda texts: [encode(t) for t in texts]
         else:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
 
             loaded = Tokenizer.from_file(path)
-            loaded.encode_special_tokens = True
-            _ENCODERS[path] = lambda texts: [
+            loaded.encode_special_tokens = not added_tokens
+            _ENCODERS[path, added_tokens] = lambda texts: [
                 e.ids for e in loaded.encode_batch_fast(texts, add_special_tokens=False)
             ]
-    return _ENCODERS[path]
+    return _ENCODERS[path, added_tokens]
 
 
-def tokenised_pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
+def tokenised_pieces(
+    docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False, added_tokens: bool = False
+) -> DataFrame:
     """Pieces of every document: doc_id, copy key `row`, piece, start, length, ids_crc32.
 
     A document is its ids and then `END`; a NULL text is empty and so has one id. Longer
     documents are cut into pieces of `size` ids, but for a shorter first one. `with_ids`
-    adds the ids of each piece. `row` tells rows with one doc_id apart by their text.
+    adds the ids of each piece; `added_tokens` is that of `encoder`. `row` tells rows with one doc_id apart by their text.
     """
     schema = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     schema += ", ids array<bigint>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, added_tokens)
         for batch in batches:
             out: list[tuple] = []
             places = []
@@ -168,14 +175,16 @@ def ranked(pieces: DataFrame, buckets: int) -> DataFrame:
     return numbered.join(offsets, ["length", "_bucket"]).withColumn("rank", F.col("_before") + F.col("_number"))
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False, added_tokens: bool = False
+) -> DataFrame:
     """Place every piece of every document: doc_id, piece, start, length, ids_crc32 (and
     ids), sequence_id, offset.
 
     Every row is packed, repeated ones and such without doc_id too. No rows give none.
     Full pieces fill a sequence each; the others are packed best-fit decreasing.
     """
-    pieces = tokenised_pieces(docs, path, size, with_ids)
+    pieces = tokenised_pieces(docs, path, size, with_ids, added_tokens)
     # The random part spreads repeated rows; it is written, so no result depends on it.
     pieces = stage(pieces.withColumn("spread", F.xxhash64("doc_id", "row", "piece", F.rand(7))))
     counted = pieces.groupBy("length").count().collect()  # at most `size` rows

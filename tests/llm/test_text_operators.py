@@ -255,6 +255,23 @@ def test_both_encoders_agree():
     assert fast(some) == plain(some)
 
 
+def test_added_tokens_have_the_ids_of_the_json(spark, documents, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    some = [f"a {end} b", end, f"{end}{end}", f"x \n {end}\n\n it's", f"  {end}  ", "<|endoftext|", f"é　{end}日本", "", *texts(8, 5)]
+    paths = [public_tokenizers.path(f"byte_bpe_50k.{e}") for e in ("tiktoken", "json")]
+    coder = Tokenizer.from_file(paths[1])
+    want = [coder.encode(t, add_special_tokens=False).ids for t in some]
+    assert want[0] == [64, 220, 50256, 275]
+    for path in paths:
+        assert packing.encoder(path, added_tokens=True)(some) == want
+    documents(list(enumerate(some))).drop("line", "component").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in queries.op9_packing(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(w) + 1, zlib.crc32(np.array([*w, packing.END], "<u4").tobytes())) for i, w in enumerate(want)}
+
+
 def test_pack_of_no_rows(documents):
     assert packing.pack(documents([]), queries.tokenizer_path()).collect() == []
 

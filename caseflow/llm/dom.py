@@ -29,6 +29,10 @@ SIBLINGS = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
 }
+#: Elements that can stand in a head; any other one ends an open head.
+IN_HEAD = frozenset(
+    "base basefont bgsound link meta title script style template noscript noframes head html".split()
+)
 _SPACES = re.compile(r"\s+")
 
 
@@ -54,6 +58,10 @@ class _Builder(HTMLParser):
         self.marked: set[int] = set()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body":
+            self.handle_endtag("head")
+        elif tag not in IN_HEAD:
+            self._end_head()
         if tag == "br" or tag == "hr":
             self.handle_data(" ")
         if tag in VOID:
@@ -91,6 +99,8 @@ class _Builder(HTMLParser):
                 return  # a line-level end tag closes no block
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and not data.isspace():
+            self._end_head()
         if self.hidden:
             return
         node = self.nodes[self.at]
@@ -99,6 +109,11 @@ class _Builder(HTMLParser):
         node.chars += n
         node.link_chars += n if self.links else 0
 
+    def _end_head(self) -> None:
+        """Close an open head, unless what begins lies in another element of it."""
+        while self.open and self.open[-1][0] == "head":
+            self._close(len(self.open) - 1)
+
     def _end_open(self, ended: set[str], within: set[str]) -> None:
         """Close the nearest open element of `ended` that lies within the nearest `within`."""
         for i in range(len(self.open) - 1, max(len(self.open) - 64, 0) - 1, -1):

@@ -75,6 +75,24 @@ def test_extract_main_text(pages):
     assert html_text.extract_main_text(pages([])).collect() == []
 
 
+def plain_text(html):
+    return " ".join(" ".join(p for n in block_tree(html)[0] for p in n.pieces if isinstance(p, str)).split())
+
+
+@pytest.mark.parametrize("start", ["<body>", "<body class=x>", "", "<p>", "<br>", "<svg></svg>"])
+def test_head_without_end_tag(start):
+    head = "<html><head><title>T</title>\n<meta charset=utf-8><style>p {}</style><link rel=x><script>var a</script>"
+    nodes, _ = block_tree(f"{head}{start}Some <b>text</b>.<div>More</div></body></html>")
+    assert "div" in [n.tag for n in nodes]
+    assert plain_text(f"{head}{start}Some <b>text</b>.<div>More</div></body></html>") == "Some text . More"
+    assert plain_text(f"{head}<noscript>n<img src=x>m</noscript></head>{start}x") == "x"
+
+
+def test_main_text_of_a_page_without_head_end(pages):
+    page = "<html><head><title>T</title><body><article><h1>A title</h1><p>First text of it.<p>Second one.</article></body></html>"
+    assert [r.text for r in html_text.extract_main_text(pages([(1, "u", page)])).collect()] == ["A title First text of it. Second one."]
+
+
 # WARC
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 from html.parser import HTMLParser
 
 #: Fixed values of HTML: elements without content, without readable content, within lines.
@@ -28,6 +30,8 @@ SIBLINGS = {
     "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}),
+    "optgroup": ({"optgroup"}, {"select", "datalist"}),
 }
 #: Elements that can stand in a head; any other one ends an open head.
 IN_HEAD = frozenset(
@@ -53,6 +57,8 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("html", "", -1)]
         self.open: list[tuple[str, int]] = []  # (tag, node or -1 for inline and hidden ones)
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag in `open`
+        self.blocks: list[int] = []  # places of those with a node
         self.at = 0
         self.links = self.hidden = 0
         self.marked: set[int] = set()
@@ -68,6 +74,8 @@ class _Builder(HTMLParser):
             return
         if tag in ENDS_P:
             self._end_open({"p"}, {"table", "td", "th", "article", "section", "div"})
+        if tag == "optgroup":
+            self._end_open(*SIBLINGS["option"])
         if tag in SIBLINGS:
             self._end_open(*SIBLINGS[tag])
         node = -1
@@ -85,18 +93,18 @@ class _Builder(HTMLParser):
             if "data-main" in values:
                 self.marked.add(node)
             self.at = node
+            self.blocks.append(len(self.open))
+        self.places[tag].append(len(self.open))
         self.open.append((tag, node))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # HTML knows no empty form of other elements
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, max(len(self.open) - 256, 0) - 1, -1):
-            if self.open[i][0] == tag:
-                self._close(i)
-                return
-            if tag in INLINE and self.open[i][1] >= 0:
-                return  # a line-level end tag closes no block
+        i = self._nearest((tag,))
+        # A line-level end tag closes no block.
+        if i >= 0 and not (tag in INLINE and self.blocks and self.blocks[-1] > i):
+            self._close(i)
 
     def handle_data(self, data: str) -> None:
         if self.hidden and not data.isspace():
@@ -116,16 +124,19 @@ class _Builder(HTMLParser):
 
     def _end_open(self, ended: set[str], within: set[str]) -> None:
         """Close the nearest open element of `ended` that lies within the nearest `within`."""
-        for i in range(len(self.open) - 1, max(len(self.open) - 64, 0) - 1, -1):
-            if self.open[i][0] in ended:
-                self._close(i)
-                return
-            if self.open[i][0] in within:
-                return
+        i = self._nearest(ended)
+        if i > self._nearest(within):
+            self._close(i)
+
+    def _nearest(self, tags: Iterable[str]) -> int:
+        """The place of the last open element of these, -1 without one."""
+        return max(self.places[t][-1] if self.places[t] else -1 for t in tags)
 
     def _close(self, i: int) -> None:
         for tag, node in reversed(self.open[i:]):
+            self.places[tag].pop()
             if node >= 0:
+                self.blocks.pop()
                 self.at = self.nodes[node].parent
             elif tag in HIDDEN:
                 self.hidden -= 1

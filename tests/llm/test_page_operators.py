@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow.llm import html_text, nn_descent, url_filter, warc
-from caseflow.llm.dom import block_tree
+from caseflow.llm.dom import _Builder, block_tree
 from caseflow.llm.labelled_pages import labelled_pages
 
 
@@ -93,6 +93,28 @@ def test_main_text_of_a_page_without_head_end(pages):
     assert [r.text for r in html_text.extract_main_text(pages([(1, "u", page)])).collect()] == ["A title First text of it. Second one."]
 
 
+@pytest.mark.parametrize("form", ["<option>{}", "<optgroup label=x><option>{}", "<b>{}", "<option><i>{}"])
+def test_end_tags_close_elements_at_any_depth(form):
+    many = "".join(form.format(k) for k in range(700))
+    nodes, _ = block_tree(f"<section><form><select>{many}</select></form><p>After.</p></section><footer>End.</footer>")
+    by = {n.tag: n for n in nodes}
+    assert plain_text(f"<div><select>{many}</select>After.</div>") == "After."
+    assert by["p"].pieces == ["After."] and nodes[by["p"].parent].tag == "section"
+    assert by["footer"].pieces == ["End."] and by["footer"].parent == 0
+
+
+def test_blocks_close_over_unclosed_line_level_elements():
+    nodes, _ = block_tree(f"<article><p>One.{'<i>' * 700}two<p>Three.</article></b><footer>End.</footer>")
+    tags = [(n.tag, nodes[n.parent].tag) for n in nodes[1:]]
+    assert tags == [("article", "html"), ("p", "article"), ("p", "article"), ("footer", "html")]
+
+
+def test_options_end_open_options():
+    builder = _Builder()
+    builder.feed("<select><option>a<option>b<optgroup><option>c<option>d<optgroup><option>e")
+    assert [t for t, _ in builder.open] == ["select", "optgroup", "option"]
+
+
 # WARC
 
 

@@ -53,3 +53,38 @@ def components(edges: DataFrame) -> DataFrame:
     stars = spark.read.schema(schema).parquet(path)
     members = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(stars.select("v", "v")).distinct()
+
+
+def independent(edges: DataFrame, first: DataFrame) -> DataFrame:
+    """Column node: nodes without an edge among them, such that every other node of `edges`
+    (columns u, v, long) has one to them. Nodes of `first` (column node) come before others;
+    otherwise the order is by hash.
+
+    A node is taken when it comes before all undecided neighbours, which then go. Orders by
+    hash need a number of rounds that grows with the logarithm of the nodes.
+    """
+    spark = edges.sparkSession
+    heads = first.select(F.col("node").alias("_node"), F.lit(0).alias("_rank")).distinct()
+    rows = _both_ways(edges.filter("u <> v")).distinct()
+    for end in ("u", "v"):
+        order = F.struct(F.coalesce("_rank", F.lit(1)).alias("rank"), F.xxhash64(end).alias("hash"), F.col(end).alias("node"))
+        rows = rows.join(heads, F.col(end) == F.col("_node"), "left").withColumn(f"o{end}", order).drop("_node", "_rank")
+    schema = rows.schema
+    path = write_staged(rows)
+    taken = None
+    while True:
+        rows = spark.read.schema(schema).parquet(path)
+        if rows.isEmpty():
+            break
+        firsts = rows.groupBy("u").agg(F.min("ov").alias("least"), F.first("ou").alias("ou")).filter("ou < least").select("u")
+        new = spark.read.schema("u bigint").parquet(write_staged(firsts))
+        taken = new if taken is None else taken.union(new)
+        gone = rows.join(new, "u", "left_semi").select(F.col("v").alias("u")).union(new).distinct()
+        left = rows.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti")
+        # A node whose neighbours have all gone has no rows: it is taken too.
+        alone = rows.select("u").distinct().join(gone, "u", "left_anti").join(left.select("u").distinct(), "u", "left_anti")
+        taken = taken.union(spark.read.schema("u bigint").parquet(write_staged(alone)))
+        following = write_staged(left.select(*schema.names))
+        discard(spark, path)
+        path = following
+    return (taken if taken is not None else edges.select("u").limit(0)).select(F.col("u").alias("node"))

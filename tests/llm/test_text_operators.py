@@ -179,6 +179,33 @@ def test_dedup_lines_keeps_rows_and_columns(documents):
     assert line_dedup.dedup_lines(documents([])).collect() == []
 
 
+def test_chains_of_links_remove_only_what_is_near_a_kept_line(documents):
+    lines = [f"Row {'x' * k}{'y' * (40 - k)} of the table" for k in range(41)]  # one edit from step to step
+    rows = [(i, f"{line}\nown {i}") for i, line in enumerate(lines)] + [(90, lines[7]), (91, lines[30])]
+    got = [r for r in line_dedup.line_classes(documents(rows)).collect() if r.n_chars > 20]
+    assert {(r.class_doc_id, r.class_line_no) for r in got} == {(0, 0)}
+    text = dict(enumerate(lines)) | {90: lines[7], 91: lines[30]}
+    kept = {r.doc_id for r in got if r.kept}
+    assert 0 in kept and not kept & {90, 91}
+    for i in set(text) - kept:
+        assert any(distance(text[i], text[k]) <= line_dedup.THRESHOLD for k in kept)
+    assert all(distance(text[i], text[k]) > line_dedup.THRESHOLD for i in kept for k in kept if i < k)
+    left = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(rows)).collect()}
+    assert all((lines[i] in left[i]) == (i in kept) for i in range(41))
+
+
+def test_independent_nodes(spark):
+    r = random.Random(5)
+    edges = {(r.randrange(60), r.randrange(60)) for _ in range(90)} | {(k, k + 1) for k in range(100, 200)}
+    edges = {(u, v) for u, v in edges if u != v}
+    rows = spark.createDataFrame(sorted(edges), "u bigint, v bigint")
+    taken = [x.node for x in graph.independent(rows, spark.createDataFrame([(100,)], "node bigint")).collect()]
+    kept = set(taken)
+    assert len(kept) == len(taken) and 100 in kept and not any(u in kept and v in kept for u, v in edges)
+    assert {n for e in edges for n in e} - kept <= {v for u, v in edges if u in kept} | {u for u, v in edges if v in kept}
+    assert graph.independent(rows.limit(0), rows.selectExpr("u as node")).collect() == []
+
+
 # Packing
 
 

@@ -179,6 +179,27 @@ def test_dedup_lines_keeps_rows_and_columns(documents):
     assert line_dedup.dedup_lines(documents([])).collect() == []
 
 
+def test_near_long_lines_finds_every_pair(spark):
+    r = random.Random(2)
+    lines = []
+    for _ in range(12):
+        base = [f"w{r.randrange(400)}" for _ in range(r.randint(15, 100))]
+        lines.append(base)
+        for _ in range(6):
+            line = list(base)
+            for _ in range(r.randint(0, len(base) // 12)):
+                at = r.randrange(len(line))
+                line[at : at + r.randint(0, 1)] = r.choice([[], ["new"], [f"w{r.randrange(400)}"]])
+            lines.append(line)
+    lines = [list(x) for x in sorted({tuple(x) for x in lines})]
+    rows = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "id bigint, line string")
+    got = {(x.a, x.b) for x in line_dedup.near_long_lines(rows).collect()}
+    n = len(lines)
+    limit = [len(x) // line_dedup.WORDS_AN_EDIT for x in lines]
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if distance(lines[i], lines[j]) <= min(limit[i], limit[j])}
+    assert got == want and len(want) > 20 and max(limit[i] for i, _ in want) > 3
+
+
 def test_chains_of_links_remove_only_what_is_near_a_kept_line(documents):
     lines = [f"Row {'x' * k}{'y' * (40 - k)} of the table" for k in range(41)]  # one edit from step to step
     rows = [(i, f"{line}\nown {i}") for i, line in enumerate(lines)] + [(90, lines[7]), (91, lines[30])]

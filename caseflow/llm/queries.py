@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import (
     decontamination,
+    exact_dedup,
     html_text,
     line_dedup,
     nn_descent,
@@ -128,6 +129,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents")).drop("n_chars")
+
+
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -222,6 +227,16 @@ SELECT page_id, bytes AS payload_bytes, p.digest AS payload_digest,
 FROM p LEFT JOIN first ON p.digest = first.digest
 """
 
+OP11_SQL = r"""
+WITH bare AS (
+    SELECT doc_id, length(coalesce(text, '')) AS n,
+        regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+    row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM bare WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -233,5 +248,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_exact_dedup": op11_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op10_decontamination": OP10_SQL}
+ORACLES: dict[str, str] = {"op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_exact_dedup": OP11_SQL}

@@ -75,5 +75,5 @@ def test_no_task_of_a_round_gets_more_than_a_record_per_group_of_a_hot_text(spar
     once = exact_dedup.merge(runs, 16, 2, 16)
     assert once.count() == 2
     plan = plan_of(once)
-    assert plan.count("shufflepartitionidpassthrough") == 1 and plan.count("Exchange") == 2  # the round, the first runs
+    assert plan.count("shufflepartitionidpassthrough") == 1 and plan.count("Exchange") == 3  # the input, the first runs, the round
     assert exact_dedup.merge(once, 2, 1, 32).agg(F.sum("n")).first()[0] == 4000

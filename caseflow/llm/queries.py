@@ -19,6 +19,7 @@ from caseflow.llm import (
     packing,
     pii,
     simhash,
+    spelling,
     toxicity,
     url_filter,
     warc,
@@ -133,6 +134,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_forms(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -249,5 +254,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
     "op11_exact_dedup": op11_exact_dedup,
+    "op13_spelling": op13_spelling,
 }
 ORACLES: dict[str, str] = {"op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_exact_dedup": OP11_SQL}

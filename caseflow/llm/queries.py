@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from caseflow.llm import (
     decontamination,
     exact_dedup,
+    hard_negatives,
     html_text,
     line_dedup,
     nn_descent,
@@ -134,6 +135,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_forms(spelling.vocabulary(table(spark, sf_dir, "documents")))
 
@@ -242,6 +248,31 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM bare WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST)
 """
 
+OP12_SQL = """
+WITH e AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+        CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+p AS (
+    SELECT anchor_id, vec_id AS positive_id, score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id,
+    p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+    AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY row_number() OVER w <= 10
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -254,6 +285,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_spelling": op13_spelling,
 }
-ORACLES: dict[str, str] = {"op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_exact_dedup": OP11_SQL}
+ORACLES: dict[str, str] = {"op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op12_hard_negatives": OP12_SQL}

@@ -36,14 +36,18 @@ def first_note(
     date: str = "service_date",
     text: str = "note_text_processed",
     tiebreak: str = "note_id",
+    length: Column | str | None = None,
 ) -> DataFrame:
     """Earliest note of each encounter (a missing date comes last); on equal dates
     the longest text, then the smallest `tiebreak`.
+
+    `length` stands for the length of the text where the text itself is not there.
     """
+    size = F.length(text) if length is None else as_column(length)
     return first_by(
         df,
         [key],
-        [F.col(date).asc_nulls_last(), F.length(text).desc_nulls_last(), F.col(tiebreak)],
+        [F.col(date).asc_nulls_last(), size.desc_nulls_last(), F.col(tiebreak)],
     )
 
 

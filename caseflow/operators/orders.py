@@ -109,12 +109,12 @@ def collect_per_key(
     collected = (
         ranked.withColumn("part", F.floor((F.col("_rank") - 1) / F.lit(part_rows)).cast("long"))
         .groupBy(key, SALT, "part")
-        .agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
+        .agg(F.array_sort(F.collect_list(entry)).alias("_rows"), F.count(F.lit(1)).alias("rows"))
     )
     return collected.select(
         key,
         "part",
-        F.size("_rows").cast("long").alias("rows"),
+        "rows",
         *[
             F.array_compact(F.col("_rows").getField(f"_c{i}")).alias(c + suffix)
             for i, c in enumerate(columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,8 +32,10 @@ from caseflow.operators.skew import (
     FAN,
     MIN_HOT_ROWS,
     SALT,
+    copy_hot,
     hot_keys,
     salted_join,
+    spread_hot,
     spread_join,
 )
 from caseflow.schemas import NOTE_METADATA, VISITS, require_columns
@@ -86,40 +88,29 @@ def visit_notes(visits: DataFrame, notes: DataFrame, hot: DataFrame | None = Non
     return spread_join(renamed, visits, "encounter_id", "note_id", "inner", hot=hot)
 
 
-def imaging_lists(
+def imaging_during_visit(
     imaging: DataFrame,
     visits: DataFrame,
     prefixes: Sequence[str] = IMAGING_PREFIXES,
     min_hot: int = MIN_HOT_ROWS,
-    part_rows: int = PART_ROWS,
-) -> DataFrame:
-    """Imaging orders placed during each visit, in pages: encounter_id, part,
-    imaging_rows, imaging_orders.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """Imaging orders of the wanted names placed during each visit, and the hot visits."""
     name = "firstprocedurename"
     wanted = imaging.filter(starts_with_any(name, prefixes)).select(
         "encounter_id", "imagingkey", name, "ordering_datetime"
     )
     hot = stage_table(hot_keys(wanted, "encounter_id", min_hot))
-    placed = orders_during_visit(
-        parse_timestamps(wanted, ["ordering_datetime"]), visits, "ordering_datetime", "imagingkey", hot=hot
-    )
-    named = placed.withColumn("imaging_orders", strip_commas(name))
-    order = ["ordering_datetime", "imagingkey"]
-    lists = collect_per_key(named, "encounter_id", ["imaging_orders"], order, "", part_rows, hot=hot)
-    return lists.withColumnRenamed("rows", "imaging_rows")
+    timed = parse_timestamps(wanted, ["ordering_datetime"])
+    return orders_during_visit(timed, visits, "ordering_datetime", "imagingkey", hot=hot), hot
 
 
-def medication_lists(
+def medications_during_visit(
     medications: DataFrame,
     visits: DataFrame,
     therapeutic_class: str = MEDICATION_CLASS,
     min_hot: int = MIN_HOT_ROWS,
-    part_rows: int = PART_ROWS,
-) -> DataFrame:
-    """Medication orders placed during each visit, in pages: encounter_id, part, abx_rows,
-    and the orders as three `_abx_list` columns.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """Medication orders of the class placed during each visit, and the hot visits."""
     wanted = medications.filter(F.col("medicationtherapeuticclass") == therapeutic_class)
     timed = wanted.select(
         "encounter_id",
@@ -130,9 +121,37 @@ def medication_lists(
         ),
     )
     hot = stage_table(hot_keys(wanted, "encounter_id", min_hot))
-    placed = orders_during_visit(
-        timed, visits, "medicationorder_datetime", "medicationorderkey", hot=hot
-    )
+    return orders_during_visit(timed, visits, "medicationorder_datetime", "medicationorderkey", hot=hot), hot
+
+
+def imaging_lists(
+    imaging: DataFrame,
+    visits: DataFrame,
+    prefixes: Sequence[str] = IMAGING_PREFIXES,
+    min_hot: int = MIN_HOT_ROWS,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """Imaging orders placed during each visit, in pages: encounter_id, part,
+    imaging_rows, imaging_orders.
+    """
+    placed, hot = imaging_during_visit(imaging, visits, prefixes, min_hot)
+    named = placed.withColumn("imaging_orders", strip_commas("firstprocedurename"))
+    order = ["ordering_datetime", "imagingkey"]
+    lists = collect_per_key(named, "encounter_id", ["imaging_orders"], order, "", part_rows, hot=hot)
+    return lists.withColumnRenamed("rows", "imaging_rows")
+
+
+def medication_lists(
+    medications: DataFrame,
+    visits: DataFrame,
+    therapeutic_class: str = MEDICATION_CLASS,
+    min_hot: int = MIN_HOT_ROWS,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """Medication orders placed during each visit, in pages: encounter_id, part, abx_rows,
+    and the orders as three `_abx_list` columns.
+    """
+    placed, hot = medications_during_visit(medications, visits, therapeutic_class, min_hot)
     lists = collect_per_key(
         placed,
         "encounter_id",
@@ -147,12 +166,35 @@ def medication_lists(
 
 def order_pages(imaging: DataFrame, medications: DataFrame) -> DataFrame:
     """Both lists of each visit side by side, a row per page (encounter_id, part), with the
-    numbers of orders of the whole visit: imaging_count and abx_count, NULL for none.
+    numbers of orders on the page: imaging_rows and abx_rows, NULL for none.
     """
-    both = imaging.join(medications, ["encounter_id", "part"], "full_outer")
-    of_visit = Window.partitionBy("encounter_id")
-    counts = {f"{c}_count": F.sum(f"{c}_rows").over(of_visit) for c in ("imaging", "abx")}
-    return both.withColumns(counts).drop("imaging_rows", "abx_rows")
+    return imaging.join(medications, ["encounter_id", "part"], "full_outer")
+
+
+def order_counts(pages: DataFrame) -> DataFrame:
+    """One narrow row per visit with orders: encounter_id, imaging_count, abx_count (NULL for
+    none). The pages of a visit are summed where they are before they meet, and their lists
+    are not read.
+    """
+    counts = [F.sum(f"{c}_rows").alias(f"{c}_count") for c in ("imaging", "abx")]
+    return pages.groupBy("encounter_id").agg(*counts)
+
+
+def order_flags(
+    imaging: DataFrame, medications: DataFrame, visits: DataFrame, min_hot: int = MIN_HOT_ROWS
+) -> DataFrame:
+    """Whether anything was ordered during a visit, without a list: one row per visit that
+    had an order, with `imaging_ordered` and `abx_ordered`, true or NULL.
+
+    The orders of a visit are reduced to one row before they are moved on, so neither
+    their number nor a hot visit matters.
+    """
+    placed = {
+        "imaging_ordered": imaging_during_visit(imaging, visits, min_hot=min_hot)[0],
+        "abx_ordered": medications_during_visit(medications, visits, min_hot=min_hot)[0],
+    }
+    had = [df.select("encounter_id").distinct().withColumn(name, F.lit(True)) for name, df in placed.items()]
+    return had[0].join(had[1], "encounter_id", "full_outer")
 
 
 def add_order_lists(
@@ -160,19 +202,35 @@ def add_order_lists(
     pages: DataFrame,
     hot: DataFrame | None = None,
     min_hot: int = MIN_HOT_ROWS,
+    per_visit: DataFrame | None = None,
 ) -> DataFrame:
     """Attach the order lists of each visit to its notes: one row per note and page.
 
     Every note gets every page, so a list is never cut off and no row is longer than a
     page. A visit of up to one page, or without orders, leaves one row per note, with part
-    0. Notes of `hot` visits are spread over salts and the pages copied to each.
+    0. `per_visit` (one row per visit) is attached to all of them.
+
+    The first page goes to the notes where they are, those of `hot` visits spread over salts
+    and the page copied to each. Later pages, which few visits have, meet the notes by visit,
+    page and salt: never all pages of a visit in one task. `pages` is read several times, so
+    it is best a stored table.
     """
     hot = hot_keys(notes, "encounter_id", min_hot) if hot is None else hot
-    if SALT in notes.columns:
-        joined = salted_join(notes, pages, "encounter_id", hot, "left")
-    else:
-        joined = spread_join(notes, pages, "encounter_id", "note_id", "left", hot=hot).drop(SALT, FAN)
-    return joined.withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+    salted = SALT in notes.columns
+    if not salted:
+        notes = spread_hot(notes, "encounter_id", "note_id", hot)
+    # The last page of each visit, and what else there is one row per visit of.
+    visits = pages.groupBy("encounter_id").agg(F.max("part").alias("_last"))
+    if per_visit is not None:
+        visits = visits.join(per_visit, "encounter_id", "left")
+    known = salted_join(notes, visits, "encounter_id", hot, "left")
+    first = salted_join(known, pages.filter("part = 0"), "encounter_id", hot, "left")
+    first = first.withColumn("part", F.lit(0).cast("long"))
+    numbered = known.filter("_last > 0").withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), "_last")))
+    others = copy_hot(pages.filter("part > 0"), "encounter_id", hot)
+    later = numbered.join(others, ["encounter_id", "part", SALT])
+    joined = first.unionByName(later).drop("_last")
+    return joined if salted else joined.drop(SALT, FAN)
 
 
 def add_site_label(df: DataFrame, sites: DataFrame, locations: DataFrame) -> DataFrame:
@@ -201,43 +259,61 @@ def build_cohort(
     stage: bool = True,
     min_hot: int = MIN_HOT_ROWS,
     part_rows: int = PART_ROWS,
+    lists: bool = True,
+    text: bool = True,
 ) -> DataFrame:
     """The whole cohort from visits, patients, durations, note_metadata, note_text,
     imaging and medications.
 
     Note text is by far the widest column, so it is joined last, to the notes that
-    are left. Until then notes move once: the visit and both order lists are joined
-    on the partitioning the notes already have. A note has a row for each page of
-    `part_rows` orders of its visit (`add_order_lists`), which is one for nearly all.
-    `orders_per_note` adds order_copies, the number of notes of the visit, which is how
-    often each medication order counts then.
-
-    With `stage` the notes are written to the shared folder before their text is
-    joined. Their number is then known, and texts that no note needs are not moved;
-    and however often the cohort is read, only the text join runs again.
+    are left, or not at all without `text` (see `prepare_notes`). Until then the notes of a
+    visit with up to a page of orders move once: the visit and its orders are joined on the
+    partitioning the notes already have. A note has a row for each page of `part_rows` orders
+    of its visit (`add_order_lists`), which is one for nearly all. `orders_per_note` adds
+    order_copies, the number of notes of the visit, which is how often each medication order
+    counts then.
+
+    Without `lists` a note has one row and, of the orders of its visit, the flags
+    imaging_orders_binary and abx_ordered_ed alone: no list is made.
+
+    With `stage` the order pages are written to the shared folder, and so are the notes
+    before their text is joined. Their number is then known, and texts that no note needs are
+    not moved; and however often the cohort is read, only the text join runs again.
     """
-    for name in ("visits", "patients", "durations", "note_metadata", "note_text"):
+    for name in _NEEDED:
         require_columns(tables[name], _NEEDED[name], name)
+    if orders_per_note and not lists:
+        raise ValueError("orders_per_note needs lists")
     metadata = _known(provider_notes(tables["note_metadata"], specialties), NOTE_METADATA)
     visits = adult_visits(_known(tables["visits"], VISITS), tables["durations"])
     hot = stage_table(hot_keys(metadata, "encounter_id", min_hot))
     described = add_demographics(visits, tables["patients"])
     notes = visit_notes(described, metadata, hot)
 
-    pages = order_pages(
-        imaging_lists(tables["imaging"], visits, min_hot=min_hot, part_rows=part_rows),
-        medication_lists(tables["medications"], visits, min_hot=min_hot, part_rows=part_rows),
-    )
-    if orders_per_note:
-        copies = notes.groupBy("encounter_id").agg(F.count(F.lit(1)).alias("order_copies"))
-        pages = pages.join(copies, "encounter_id", "left")
-    notes = add_order_lists(notes, pages, hot)
-    notes = notes.withColumn("abx_ordered_ed", flag_present("abx_count"))
-    notes, text = notes.drop(SALT, FAN), tables["note_text"]
+    if lists:
+        pages = order_pages(
+            imaging_lists(tables["imaging"], visits, min_hot=min_hot, part_rows=part_rows),
+            medication_lists(tables["medications"], visits, min_hot=min_hot, part_rows=part_rows),
+        )
+        pages = stage_table(pages) if stage else pages
+        per_visit = order_counts(pages)
+        if orders_per_note:
+            copies = notes.groupBy("encounter_id").agg(F.count(F.lit(1)).alias("order_copies"))
+            per_visit = per_visit.join(copies, "encounter_id", "left")
+        notes = add_order_lists(notes, pages.drop("imaging_rows", "abx_rows"), hot, per_visit=per_visit)
+        notes = notes.withColumn("abx_ordered_ed", flag_present("abx_count"))
+    else:
+        flags = order_flags(tables["imaging"], tables["medications"], visits, min_hot)
+        notes = salted_join(notes, flags, "encounter_id", hot, "left").withColumns(
+            {"imaging_orders_binary": flag_present("imaging_ordered"), "abx_ordered_ed": flag_present("abx_ordered")}
+        )
+        notes = notes.drop("imaging_ordered", "abx_ordered")
+    notes, texts = notes.drop(SALT, FAN), tables["note_text"]
     if stage:
         notes = stage_table(notes)
-        text = text_of(notes, text)
-    return notes_with_text(notes, text)
+    if not text:
+        return notes
+    return notes_with_text(notes, text_of(notes, texts) if stage else texts)
 
 
 _NEEDED = {
@@ -246,6 +322,15 @@ _NEEDED = {
     "durations": ("durationkey", "days"),
     "note_metadata": ("patient_id", "note_id", "encounter_id", "note_type", "prov_specialty"),
     "note_text": ("note_id", "note_text"),
+    "imaging": ("encounter_id", "imagingkey", "firstprocedurename", "ordering_datetime"),
+    "medications": (
+        "encounter_id",
+        "medicationorderkey",
+        "medicationgenericname",
+        "medicationtherapeuticclass",
+        "ordereddatekeyvalue",
+        "orderedtimeofdaykeyvalue",
+    ),
 }
 
 
@@ -312,9 +397,14 @@ __all__ = [
     "adult_visits",
     "build_cohort",
     "funnel",
+    "imaging_during_visit",
     "imaging_lists",
     "medication_lists",
+    "medications_during_visit",
     "notes_with_text",
+    "order_counts",
+    "order_flags",
+    "order_pages",
     "provider_notes",
     "text_of",
     "visit_notes",

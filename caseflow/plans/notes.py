@@ -24,7 +24,9 @@ from caseflow.functions.text import (
 )
 from caseflow.functions.values import flag_not_sentinel, flag_present, string_key
 from caseflow.operators.dedupe import first_note
-from caseflow.operators.frame import add_once, keep_notnull
+from caseflow.operators.frame import add_once, keep_notnull, merge
+from caseflow.plans.cohort import text_of
+from caseflow.sources import stage_table
 
 HEADINGS = {
     "complaint": CHIEF_COMPLAINT,
@@ -111,23 +113,37 @@ def within_token_limit(
     return df.filter(F.col(tokens) < limit)
 
 
+def rank_first_notes(notes: DataFrame, note_text: DataFrame) -> DataFrame:
+    """First note per encounter of `notes`, which have no text: the length that ranks notes
+    of one date is worked out where the texts are read, and only lengths are moved.
+    """
+    size = F.length(clean_text(string_key("note_text"))).alias("_length")
+    ranked = merge(notes, note_text.select("note_id", size), "note_id", "note_id", "left")
+    return first_note(ranked, length="_length").drop("_length")
+
+
 def sectioned_notes(
     cohort: DataFrame,
     headings: Mapping[str, Sequence[str]] = HEADINGS,
     sentinel: str = NO_SECTION,
+    note_text: DataFrame | None = None,
 ) -> DataFrame:
     """First note per encounter with outcome flag, clean text, sections, tokens.
 
-    The clean text takes the place of `note_text`, so that only one of them moves.
+    The clean text takes the place of `note_text`, so that only one of them moves. Of a
+    cohort without text, and the texts (`note_text`, one per note_id) beside it, the first
+    notes are found before any text is moved, and only theirs are.
     """
-    cleaned = keep_notnull(cohort, "encounter_id").withColumns(
-        {
-            "encounter_id": string_key("encounter_id"),
-            "admitted": flag_not_sentinel("admission_id"),
-            "note_text_processed": clean_text(string_key("note_text")),
-        }
+    keyed = keep_notnull(cohort, "encounter_id").withColumns(
+        {"encounter_id": string_key("encounter_id"), "admitted": flag_not_sentinel("admission_id")}
     )
-    first = first_note(cleaned.drop("note_text"))
+    clean = clean_text(string_key("note_text")).alias("note_text_processed")
+    if note_text is None:
+        first = first_note(keyed.withColumn("note_text_processed", clean).drop("note_text"))
+    else:
+        first = stage_table(rank_first_notes(keyed, text_of(cohort, note_text)))
+        texts = text_of(first, note_text).select("note_id", clean)
+        first = merge(first, texts, "note_id", "note_id", "left")
     cut = add_sections(
         first.withColumn("note_length_words", F.length("note_text_processed")),
         "note_text_processed",
@@ -142,21 +158,21 @@ def prepare_notes(
     headings: Mapping[str, Sequence[str]] = HEADINGS,
     sentinel: str = NO_SECTION,
     limit: int = TOKEN_LIMIT,
+    note_text: DataFrame | None = None,
 ) -> DataFrame:
     """Notes ready to sample from: all sections usable, text within the limit.
 
     Of a cohort in pages (`part`) the first page of each note is used; it has an order of
-    every kind that the visit has.
+    every kind that the visit has. A cohort without lists brings imaging_orders_binary
+    itself, one without text needs the texts as `note_text`.
     """
     if "part" in cohort.columns:
         cohort = cohort.filter("part = 0")
-    usable = within_token_limit(
-        drop_unusable(sectioned_notes(cohort, headings, sentinel), SECTIONS, sentinel), limit=limit
-    )
-    return usable.withColumns(
-        {
-            "history_examination_text_tokens": F.col("history_text_tokens")
-            + F.col("examination_text_tokens"),
-            "imaging_orders_binary": flag_present("imaging_orders"),
-        }
-    )
+    sectioned = sectioned_notes(cohort, headings, sentinel, note_text)
+    usable = within_token_limit(drop_unusable(sectioned, SECTIONS, sentinel), limit=limit)
+    added = {
+        "history_examination_text_tokens": F.col("history_text_tokens") + F.col("examination_text_tokens")
+    }
+    if "imaging_orders" in cohort.columns:
+        added["imaging_orders_binary"] = flag_present("imaging_orders")
+    return usable.withColumns(added)

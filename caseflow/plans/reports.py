@@ -11,7 +11,7 @@ from caseflow.fixed_values import CONTENT_COLUMNS, LABEL_COLUMNS, MODALITY, YES_
 from caseflow.functions.values import map_codes, replace_codes
 from caseflow.operators.frame import stack_tagged
 from caseflow.operators.metrics import evaluate, word_count_stats
-from caseflow.plans.tasks import BALANCED, REVERSED_SAMPLE, UNBALANCED
+from caseflow.plans.tasks import BALANCED, REVERSED_SAMPLE, UNBALANCED, SampleSpec
 
 HUMAN = "human"
 MAIN_KEYS = ("task", "patient_id", "ed_visit_id", "encounter_id")
@@ -56,8 +56,9 @@ def word_counts(scored: DataFrame) -> DataFrame:
     return word_count_stats(long, "text")
 
 
-def main_report(scored: DataFrame, human: DataFrame) -> DataFrame:
-    """Model on the whole balanced set, then human and model on its labelled part.
+def main_report(scored: DataFrame, human: DataFrame, spec: SampleSpec = SampleSpec()) -> DataFrame:
+    """Model on the whole balanced set, then human and model on its labelled part, both named
+    by the sizes of `spec`.
 
     `human` has the three case keys, the task and `human_code`.
     """
@@ -65,8 +66,8 @@ def main_report(scored: DataFrame, human: DataFrame) -> DataFrame:
     labelled = attach_human_right(balanced, human.withColumn(HUMAN, human_label()))
     return stack_tagged(
         {
-            "10000": evaluate(balanced, "outcome", LABEL_COLUMNS, "task"),
-            "200": evaluate(labelled, "outcome", [HUMAN, *LABEL_COLUMNS], "task"),
+            str(2 * spec.per_class): evaluate(balanced, "outcome", LABEL_COLUMNS, "task"),
+            str(spec.labelling): evaluate(labelled, "outcome", [HUMAN, *LABEL_COLUMNS], "task"),
         },
         "Sample",
     )

@@ -79,7 +79,9 @@ def cohort(spark, sf_dir):
 
 
 def prepared_notes(spark, sf_dir):
-    return prepare_notes(build_cohort(tables(spark, sf_dir), SPECIALTIES))
+    source = tables(spark, sf_dir)
+    notes = build_cohort(source, SPECIALTIES, lists=False, text=False)
+    return prepare_notes(notes, note_text=source["note_text"])
 
 
 @query(
@@ -179,13 +181,13 @@ _LABELLED = """(SELECT h.task, h.human, b.outcome, b.label1, b.label2, b.label3,
 @query(
     "main_report",
     with_tables("scored", "human_labels")
-    + summary_sql(_pairs("scored WHERE sample = 'balanced'", None), "'10000' AS Sample,")
+    + summary_sql(_pairs("scored WHERE sample = 'balanced'", None), f"'{2 * PER_CLASS}' AS Sample,")
     + " UNION ALL "
-    + summary_sql(_pairs(_LABELLED, "human"), "'200' AS Sample,"),
+    + summary_sql(_pairs(_LABELLED, "human"), f"'{LABELLING}' AS Sample,"),
 )
 def main(spark, sf_dir):
     scored = stage_table(scored_sets(spark, sf_dir))
-    report = rounded(main_report(scored, main_human(spark, sf_dir, scored)))
+    report = rounded(main_report(scored, main_human(spark, sf_dir, scored), SPEC))
     return report.select("Sample", *[c for c in report.columns if c != "Sample"])
 
 

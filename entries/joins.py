@@ -14,11 +14,13 @@ from caseflow.plans.cohort import (
     add_site_label,
     imaging_lists,
     medication_lists,
+    order_counts,
     order_pages,
     notes_with_text,
     visit_notes,
 )
 from caseflow.plans.reports import HUMAN, attach_human_left, attach_human_right, human_label
+from caseflow.sources import stage_table
 from entries.registry import query, table
 from entries.standins import (
     PAGE,
@@ -195,11 +197,13 @@ def collected(spark, sf_dir):
 def listed(spark, sf_dir):
     timed = _timed_visits(spark, sf_dir)
     notes = note_metadata(spark, sf_dir).select("note_id", "encounter_id")
-    pages = order_pages(
-        imaging_lists(imaging(spark, sf_dir), timed, part_rows=PAGE),
-        medication_lists(medications(spark, sf_dir), timed, part_rows=PAGE),
+    pages = stage_table(
+        order_pages(
+            imaging_lists(imaging(spark, sf_dir), timed, part_rows=PAGE),
+            medication_lists(medications(spark, sf_dir), timed, part_rows=PAGE),
+        )
     )
-    notes = add_order_lists(notes, pages)
+    notes = add_order_lists(notes, pages, per_visit=order_counts(pages))
     times = F.transform(
         "medicationorder_datetime_abx_list", lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
     )

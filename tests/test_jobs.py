@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 
 import pytest
@@ -13,17 +14,20 @@ from caseflow.operators.frame import same_keys
 from caseflow.operators.profile import cohort_stats
 from caseflow.plans.answers import ingest_responses
 from caseflow.plans.cohort import (
+    add_order_lists,
     add_site_label,
     adult_visits,
     build_cohort,
     funnel,
+    order_counts,
     text_of,
 )
-from caseflow.plans.notes import prepare_notes, sectioned_notes
+from caseflow.plans.notes import prepare_notes, rank_first_notes, sectioned_notes
 from caseflow.plans.prompts import QUESTIONS, build_prompts, template_rows, template_table
 from caseflow.plans.reports import main_report, sensitivity_report, unbalanced_report, word_counts
 from caseflow.plans.tasks import SampleSpec, scoring_requests, task_sets
 from caseflow.schemas import RESPONSES
+from caseflow.sources import stage_table
 from tests import clinic
 from tests.conftest import plan_of
 
@@ -108,6 +112,63 @@ def test_pages_put_end_to_end_are_the_lists(tables, min_hot):
     )
 
 
+@pytest.mark.parametrize("min_hot, stage", [(1, True), (2, False), (10**6, True)])
+def test_a_cohort_of_flags_has_no_lists_and_the_same_flags(tables, cohort, min_hot, stage):
+    flags = build_cohort(tables, SPECIALTIES, min_hot=min_hot, stage=stage, lists=False)
+    assert not {"part", "imaging_orders", "imaging_count", "abx_count"} & set(flags.columns)
+    want = {r.note_id: ("N" if r.imaging_orders is None else "Y", r.abx_ordered_ed, r.note_text) for r in cohort.collect()}
+    assert {r.note_id: (r.imaging_orders_binary, r.abx_ordered_ed, r.note_text) for r in flags.collect()} == want
+    with pytest.raises(ValueError):
+        build_cohort(tables, SPECIALTIES, lists=False, orders_per_note=True)
+
+
+@pytest.mark.parametrize("lists", [True, False])
+def test_notes_prepared_with_their_text_last_are_the_same(tables, prepared, lists):
+    notes = build_cohort(tables, SPECIALTIES, lists=lists, text=False)
+    assert "note_text" not in notes.columns
+    late = prepare_notes(notes, note_text=tables["note_text"])
+    both = [c for c in prepared.columns if c in late.columns]
+    assert {"note_text_processed", "imaging_orders_binary", "history_text"} <= set(both)
+    assert sorted(map(str, late.select(both).collect())) == sorted(map(str, prepared.select(both).collect()))
+
+
+def test_no_text_is_moved_to_find_first_notes(tables):
+    notes = build_cohort(tables, SPECIALTIES, lists=False, text=False)
+    ranked = rank_first_notes(notes, text_of(notes, tables["note_text"]))
+    plan = ranked._jdf.queryExecution().explainString(ranked.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    nodes = re.findall(r"\n\(\d+\) (\w+)[^\n]*\n(?:Left keys[^\n]*\n|Right keys[^\n]*\n)?Input *(?:\[\d+\])?: \[([^\n]*)\]", plan)
+    moved = {name: columns for name, columns in nodes if name in ("Exchange", "BroadcastExchange", "Window", "Sort", "WindowGroupLimit")}
+    assert "Window" in moved and "_length" in moved["Window"]
+    assert not any("note_text#" in columns for columns in moved.values())
+
+
+def test_no_list_is_made_for_prepared_notes(spark, tables):
+    plan = plan_of(build_cohort(tables, SPECIALTIES, stage=False, lists=False, text=False))
+    assert "collect_list" not in plan and "array_sort" not in plan
+
+
+def test_pages_of_a_visit_do_not_meet(spark, tables):
+    """No exchange deals pages, with their lists, out by the visit alone."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        notes = spark.createDataFrame([("v", "n1"), ("v", "n2"), ("w", "n3")], "encounter_id string, note_id string")
+        rows = [("v", i, [f"o{i}"], 1) for i in range(5)] + [("w", 0, ["p"], 1)]
+        pages = stage_table(spark.createDataFrame(rows, "encounter_id string, part bigint, l array<string>, imaging_rows bigint").withColumn("abx_rows", F.lit(None).cast("bigint")))
+        listed = add_order_lists(notes, pages.drop("imaging_rows", "abx_rows"), min_hot=1, per_visit=order_counts(pages))
+        plan = plan_of(listed)
+        got = sorted((r.note_id, r.part, r.l, r.imaging_count, r.abx_count) for r in listed.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted([(n, i, [f"o{i}"], 5, None) for n in ("n1", "n2") for i in range(5)] + [("n3", 0, ["p"], 1, None)])
+    assert "Window" not in plan
+    lines = plan.splitlines()
+    joins = [l for l in lines if "SortMergeJoin" in l and "part" in l]
+    assert joins and all("_salt" in l and "encounter_id" in l for l in joins)
+    # What is dealt out by the visit alone is counted, one row per visit, and has no list.
+    alone = [i for i, l in enumerate(lines) if "Exchange hashpartitioning(encounter_id#" in l and "part#" not in l and "_salt" not in l]
+    assert all("Aggregate" in lines[i + 1] or "Aggregate" in lines[i + 2] for i in alone)
+
+
 def test_notes_of_a_stored_cohort_without_pages(cohort, prepared):
     stored = prepare_notes(cohort.drop("part", "imaging_count", "abx_count"))
     keys = ["encounter_id", "imaging_orders_binary", "abx_ordered_ed"]

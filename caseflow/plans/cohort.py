@@ -39,7 +39,7 @@ from caseflow.operators.skew import (
     spread_join,
 )
 from caseflow.schemas import NOTE_METADATA, VISITS, require_columns
-from caseflow.sources import stage_table
+from caseflow.sources import bucketed_by, stage_table
 
 VISIT_TIMES = ("arrival_datetime", "departure_datetime")
 MAX_BROADCAST_KEYS = 20_000_000  # hashed note keys, some half a gigabyte
@@ -70,9 +70,10 @@ def text_of(notes: DataFrame, text: DataFrame, max_keys: int = MAX_BROADCAST_KEY
 
     With up to `max_keys` notes, eight-byte hashes of their keys are broadcast and
     other texts are dropped where they are read; the join by key that follows settles
-    the rest. With more notes all texts go on to the join.
+    the rest. With more notes all texts go on to the join. A table of texts that is bucketed
+    by the note is not moved by the join, so it is left as it is, whatever its size.
     """
-    if notes.count() > max_keys:
+    if bucketed_by(text, "note_id") or notes.count() > max_keys:
         return text
     keys = notes.filter("note_id IS NOT NULL").select(F.xxhash64("note_id").alias("_note"))
     return text.join(F.broadcast(keys), F.xxhash64("note_id") == F.col("_note"), "left_semi")

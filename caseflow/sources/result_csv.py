@@ -1,8 +1,8 @@
 """CSV files of prompts, responses and reports.
 
-Quotes inside a field are doubled and fields may span lines. A multi-line file
-cannot be split, so one file is one task: writes are bounded by
-`rows_per_file` to keep every file, and the task that reads it back, small.
+Quotes inside a field are doubled and fields may span lines. Spark reads such a file in one
+task, so writes are bounded by `rows_per_file` to keep every file, and the task that reads
+it back, small. Large files of others are read in byte ranges (`split_csv`).
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from caseflow.sources.split_csv import read_by_header
+
 _DIALECT = {
     "header": True,
     "sep": ",",
@@ -20,6 +22,7 @@ _DIALECT = {
     "ignoreTrailingWhiteSpace": False,
 }
 POSITION = "position"
+_INDEX = "_index"
 
 
 def write_result_csv(
@@ -58,28 +61,33 @@ def read_result_csv(
     schema: StructType,
     row_index: bool = False,
     keep_position: bool = False,
+    split: bool = False,
 ) -> DataFrame:
     """Read the columns of `schema` from a result CSV, by the names in its header.
 
     Their order in the file does not matter and other columns are ignored. A missing name
-    raises at once, a value that is not of its column's type when it is read, and so does
-    a file whose header is not that of the others. An empty field is NULL, quoted or not;
-    no other text is.
+    raises at once, a value that is not of its column's type when it is read. An empty
+    field is NULL, quoted or not; no other text is.
 
-    With `row_index` the files lead with an unnamed row number, which is dropped
-    unless `keep_position` asks for it as the column `position`.
+    With `split` a file is read by many tasks, and each file by its own header; so it is with
+    `row_index`, where the files lead with an unnamed row number, which is dropped unless
+    `keep_position` asks for it as the column `position`. Otherwise one task reads a file,
+    and a file whose header is not that of the others is an error.
     """
-    # Spark cannot compare headers that have a column without a name.
-    raw = spark.read.options(**_DIALECT, enforceSchema=row_index).csv(path, multiLine=True)
     wanted = list(schema.fields)
-    names = {f.name: f.name for f in wanted}
-    if row_index and keep_position:
-        names[POSITION] = raw.columns[0]
-        wanted.insert(0, StructField(POSITION, LongType()))
-    missing = [f.name for f in wanted if names[f.name] not in raw.columns]
+    if keep_position and not row_index:
+        raise ValueError("keep_position needs row_index")
+    if split or row_index:
+        # Spark cannot compare headers that have a column without a name.
+        first = _INDEX if keep_position else None
+        raw = read_by_header(spark, path, _DIALECT, [f.name for f in wanted], first)
+        place = [_typed(_INDEX, StructField(POSITION, LongType()))] if keep_position else []
+        return raw.select(*place, *[_typed(f.name, f) for f in wanted])
+    raw = spark.read.options(**_DIALECT, enforceSchema=False).csv(path, multiLine=True)
+    missing = [f.name for f in wanted if f.name not in raw.columns]
     if missing:
         raise ValueError(f"{path}: missing columns {missing}; found {raw.columns}")
-    return raw.select(*[_typed(names[f.name], f) for f in wanted])
+    return raw.select(*[_typed(f.name, f) for f in wanted])
 
 
 def _typed(name: str, field: StructField) -> Column:

@@ -57,6 +57,14 @@ def csv_roundtrip(spark, sf_dir):
     return read_result_csv(spark, path, df.schema)
 
 
+@query("csv_split", "SELECT doc_id, text, lang FROM documents")
+def csv_split(spark, sf_dir):
+    """One file per partition of the table, each read in byte ranges."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    path = write_result_csv(df, shared_folder(spark), rows_per_file=0)
+    return read_result_csv(spark, path, df.schema, split=True)
+
+
 @query("csv_roundtrip_plain", "SELECT conv_id, turn, role, text FROM conversations")
 def csv_roundtrip_plain(spark, sf_dir):
     df = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -14,13 +14,14 @@ from caseflow.plans.cohort import (
     add_site_label,
     imaging_lists,
     medication_lists,
+    notes_with_text,
     order_counts,
     order_pages,
-    notes_with_text,
+    text_of,
     visit_notes,
 )
 from caseflow.plans.reports import HUMAN, attach_human_left, attach_human_right, human_label
-from caseflow.sources import stage_table
+from caseflow.sources import shared_folder, stage_table, write_bucketed
 from entries.registry import query, table
 from entries.standins import (
     PAGE,
@@ -187,6 +188,18 @@ def collected(spark, sf_dir):
     )
 
 
+@query(
+    "bucketed_texts",
+    with_tables("note_metadata", "note_text")
+    + "SELECT m.note_id, encounter_id, note_text FROM note_metadata m LEFT JOIN note_text t ON m.note_id = t.note_id",
+)
+def bucketed_texts(spark, sf_dir):
+    folder = shared_folder(spark)
+    texts = write_bucketed(note_text(spark, sf_dir), f"texts_{folder[-32:]}", folder, "note_id", 8)
+    notes = note_metadata(spark, sf_dir).select("note_id", "encounter_id")
+    return notes_with_text(notes, text_of(notes, texts)).select("note_id", "encounter_id", "note_text")
+
+
 @query(
     "add_order_lists",
     with_tables("note_metadata", "order_pages")

@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 import glob
+import os
+import random
+import uuid
 from types import SimpleNamespace
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import types as T
 
+from caseflow.plans.cohort import notes_with_text, text_of
 from caseflow.schemas import SOURCE_NAMES, VISITS, require_columns
 from caseflow.sources import (
+    bucketed_by,
     read_catalog,
     read_result_csv,
     read_table,
     register_view,
     shared_folder,
     stage_table,
+    write_bucketed,
     write_result_csv,
     write_table,
 )
+from caseflow.sources.split_csv import csv_lines
 from tests.conftest import plan_of
 
 SCHEMA = T.StructType([T.StructField("k", T.StringType()), T.StructField("t", T.StringType()), T.StructField("n", T.IntegerType())])
@@ -45,8 +53,9 @@ def test_csv_keeps_texts(spark, quote_all):
     rows = [(f"k{i}", t, i) for i, t in enumerate(TEXTS)] + [("k99", None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
     path = write_result_csv(df, shared_folder(spark), quote_all)
-    back = {r.k: (r.t, r.n) for r in read_result_csv(spark, path, SCHEMA).collect()}
-    assert back == {k: (t, n) for k, t, n in rows}
+    for split in (False, True):
+        back = {r.k: (r.t, r.n) for r in read_result_csv(spark, path, SCHEMA, split=split).collect()}
+        assert back == {k: (t, n) for k, t, n in rows}
 
 
 @pytest.mark.parametrize("quote_all", [True, False])
@@ -146,3 +155,102 @@ def test_index_column_round_trip(spark, tmp_path):
     path = write_result_csv(df, f"{tmp_path}/indexed", quote_all=False, index="i")
     back = read_result_csv(spark, path, df.select("value", "name").schema, row_index=True, keep_position=True)
     assert sorted(map(tuple, back.collect())) == [(0, 1.5, "a"), (1, 2.5, None)]
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Byte ranges of a few lines each."""
+    settings = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def _csv(path, header, rows, end="\n"):
+    lines = [",".join('"' + str(v).replace('"', '""') + '"' for v in row) for row in rows]
+    path.write_bytes(end.join([header, *lines, ""]).encode())
+
+
+def _fields(seed, count):
+    rand = random.Random(seed)
+    bits = ['"', "\n", ",", "a", "é", " ", "''", '""', "\n\n", "x" * 30, "\\", '\\"', "k,t,n"]
+    text = lambda most: "".join(rand.choice(bits) for _ in range(rand.randint(0, most)))
+    return [(f"k{i}", text(rand.choice([1, 8, 60])), i) for i in range(count)]
+
+
+def test_a_file_read_in_ranges_is_as_it_is_read_whole(spark, tmp_path, small_ranges):
+    rows = [*_fields(1, 200), ("long", '"\n,' * 400, 1)]  # one field over many ranges
+    _csv(tmp_path / "a.csv", "k,t,n", rows)
+    lines = csv_lines(spark, str(tmp_path))
+    assert lines.select("_range").distinct().count() > 30
+    whole = read_result_csv(spark, str(tmp_path), SCHEMA)
+    split = read_result_csv(spark, str(tmp_path), SCHEMA, split=True)
+    assert split.columns == whole.columns and split.rdd.getNumPartitions() > 1
+    assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect()))
+    assert {r.k: r.t or "" for r in split.collect()} == {k: t for k, t, _ in rows}
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_each_file_is_read_by_its_own_header(spark, tmp_path, small_ranges, end):
+    rows = [(k, t.replace("\n", end), n) for k, t, n in _fields(2, 40)]
+    _csv(tmp_path / "a.csv", ",k,t,n", [(i, *r) for i, r in enumerate(rows[:20])], end)
+    _csv(tmp_path / "b.csv", ",n,t,k", [(i, r[2], r[1], r[0]) for i, r in enumerate(rows[20:])], end)
+    back = read_result_csv(spark, str(tmp_path), SCHEMA, row_index=True, keep_position=True).collect()
+    assert {r.k: (r.t or "", r.n) for r in back} == {k: (t.replace("\r\n", "\n"), n) for k, t, n in rows}
+    assert sorted(r.position for r in back) == sorted([*range(20), *range(20)])
+
+
+def test_a_file_without_a_column_raises(spark, tmp_path):
+    _csv(tmp_path / "a.csv", ",k,t,n", [(0, "a", "b", 1)])
+    _csv(tmp_path / "b.csv", ",k,t", [(0, "a", "b")])
+    with pytest.raises(ValueError, match="missing columns"):
+        read_result_csv(spark, str(tmp_path), SCHEMA, row_index=True)
+
+
+def test_rows_that_read_like_the_header_are_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,t,n\nk,t,\nx,y,1\n\n")
+    (tmp_path / "b.csv").write_text("k,t,n\n")
+    back = read_result_csv(spark, str(tmp_path), T.StructType([SCHEMA["k"], SCHEMA["t"]]), split=True)
+    assert sorted(map(tuple, back.collect())) == [("k", "t"), ("x", "y")]
+    (tmp_path / "a.csv").write_text("k,t\nk,t\nx,y")
+    (tmp_path / "b.csv").write_text("k,t")
+    back = read_result_csv(spark, str(tmp_path), T.StructType([SCHEMA["k"], SCHEMA["t"]]), split=True)
+    assert sorted(map(tuple, back.collect())) == [("k", "t"), ("x", "y")]
+
+
+def test_a_join_does_not_move_a_bucketed_table(spark, tmp_path):
+    texts = spark.range(3000).selectExpr("string(id % 1000) AS note_id", "repeat(string(id), 40) AS note_text").filter("note_id < '5'")
+    name = f"texts_{uuid.uuid4().hex}"
+    stored = write_bucketed(texts.dropDuplicates(["note_id"]), name, f"{tmp_path}/texts", "note_id", 4)
+    assert bucketed_by(stored, "note_id") and not bucketed_by(texts, "note_id")
+    assert len(glob.glob(f"{tmp_path}/texts/*.parquet")) == 4  # one task writes a bucket
+    notes = spark.range(1000).selectExpr("string(id) AS note_id", "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = notes_with_text(notes, text_of(notes, stored, max_keys=1))
+        plan = plan_of(joined)
+        rows = {r.note_id: r.note_text for r in joined.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(note_id") == 1  # the notes
+    assert "SelectedBucketsCount: 4 out of 4" in plan
+    assert len(rows) == 1000 and sum(t is not None for t in rows.values()) == stored.count()
+    one = plan_of(stored.filter("note_id = '17'"))
+    assert "EqualTo(note_id,17)" in one  # which the statistics and Bloom filters answer
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_bucketed_file_has_a_bloom_filter_of_the_key(spark, tmp_path):
+    df = spark.range(100).selectExpr("string(id) AS note_id", "'t' AS note_text")
+    name = f"texts_{uuid.uuid4().hex}"
+    write_bucketed(df, name, f"{tmp_path}/t", "note_id", 1, rows_per_file=100)
+    (file,) = glob.glob(f"{tmp_path}/t/*.parquet")
+    keys = pq.read_table(file)["note_id"].to_pylist()
+    assert keys == sorted(keys)
+    plain = df.select("note_id", "note_text").coalesce(1).sortWithinPartitions("note_id")
+    plain.write.parquet(f"{tmp_path}/plain")
+    (other,) = glob.glob(f"{tmp_path}/plain/*.parquet")
+    assert os.path.getsize(file) > os.path.getsize(other) + 64
+    spark.sql(f"DROP TABLE {name}")

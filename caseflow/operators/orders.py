@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.values import as_column, within_visit
@@ -56,6 +56,64 @@ def orders_during_visit(
     )
 
 
+def _instant(c: Column, kind: str) -> Column:
+    """A number or point in time as a whole number that keeps the order."""
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    if kind == "date":
+        return F.unix_date(c).cast("long")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return c.cast("long")
+    raise ValueError(f"intervals of {kind} are not supported")
+
+
+def orders_per_interval(
+    orders: DataFrame,
+    visits: DataFrame,
+    time: str,
+    key: str = "encounter_id",
+    start: str = "arrival_datetime",
+    end: str = "departure_datetime",
+    copies: bool = False,
+) -> DataFrame:
+    """Every order with every row of its visit with start <= time <= end: the order's columns
+    and the other columns of `visits`. With `copies`, each order once per different interval,
+    with the interval's times and the number of such rows as `copies`.
+
+    For keys with many intervals (and orders), as where a visit has a row per note: none of
+    them is compared with all others of its key. Intervals are put into bins of time whose
+    width is a power of two and at least their own length, so each lies in two bins at most;
+    an order looks into its bin of each width there is, of which there are 64 at most. Rows
+    meet by key, width and bin, and the bounds are checked exactly. A missing key, time or
+    bound matches nothing, nor does an interval that ends before it starts.
+    """
+    kinds = dict(visits.dtypes)
+    if copies:
+        visits = visits.groupBy(key, start, end).agg(F.count(F.lit(1)).alias("copies"))
+    first, last = _instant(F.col(start), kinds[start]), _instant(F.col(end), kinds[end])
+    valid = visits.filter(F.col(key).isNotNull() & (F.col(start) <= F.col(end)))
+    # The least width of bins that is more than the length: bits of the length.
+    measured = valid.withColumns({"_first": first, "_last": last})
+    width = F.length(F.bin(F.col("_last") - F.col("_first")))
+    measured = measured.withColumn("_width", width)
+    widths = sorted(r[0] for r in measured.select("_width").distinct().collect())
+    in_bins = [F.call_function("shiftright", F.col(c), F.col("_width")) for c in ("_first", "_last")]
+    bins = F.sequence(*in_bins)
+    binned = measured.withColumn("_bin", F.explode(bins)).drop("_first", "_last")
+    binned = binned.withColumnRenamed(key, "_right_key")
+    at = _instant(F.col(time), dict(orders.dtypes)[time])
+    looks = F.array(*[F.struct(F.lit(w).alias("_of"), F.shiftright("_at", w).alias("_in")) for w in widths])
+    if not widths:
+        looks = looks.cast("array<struct<_of:int,_in:bigint>>")
+    asked = orders.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).withColumn("_at", at)
+    asked = asked.select(*orders.columns, F.inline(looks))
+    on = (F.col(key) == F.col("_right_key")) & (F.col("_of") == F.col("_width")) & (F.col("_in") == F.col("_bin"))
+    joined = asked.join(binned, on & within_visit(time, start, end))
+    return joined.drop("_right_key", "_of", "_in", "_width", "_bin")
+
+
 def _ranked_by_range(rows: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
     """Add `_rank`, the place of each row among those of its key, without a task that has
     all of a key: rows are dealt out by ranges of (key, order), written, and numbered from

@@ -1,11 +1,10 @@
 """Joins that keep one hot key from landing in one task.
 
-A key is hot when it holds more than `MIN_HOT_ROWS` rows and is among the
-`MAX_HOT_KEYS` keys with the most; any other key holds less than one part in
-`MAX_HOT_KEYS` of the rows. The table of hot keys is thus small enough to broadcast
-whatever the data size. Rows of a hot key are spread over `fan` salts by a hash of
-their own row key; the rows they join to are copied once per salt. Which keys are
-called hot never changes a result.
+A key is hot when it holds more than `min_rows` rows. Every such key is found, however many
+there are; each stands for more than `min_rows` rows, so their table, which is broadcast, has
+less than a millionth of the rows at the default. Rows of a hot key are spread over salts by
+a hash of their own row key, about `min_rows` to a salt; the rows they join to are copied
+once per salt. Which keys are called hot never changes a result.
 
 Adaptive skew handling does the same for a join on its own, but not for a join
 whose partitioning the next step reuses, as the steps here do.
@@ -16,28 +15,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 10_000
-MAX_SALTS = 10_000
 MIN_HOT_ROWS = 1_000_000
+#: Counters of the summary by which keys that cannot be hot are left out.
+COUNTERS = 1 << 18
 SALT = "_salt"
 FAN = "_fan"
 _HOT_KEY = "_hot_key"
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """One row (key, fan) per hot key, at most `MAX_HOT_KEYS` rows.
+    """One row (key, fan) per hot key.
 
-    Reads the key column alone and counts before the shuffle. A missing key counts as
+    Two passes over the key column alone. The first adds rows up in `COUNTERS` counters, to
+    which keys are dealt by a hash: partial sums of tasks are merged, so that what is moved
+    does not grow with the number of keys. No key has more rows than its counter. The second
+    counts exactly, but only keys whose counter is above the limit. A missing key counts as
     a key: it matches nothing, but its rows have to be spread just the same.
     """
-    counts = df.groupBy(F.col(key).alias(_HOT_KEY)).agg(F.count(F.lit(1)).alias("n"))
-    fan = F.least(F.ceil(F.col("n") / F.lit(min_rows)), F.lit(MAX_SALTS)).cast("int")
-    return (
-        counts.filter(F.col("n") > min_rows)
-        .orderBy(F.col("n").desc(), _HOT_KEY)
-        .limit(MAX_HOT_KEYS)
-        .select(_HOT_KEY, fan.alias(FAN))
+    name = F.col(key)
+    counter = F.pmod(F.xxhash64(name), F.lit(COUNTERS))
+    sums = df.groupBy(counter.alias("_counter")).agg(F.count(F.lit(1)).alias("_sum"))
+    above = sums.filter(F.col("_sum") > min_rows).select("_counter")  # at most COUNTERS rows
+    kept = df.select(name.alias(_HOT_KEY), counter.alias("_of")).join(
+        F.broadcast(above), F.col("_of") == F.col("_counter"), "left_semi"
     )
+    counts = kept.groupBy(_HOT_KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_rows)
+    return counts.select(_HOT_KEY, F.ceil(F.col("n") / F.lit(min_rows)).cast("int").alias(FAN))
 
 
 def with_fan(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:

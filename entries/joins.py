@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.values import order_timestamp
 from caseflow.operators.frame import merge, parse_timestamps, same_keys, stack, stack_tagged
-from caseflow.operators.orders import collect_per_key, orders_during_visit
+from caseflow.operators.orders import collect_per_key, orders_during_visit, orders_per_interval
 from caseflow.plans.answers import attach_responses
 from caseflow.plans.cohort import (
     add_demographics,
@@ -160,6 +160,23 @@ def interval_fanout(spark, sf_dir):
     return placed.select("encounter_id", "medicationorderkey", "copies")
 
 
+@query(
+    "interval_rows",
+    with_tables("timed_medications", "visit_times", "note_metadata")
+    + """SELECT encounter_id, medicationorderkey, note_id
+         FROM timed_medications
+         JOIN (SELECT v.*, note_id FROM visit_times v JOIN note_metadata USING (encounter_id)) USING (encounter_id)
+         WHERE medicationorder_datetime BETWEEN arrival AND departure""",
+)
+def interval_rows(spark, sf_dir):
+    """Each order repeated for each note of its visit."""
+    notes = visit_notes(_timed_visits(spark, sf_dir), note_metadata(spark, sf_dir)).select(
+        "encounter_id", "arrival_datetime", "departure_datetime", "note_id"
+    )
+    placed = orders_per_interval(_timed_medications(spark, sf_dir), notes, "ordered")
+    return placed.select("encounter_id", "medicationorderkey", "note_id")
+
+
 @query(
     "collect_per_key",
     """SELECT o_custkey, place // 8 AS part, count(*) AS rows,

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from caseflow.operators import skew
-from caseflow.operators.orders import collect_per_key, orders_during_visit
+from caseflow.operators.orders import collect_per_key, orders_during_visit, orders_per_interval
 from caseflow.operators.skew import FAN, SALT, hot_keys, spread_hot, spread_join
 from caseflow.plans.cohort import add_age, add_demographics, add_order_lists
 from tests.conftest import plan_of
@@ -53,12 +53,60 @@ def test_hot_keys_are_those_above_the_limit(orders):
     assert "hot" in got
 
 
-def test_number_of_hot_keys_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 3)
-    monkeypatch.setattr(skew, "MAX_SALTS", 4)
-    df = spark.createDataFrame([(k,) for k in range(10) for _ in range(20 + k)], "k int")
+@pytest.mark.parametrize("counters", [4, 1 << 18])
+def test_there_is_no_limit_to_hot_keys(spark, monkeypatch, counters):
+    """30,000 hot keys among others, each spread over its salts."""
+    monkeypatch.setattr(skew, "COUNTERS", counters)
+    df = spark.range(30_000).selectExpr("id AS k", "explode(sequence(1, 3 + int(id % 4))) AS i")
+    df = df.union(spark.range(30_000, 90_000).selectExpr("id", "1"))
     got = {r[0]: r[FAN] for r in hot_keys(df, "k", 2).collect()}
-    assert got == {9: 4, 8: 4, 7: 4}
+    assert got == {k: -(-(3 + k % 4) // 2) for k in range(30_000)}
+    hot = hot_keys(df, "k", 2)
+    salts = spread_hot(df, "k", "i", hot).filter("k < 30000").groupBy("k", SALT).count()
+    assert salts.agg({"count": "max"}).first()[0] < 6  # the largest key has six rows
+    joined = spread_join(df, df.select("k").distinct(), "k", "i", hot=hot)
+    assert joined.count() == df.count()
+
+
+def intervals_by_hand(orders, visits):
+    pairs = Counter()
+    for k, okey, t in orders:
+        for key, a, d, note in visits:
+            if k is not None and k == key and None not in (t, a, d) and a <= t <= d:
+                pairs[(k, okey, note)] += 1
+    return pairs
+
+
+def test_many_intervals_of_one_key(spark):
+    rng = random.Random(5)
+    orders = [(rng.choice(["hot", "hot", "v1", "v2", None]), f"o{i}", rng.choice([None, *[rng.randint(-3000, 3000)] * 9])) for i in range(400)]
+    visits = [(rng.choice(["hot", "hot", "v1", None]), a, a + rng.choice([-5, 0, 1, 7, 8, 63, 64, 900, 6000]), f"n{i}") for i in range(300) for a in [rng.randint(-3000, 3000)]]
+    visits += [("hot", None, 5, "x"), ("hot", 5, None, "y"), visits[0], visits[0], ("v2", -(2**40), 2**40, "z")]
+    left = spark.createDataFrame(orders, "encounter_id string, okey string, t bigint")
+    right = spark.createDataFrame(visits, "encounter_id string, arrival_datetime bigint, departure_datetime bigint, note string")
+    got = orders_per_interval(left, right, "t")
+    assert got.columns == ["encounter_id", "okey", "t", "arrival_datetime", "departure_datetime", "note"]
+    want = intervals_by_hand(orders, visits)
+    assert Counter((r.encounter_id, r.okey, r.note) for r in got.collect()) == want
+    grouped = orders_per_interval(left, right.drop("note"), "t", copies=True)
+    assert grouped.count() == len({(r.encounter_id, r.okey, r.arrival_datetime, r.departure_datetime) for r in got.collect()})
+    assert grouped.agg({"copies": "sum"}).first()[0] == sum(want.values())
+    assert orders_per_interval(left, right.limit(0), "t").count() == 0
+    assert orders_per_interval(left.limit(0), right, "t").count() == 0
+
+
+def test_intervals_of_one_key_meet_few_orders(spark):
+    """100,000 orders and 10,000 intervals of one visit, of which each order is in few: rows
+    that meet are a small part of the billion pairs."""
+    orders = spark.range(100_000).selectExpr("'v' AS encounter_id", "id AS okey", "timestamp_ntz '2020-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 60) AS t")
+    visits = spark.range(10_000).selectExpr(
+        "'v' AS encounter_id", "timestamp_ntz '2020-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 600) AS arrival_datetime",
+        "timestamp_ntz '2020-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 600 + 1200) AS departure_datetime",
+    )
+    got = orders_per_interval(orders, visits, "t")
+    assert got.count() == sum(min(99_999, i * 10 + 20) - i * 10 + 1 for i in range(10_000) if i * 10 <= 99_999)
+    plan = plan_of(got)
+    assert all("bin" in l for l in plan.splitlines() if "SortMergeJoin" in l) and "NestedLoop" not in plan
 
 
 def test_no_salt_holds_much_more_than_its_share(orders):

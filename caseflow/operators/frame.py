@@ -117,24 +117,46 @@ def stack_tagged(frames: Mapping[str, DataFrame], tag: str) -> DataFrame:
     return stack(*[df.withColumn(tag, F.lit(name)) for name, df in frames.items()])
 
 
+def _fingerprints(frames: Mapping[str, DataFrame]) -> dict[str, tuple]:
+    """Per frame: rows, and two sums of hashes of its rows, the same for the same bag of rows.
+    No row stands for an empty frame."""
+    tagged = stack_tagged(frames, "_frame")
+    columns = [c for c in tagged.columns if c != "_frame"]
+    # Halves of the hashes, so that sums of any number of rows fit.
+    parts = [F.shiftright(F.xxhash64(*columns), 32), F.hash(*columns).cast("long")]
+    sums = tagged.groupBy("_frame").agg(F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(f"h{i}") for i, p in enumerate(parts)])
+    found = {r["_frame"]: (r["n"], r["h0"], r["h1"]) for r in sums.collect()}
+    return {name: found.get(name) for name in frames}
+
+
 def same_keys(
     frames: Mapping[str, DataFrame], key: str, position: str | None = None
 ) -> DataFrame:
     """Do the frames hold the same keys? One row (left, right, same) per pair.
 
     Without `position` the frames are compared as bags of keys; with it, key by key
-    along the positions. All pairs come from one aggregate over the stacked frames,
-    which counts before the shuffle.
+    along the positions. First each frame gets a fingerprint that no order of rows changes,
+    from one scan that moves a row per task: frames with different ones differ. Only frames
+    that share theirs are compared key by key, in one aggregate that counts before the
+    shuffle.
     """
     names = list(frames)
     at = [position] if position else []
-    rows = stack_tagged({n: df.select(*at, key) for n, df in frames.items()}, "_frame")
-    counts = [F.count(F.when(F.col("_frame") == n, 1)).alias(f"_{i}") for i, n in enumerate(names)]
-    per_key = rows.groupBy(*at, key).agg(*counts)
+    prints = _fingerprints({n: df.select(*at, key) for n, df in frames.items()})
     pairs = list(combinations(range(len(names)), 2))
+    alike = [(i, j) for i, j in pairs if prints[names[i]] == prints[names[j]]]
+    asked = {i for pair in alike for i in pair}
+    if not alike:
+        rows = [(names[i], names[j], False) for i, j in pairs]
+        return next(iter(frames.values())).sparkSession.createDataFrame(rows, "left string, right string, same boolean")
+    rows = stack_tagged({names[i]: frames[names[i]].select(*at, key) for i in sorted(asked)}, "_frame")
+    counts = [F.count(F.when(F.col("_frame") == names[i], 1)).alias(f"_{i}") for i in sorted(asked)]
+    per_key = rows.groupBy(*at, key).agg(*counts)
     verdict = per_key.agg(
         *[
             F.coalesce(F.bool_and(F.col(f"_{i}") == F.col(f"_{j}")), F.lit(True)).alias(f"s{i}_{j}")
+            if (i, j) in alike
+            else F.lit(False).alias(f"s{i}_{j}")
             for i, j in pairs
         ]
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.fixed_values import (
@@ -26,7 +26,7 @@ from caseflow.functions.values import flag_not_sentinel, flag_present, string_ke
 from caseflow.operators.dedupe import first_note
 from caseflow.operators.frame import add_once, keep_notnull, merge
 from caseflow.plans.cohort import text_of
-from caseflow.sources import stage_table
+from caseflow.sources import stage_table, write_filtered
 
 HEADINGS = {
     "complaint": CHIEF_COMPLAINT,
@@ -73,6 +73,27 @@ def drop_unusable(
     return df
 
 
+def _usable_steps(columns: Sequence[str], sentinel: str) -> dict[tuple[str, str], Column]:
+    checks = {
+        "null": lambda c: c.isNotNull(),
+        "sentinel": lambda c: c != sentinel,
+        "empty": lambda c: c != "",
+    }
+    return {(check, c): test(F.col(c)) for check, test in checks.items() for c in columns}
+
+
+def write_usable(
+    df: DataFrame, path: str, columns: Sequence[str] = SECTIONS, sentinel: str = NO_SECTION
+) -> tuple[DataFrame, DataFrame]:
+    """Write the rows of `drop_unusable` to `path`; the written table, and the counts of
+    `unusable_counts` from the same pass."""
+    steps = _usable_steps(columns, sentinel)
+    usable, counts = write_filtered(df, path, {f"{check}:{c}": passed for (check, c), passed in steps.items()})
+    names = F.split("name", ":")
+    named = [names[0].alias("check"), F.when(F.size(names) > 1, names[1]).otherwise("").alias("column")]
+    return usable, counts.select("step", *named, "rows")
+
+
 def unusable_counts(
     df: DataFrame, columns: Sequence[str] = SECTIONS, sentinel: str = NO_SECTION
 ) -> DataFrame:
@@ -81,17 +102,11 @@ def unusable_counts(
     The order is NULL, sentinel, '' with all columns inside each; one scan counts
     every step.
     """
-    checks = {
-        "null": lambda c: c.isNotNull(),
-        "sentinel": lambda c: c != sentinel,
-        "empty": lambda c: c != "",
-    }
     kept, counts, names = F.lit(True), [F.count(F.lit(1)).alias("_0")], [("start", "")]
-    for check, test in checks.items():
-        for c in columns:
-            kept = kept & test(F.col(c))
-            names.append((check, c))
-            counts.append(F.count(F.when(kept, 1)).alias(f"_{len(counts)}"))
+    for (check, c), passed in _usable_steps(columns, sentinel).items():
+        kept = kept & passed
+        names.append((check, c))
+        counts.append(F.count(F.when(kept, 1)).alias(f"_{len(counts)}"))
     rows = F.array(
         *[
             F.struct(

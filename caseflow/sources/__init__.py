@@ -1,3 +1,4 @@
+from caseflow.sources.counted import write_filtered
 from caseflow.sources.result_csv import read_result_csv, write_result_csv
 from caseflow.sources.tables import (
     bucketed_by,
@@ -19,6 +20,7 @@ __all__ = [
     "shared_folder",
     "stage_table",
     "write_bucketed",
+    "write_filtered",
     "write_result_csv",
     "write_table",
 ]

@@ -108,7 +108,11 @@ def shuffled(spark, sf_dir):
     return shuffle(rows, key="o_orderkey", position="place")
 
 
-@query("sample_df")
+@query(
+    "sample_df",
+    """SELECT l_orderkey, l_partkey FROM lineitem
+       ORDER BY md5('42|' || l_orderkey || '|' || l_partkey), l_orderkey, l_partkey LIMIT 100""",
+)
 def approximate(spark, sf_dir):
     return sample_df(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), 100)
 

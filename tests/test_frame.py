@@ -100,6 +100,15 @@ def test_stacks(spark, people):
     assert rows(tagged.groupBy("tag").count()) == [("x", 5), ("y", 5)]
 
 
+def test_unlike_frames_are_told_apart_without_moving_keys(spark):
+    frames = {n: spark.range(k, k + 1000).selectExpr("string(id % 400) AS k") for n, k in (("a", 0), ("b", 1), ("c", 0))}
+    unlike = same_keys({"a": frames["a"], "b": frames["b"]}, "k")
+    assert "Exchange" not in plan_of(unlike)
+    assert [tuple(r) for r in unlike.collect()] == [("a", "b", False)]
+    got = {(r.left, r.right): r.same for r in same_keys(frames, "k").collect()}
+    assert got == {("a", "b"): False, ("a", "c"): True, ("b", "c"): False}
+
+
 def test_same_keys(spark):
     def frame(keys):
         return spark.createDataFrame(list(enumerate(keys)), "at int, k string")

@@ -99,8 +99,14 @@ def test_labelling(cases):
 
 
 def test_sample_df(cases):
-    assert 0 < sample_df(cases, 100).count() <= 100
-    assert sample_df(cases, 10 * N).count() == N
+    drawn = [tuple(r) for r in sample_df(cases, 100).collect()]
+    rows = [tuple(r) for r in cases.collect()]
+    assert len(drawn) == 100 and len(set(drawn)) == 100 and set(drawn) <= set(rows)
+    assert sorted(map(str, drawn)) == sorted(map(str, map(tuple, sample_df(cases.repartition(13), 100).collect())))
+    assert sorted(map(str, drawn)) != sorted(map(str, map(tuple, sample_df(cases, 100, seed=1).collect())))
+    assert sample_df(cases, 10 * N).count() == N and sample_df(cases, 5, by=["encounter_id"]).count() == 5
+    plan = plan_of(sample_df(cases, 100))
+    assert "TakeOrderedAndProject" in plan and plan.count("Exchange") == plan_of(cases).count("Exchange")
 
 
 def test_rows_without_a_key_can_be_drawn(spark):

@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseflow.functions.responses import parse_label, response_content
 from caseflow.functions.text import (
@@ -20,8 +21,16 @@ from caseflow.functions.text import (
     token_count,
     word_count,
 )
-from caseflow.plans.notes import HEADINGS, add_sections, add_token_counts
-from caseflow.plans.notes import drop_unusable, unusable_counts, within_token_limit
+from caseflow.plans.notes import (
+    HEADINGS,
+    add_sections,
+    add_token_counts,
+    drop_unusable,
+    unusable_counts,
+    within_token_limit,
+    write_usable,
+)
+from caseflow.sources import shared_folder, write_filtered
 
 PIECES = [
     *HEADINGS["complaint"], *HEADINGS["exam"], *HEADINGS["assessment"], *HEADINGS["course"],
@@ -142,6 +151,23 @@ def test_unusable_counts_fall_to_what_drop_unusable_keeps(notes):
     assert steps[0] == len(texts()) and steps[-1] == len(kept) == drop_unusable(cut_notes).count()
 
 
+def test_usable_notes_are_written_and_counted_in_one_pass(notes):
+    cut_notes = add_sections(notes, "t")
+    usable, counts = write_usable(cut_notes, shared_folder(notes.sparkSession))
+    assert sorted(map(str, usable.collect())) == sorted(map(str, drop_unusable(cut_notes).collect()))
+    assert [tuple(r) for r in counts.orderBy("step").collect()] == [tuple(r) for r in unusable_counts(cut_notes).orderBy("step").collect()]
+
+
+def test_rows_are_counted_as_they_are_written(spark):
+    df = spark.range(100).selectExpr("id", "IF(id % 10 = 0, NULL, id) AS x").repartition(7)
+    steps = {"known": F.col("x").isNotNull(), "small": F.col("x") < 50, "null": F.lit(None).cast("boolean")}
+    kept, counts = write_filtered(df, shared_folder(spark), dict(list(steps.items())[:2]))
+    assert sorted(r.id for r in kept.collect()) == [i for i in range(50) if i % 10]
+    assert [tuple(r) for r in counts.orderBy("step").collect()] == [(0, "start", 100), (1, "known", 90), (2, "small", 45)]
+    kept, counts = write_filtered(df, shared_folder(spark), steps)
+    assert kept.count() == 0 and counts.orderBy("step").collect()[-1].rows == 0
+
+
 def test_prompt_layout(spark):
     df = spark.createDataFrame([("ask", "past", "now")], "t string, h string, e string")
     assert df.select(build_prompt("t", "h", "e")).first()[0] == 'ask  \n\n"""past now"""'

@@ -64,6 +64,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes not to clash with a column."""
+    taken = {c.lower() for c in df.columns}
+    while taken & {n.lower() for n in names}:
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns cannot clash with new ones."""
     missing = [c for c in columns if c not in df.columns]

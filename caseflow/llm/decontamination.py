@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import lower_ascii, require
+from caseflow.llm.common import lower_ascii, require, unused
 
 #: What stands between words: ASCII but letters and digits (after lower-casing).
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -174,12 +174,13 @@ def decontaminate(
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: documents or spans, not {remove}")
     hits = find_hits(docs, benchmark, size).filter(F.size("spans") > 0)
-    keys = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    of, text, spans = unused(docs, "_id", "_hash", "_spans")
+    keys = hits.select(F.col("doc_id").alias(of), F.col("text_hash").alias(text), F.col("spans").alias(spans))
+    same = docs["doc_id"].eqNullSafe(keys[of]) & (F.xxhash64(docs["text"]) == keys[text])
     if remove == "documents":
         return docs.join(keys, same, "left_anti")
     joined = docs.join(keys, same, "left")
-    cut = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("_spans")))
+    cut = F.when(F.col(spans).isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col(spans)))
     return joined.withColumn("text", cut).select(*docs.columns)
 
 

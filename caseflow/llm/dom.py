@@ -11,8 +11,9 @@ from html.parser import HTMLParser
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
     "head title script style template noscript iframe object svg math canvas audio video "
-    "button select option optgroup datalist textarea map".split()
+    "button select option optgroup datalist textarea".split()
 )
+FOREIGN = frozenset(("svg", "math"))
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt "
     "ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -38,6 +39,7 @@ IN_HEAD = frozenset(
     "base basefont bgsound link meta title script style template noscript noframes head html".split()
 )
 _SPACES = re.compile(r"\s+")
+_OPENS = re.compile(r"<[A-Za-z/!?]")
 
 
 class Node:
@@ -98,7 +100,11 @@ class _Builder(HTMLParser):
         self.open.append((tag, node))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # HTML knows no empty form of other elements
+        if tag not in FOREIGN:
+            self.handle_starttag(tag, attrs)  # HTML knows no empty form of other elements
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)  # which is what HTML takes `<![` for, up to the next `>`
 
     def handle_endtag(self, tag: str) -> None:
         i = self._nearest((tag,))
@@ -149,7 +155,11 @@ def block_tree(html: str) -> tuple[list[Node], set[int]]:
     """The blocks of a page, parents first (the first stands for the page), and those with
     a `data-main` attribute, by which labelled pages mark their main text."""
     builder = _Builder()
-    builder.feed(html)
+    # A tag or comment that nothing closes ends with the page and is no text. Left in, the
+    # parser would look for its end again from each `<`.
+    last = html.rfind(">") + 1
+    unclosed = _OPENS.search(html, last)
+    builder.feed(html[: unclosed.start()] if unclosed else html)
     builder.close()
     return builder.nodes, builder.marked
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import discard, require, write_staged
+from caseflow.llm.common import discard, require, unused, write_staged
 
 #: Groups of runs that are merged in one round.
 FAN = 16
@@ -137,13 +137,14 @@ def drop_duplicates(docs: DataFrame, fan: int = FAN) -> DataFrame:
 
     Of rows repeated with one doc_id and text any one stays.
     """
+    of, sha, chars = unused(docs, "_id", "_sha256", "_chars")
     kept = duplicate_groups(docs, fan).filter("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"), F.col("n_chars").alias("_kept_chars")
+        F.col("doc_id").alias(of), F.col("text_sha256").alias(sha), F.col("n_chars").alias(chars)
     )
     text = F.coalesce(docs["text"], F.lit(""))
     same = (
-        docs["doc_id"].eqNullSafe(F.col("_kept_id"))
-        & (F.sha2(without_blanks(text), 256) == F.col("_kept_text"))
-        & (F.char_length(text) == F.col("_kept_chars"))
+        docs["doc_id"].eqNullSafe(kept[of])
+        & (F.sha2(without_blanks(text), 256) == kept[sha])
+        & (F.char_length(text) == kept[chars])
     )
     return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -52,7 +52,16 @@ def encoder(path: str, added_tokens: bool = False):
                 os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=ADDED
             )
             encode = partial(coder.encode, allowed_special="all") if added_tokens else coder.encode_ordinary
-            _ENCODERS[path, added_tokens] = lambda texts: [encode(t) for t in texts]
+
+            def fast(text: str) -> list[int]:
+                try:
+                    return encode(text)
+                except ValueError:
+                    # Its pattern gives up on white space of some million characters. The JSON
+                    # file of the same name has the same vocabulary and no such limit.
+                    return encoder(path.removesuffix(".tiktoken") + ".json", added_tokens)([text])[0]
+
+            _ENCODERS[path, added_tokens] = lambda texts: [fast(t) for t in texts]
         else:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer

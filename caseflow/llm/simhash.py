@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import require, stage
+from caseflow.llm.common import require, stage, unused
 from caseflow.llm.graph import components
 
 SEED = 42
@@ -249,8 +249,9 @@ def keep_one_per_group(docs: DataFrame, shingle: int, distance: int) -> DataFram
     again = again.select("doc_id", "text_hash")
 
     def rows_of(keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-        same = (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+        of, text = unused(docs, "_id", "_hash")
+        keys = keys.withColumnsRenamed({"doc_id": of, "text_hash": text})
+        same = (docs["doc_id"] == F.col(of)) & (F.xxhash64(docs["text"]) == F.col(text))
         return docs.join(keys, same, how)
 
     single = rows_of(gone.union(again), "left_anti")

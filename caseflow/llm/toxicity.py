@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import discard, require, stage, write_staged
+from caseflow.llm.common import discard, require, stage, unused, write_staged
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -280,6 +280,8 @@ class _Scorer:
 
     def _find(self, wanted: np.ndarray) -> np.ndarray:
         """Rows of the table, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1)
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, at, -1)
 
@@ -297,7 +299,8 @@ class _Scorer:
             row = self._find(_hash(codes, at, self.order))
             unseen = np.flatnonzero(row < 0)
             row[unseen] = self._find(_hash(codes, at[unseen], self.order - 1))
-            found = np.where((row >= 0)[:, None], self.weights[row], 0.0)
+            found = np.zeros((len(row), self.weights.shape[1]))
+            found[row >= 0] = self.weights[row[row >= 0]]
             first = len(self.held)
             for i, column in enumerate(found.T):
                 self.values[first : first + len(some), i] = np.bincount(of, column, len(some))
@@ -400,8 +403,10 @@ def toxicity_scores(
     occur. If the labels have one class alone, every score is the share of toxic labels;
     without labels it is 0.
     """
-    chosen = stage(training_labels(labels, max_labelled))
     texts = require(docs, "doc_id", "text")
+    named = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    # Labels of other documents are none.
+    chosen = stage(training_labels(labels.join(named, "doc_id", "left_semi"), max_labelled))
     sides = {r["side"]: r["count"] for r in chosen.groupBy("side").count().collect()}
     toxic = sum(n for s, n in sides.items() if s[0] == "t")
     ordinary = sum(sides.values()) - toxic
@@ -442,6 +447,7 @@ def _judged(rows: DataFrame, score: Column) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """`docs` without the rows predicted toxic. All columns and other rows stay."""
     scores = toxicity_scores(docs, labels, **options).filter("predicted = 1")
-    gone = scores.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    of, text = unused(docs, "_id", "_hash")
+    gone = scores.select(F.col("doc_id").alias(of), F.col("text_hash").alias(text)).distinct()
+    same = docs["doc_id"].eqNullSafe(gone[of]) & (F.xxhash64(docs["text"]) == gone[text])
     return docs.join(gone, same, "left_anti")

@@ -179,6 +179,19 @@ def test_dedup_lines_keeps_rows_and_columns(documents):
     assert line_dedup.dedup_lines(documents([])).collect() == []
 
 
+def test_two_edits_of_a_line_of_many_words_are_few_edits_of_words(spark):
+    """Lines of 62 words and more are linked by their words alone, blanks edited or not."""
+    r = random.Random(8)
+    for words in (61, 62, 63, 75):
+        line = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(words))
+        blanks = [i for i, c in enumerate(line) if c == " "]
+        a, b = blanks[20], blanks[40]
+        edited = [line[:a] + line[a + 1 : b] + line[b + 1 :], line[:a] + "x" + line[a + 1 : b] + "y" + line[b + 1 :],
+                  line[: a + 2] + " " + line[a + 2 : b + 2] + " " + line[b + 2 :], line[:a] + " " + line[a:]]
+        docs = spark.createDataFrame([(0, line), *enumerate(edited, 1)], "doc_id bigint, text string")
+        assert {x.doc_id: x.class_doc_id for x in line_dedup.line_classes(docs).collect()} == dict.fromkeys(range(5), 0)
+
+
 def test_near_long_lines_finds_every_pair(spark):
     r = random.Random(2)
     lines = []

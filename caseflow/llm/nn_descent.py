@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,12 @@ TABLES = 3
 CELL = 256
 #: Nodes that the beam of a query holds.
 BEAM = 192
-MAX_STEPS = 20
-#: Vectors scored in one group, about.
+#: Vectors scored in one group, about, and queries they are scored for.
 BUCKET = 4_096
+ASKING = 16_384
+#: Random groups a node is in, and their size, about: it is linked to two of each, however far.
+FAR_TABLES = 3
+FAR_GROUP = 8
 SEED = 5
 _PAIRS_AT_ONCE = 50_000
 _EDGES = "a bigint, c bigint, sim float"
@@ -183,13 +187,25 @@ def descend(nodes: DataFrame, graph: DataFrame, turn: int, degree: int = DEGREE)
     return _nearest(_different(graph.select("a", "c", "sim").union(found)), "a", "c", degree)
 
 
+def far_links(nodes: DataFrame, count: int) -> DataFrame:
+    """Edges (a, c) between nodes that follow one another in small random groups. They join
+    clusters that are far from all others to the rest."""
+    tables = [nodes.select("id", F.lit(t).alias("table"), F.xxhash64("id", F.lit(t)).alias("h")) for t in range(FAR_TABLES)]
+    rows = reduce(DataFrame.union, tables).withColumn("grp", F.pmod("h", F.lit(max(1, count // FAR_GROUP))))
+    group = Window.partitionBy("table", "grp").orderBy("h", "id")
+    pairs = rows.select(F.col("id").alias("a"), F.lead("id").over(group).alias("c")).filter("c is not null")
+    return pairs.union(pairs.select("c", "a"))
+
+
 def build_graph(nodes: DataFrame, rounds: int = ROUNDS, degree: int = DEGREE) -> DataFrame:
-    """Columns id, near: each node with its neighbours, out and in (`degree` of either)."""
-    graph = stage(first_graph(nodes, nodes.count(), degree))
+    """Columns id, near: each node with its neighbours, out and in (`degree` of either), and
+    some far ones."""
+    count = nodes.count()
+    graph = stage(first_graph(nodes, count, degree))
     for turn in range(rounds):
         graph = stage(descend(nodes, graph, turn, degree))
     into = _nearest(graph.select(F.col("c").alias("a"), F.col("a").alias("c"), "sim"), "a", "c", degree)
-    both = graph.union(into)
+    both = graph.select("a", "c").union(into.select("a", "c")).union(far_links(nodes, count))
     return both.groupBy("a").agg(F.collect_set("c").alias("near")).withColumnRenamed("a", "id")
 
 
@@ -232,28 +248,33 @@ def _score(beam: int):
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
     """Columns q, c, score: the beam of each query node (column q: its id) at the end.
 
-    The walk of a query starts at its own node, which is in its beam.
+    The walk of a query starts at its own node, which is in its beam. It ends when all of
+    the beam has been expanded. No node enters a beam again that has fallen out of it, so
+    every walk ends.
+
+    In a step, pairs are dealt by node and, if many ask, by query; vectors go where a pair
+    needs them.
     """
-    buckets = max(1, -(-nodes.count() // BUCKET))
-    bucket = F.pmod(F.xxhash64("c"), F.lit(buckets)).cast("int").alias("bucket")
-    none = F.lit(None)
-    stored = nodes.select(F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("q"), F.col("id").alias("c"), "embedding", none.cast("double").alias("least"))
+    buckets, parts = max(1, -(-nodes.count() // BUCKET)), max(1, -(-queries.count() // ASKING))
+    bucket = F.pmod(F.xxhash64("c"), F.lit(buckets)) * parts + F.pmod(F.xxhash64("q", F.lit(1)), F.lit(parts))
+    no_vector, no_score, no_id = F.lit(None).cast("array<double>"), F.lit(None).cast("double"), F.lit(-1).cast("bigint")
     own = queries.join(nodes.select(F.col("id").alias("q"), "embedding"), "q")
     state = stage(own.select("q", F.col("q").alias("c"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x).alias("score"), F.lit(False).alias("done")))
-    for _ in range(MAX_STEPS):
+    while True:
         fresh = state.filter("not done")
         if fresh.isEmpty():
             break
         looked = fresh.join(graph, fresh["c"] == graph["id"]).select("q", F.explode("near").alias("c")).distinct()
-        looked = looked.join(state.select("q", "c"), ["q", "c"], "left_anti")
+        looked = stage(looked.join(state.select("q", "c"), ["q", "c"], "left_anti").select("q", "c", bucket.alias("bucket")))
         floor = state.groupBy("q").agg(F.min("score").alias("s"), F.count("*").alias("n"))
         floor = floor.select("q", F.when(F.col("n") >= beam, F.col("s")).otherwise(float("-inf")).alias("least"))
-        asking = own.join(floor, "q").select(
-            F.lit(1).alias("kind"), "q", F.lit(-1).cast("bigint").alias("c"), "embedding", "least",
-            F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"),
-        )
-        pairs = looked.select(F.lit(2).alias("kind"), "q", "c", none.cast("array<double>").alias("embedding"), none.cast("double").alias("least"))
-        rows = stored.union(pairs).select("*", bucket).union(asking)
+        stored = looked.select("bucket", "c").distinct().join(nodes.withColumnRenamed("id", "c"), "c")
+        asking = looked.select("bucket", "q").distinct().join(own.join(floor, "q"), "q")
+        rows = (
+            stored.select("bucket", F.lit(0).alias("kind"), no_id.alias("q"), "c", "embedding", no_score.alias("least"))
+            .union(asking.select("bucket", F.lit(1).alias("kind"), "q", no_id.alias("c"), "embedding", "least"))
+            .union(looked.select("bucket", F.lit(2).alias("kind"), "q", "c", no_vector.alias("embedding"), no_score.alias("least")))
+        )
         scored = rows.groupBy("bucket").applyInArrow(_score(beam), "q bigint, c bigint, score double")
         both = state.withColumn("done", F.lit(True)).union(scored.withColumn("done", F.lit(False)))
         order = Window.partitionBy("q").orderBy(F.desc("score"), "c")

@@ -161,11 +161,13 @@ def _tagged(spans: Column, kind: str) -> Column:
 
 
 def _different_texts(docs: DataFrame) -> DataFrame:
-    """One row per text: doc_id, text_hash, text. Repeated texts are known by a count."""
+    """One row per text: doc_id, text_hash, text. Repeated texts are known by a count; of
+    those the rows of the smallest doc_id, which may be several, are brought together."""
     counted = docs.groupBy("text_hash").agg(F.count("*").alias("n"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("_first"))
     again = broadcast_if_small(counted.filter("n > 1").select(F.col("text_hash").alias("_hash"), "_first"), BROADCAST_ROWS)
     joined = docs.join(again, F.col("text_hash") == F.col("_hash"), "left")
-    return joined.filter(F.col("_first").isNull() | (F.col("_first") == F.coalesce("doc_id", F.lit(-1)))).select("doc_id", "text_hash", "text")
+    first = joined.filter(F.col("_first") == F.coalesce("doc_id", F.lit(-1))).dropDuplicates(["text_hash"])
+    return joined.filter("_first is null").union(first).select("doc_id", "text_hash", "text")
 
 
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:

@@ -229,3 +229,18 @@ def test_recall(spark):
     got = nn_descent.nearest_neighbours(vectors, F.col("vec_id") % 20 == 0, 10).collect()
     want = {(q, i) for q, _, i in exact(rows, lambda q: q % 20 == 0, 10)}
     assert len({(g.query_id, g.vec_id) for g in got} & want) >= 0.9 * len(want)
+
+
+def test_small_clusters_far_from_the_rest_find_as_many(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "ASKING", 16)  # queries are dealt to many groups
+    r = np.random.default_rng(6)
+    points = r.normal(size=(1_500, 12))
+    points[:10] = 40 + r.normal(size=(10, 12)) / 50
+    points[10:18] = -40 + r.normal(size=(8, 12)) / 50
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(2_000 + i, points[0].tolist()) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = nn_descent.nearest_neighbours(vectors, F.col("vec_id") % 10 == 0, 20).collect()
+    asked = [i for i, _ in rows if i % 10 == 0]
+    assert sorted((g.query_id, g.rank) for g in got) == [(q, n) for q in asked for n in range(1, 21)]
+    want = {(q, i) for q, _, i in exact(rows, lambda q: q % 10 == 0, 20)}
+    assert len({(g.query_id, g.vec_id) for g in got} & want) >= 0.9 * len(want)

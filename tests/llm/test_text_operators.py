@@ -192,7 +192,9 @@ def test_two_edits_of_a_line_of_many_words_are_few_edits_of_words(spark):
         assert {x.doc_id: x.class_doc_id for x in line_dedup.line_classes(docs).collect()} == dict.fromkeys(range(5), 0)
 
 
-def test_near_long_lines_finds_every_pair(spark):
+@pytest.mark.parametrize("bits", (20, 4))
+def test_near_long_lines_finds_every_pair(spark, monkeypatch, bits):
+    monkeypatch.setattr(line_dedup, "LETTER_BITS", bits)
     r = random.Random(2)
     lines = []
     for _ in range(12):
@@ -442,6 +444,8 @@ def test_terms_that_reveal_an_entity(documents):
     assert texts_[0] == "Mail of  number0: [EMAIL] please" and texts_[10] == "please read number10 of the mail"
     alone = pii.find_personal_data(documents(rows[:1])).collect()
     assert [s.kind for s in alone[0].spans] == ["email"]
+    again = documents([*rows, rows[0], rows[0], (90, rows[0][1]), rows[10]])
+    assert {r.term for r in pii.disclosing_terms(again).collect()} == terms
 
 
 def test_query_digest_of_no_spans(spark, documents, tmp_path):
@@ -506,3 +510,9 @@ def test_grams_count_once_a_document(spark, documents):
     got = {r.gram: (r.n, r.o1, r.t2) for r in toxicity.gram_counts(docs, side, 2).collect()}
     assert got["\x02a"] == (2, 1, 1) and got["b\x03"] == (2, 1, 1) and got["c\x03"] == (1, 0, 1)
     assert got["dd"] == (255 + 87, 0, 0)  # the word is cut into two different ones
+
+
+def test_keys_that_the_same_lines_share_are_one(spark):
+    rows = [(k, i, True) for k in range(5) for i in (1, 2, 3)] + [(9, 1, True), (9, 2, True), (10, 1, True), (10, 1, True)]
+    got = line_dedup.shared_keys(spark.createDataFrame(rows, "key bigint, id bigint, found boolean")).collect()
+    assert {(r.key, r.id) for r in got} == {(0, 1), (0, 2), (0, 3), (9, 1), (9, 2)} and len(got) == 5

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from caseflow.fixed_values import LABEL_COLUMNS, PROMPT_COLUMNS
 from caseflow.operators.frame import same_keys
 from caseflow.operators.profile import cohort_stats
-from caseflow.plans.answers import ingest_responses
+from caseflow.plans.answers import attach_responses, ingest_responses
 from caseflow.plans.cohort import (
     add_order_lists,
     add_site_label,
@@ -24,7 +24,12 @@ from caseflow.plans.cohort import (
 )
 from caseflow.plans.notes import prepare_notes, rank_first_notes, sectioned_notes
 from caseflow.plans.prompts import QUESTIONS, build_prompts, template_rows, template_table
-from caseflow.plans.reports import main_report, sensitivity_report, unbalanced_report, word_counts
+from caseflow.plans.reports import (
+    main_report,
+    sensitivity_report,
+    unbalanced_report,
+    word_counts,
+)
 from caseflow.plans.tasks import SampleSpec, scoring_requests, task_sets
 from caseflow.schemas import RESPONSES
 from caseflow.sources import stage_table
@@ -423,3 +428,22 @@ def test_one_whole_response_of_several(spark):
     name = "_history_examination"
     assert (got["e0"][f"response_content{name}1"], got["e0"][f"label{name}1"]) == ("0: no", "0")
     assert (got["e1"][f"response_content{name}2"], got["e1"][f"label{name}2"]) == ("1: yes", "1")
+
+
+def test_responses_are_not_broadcast(spark):
+    """However few Spark takes them for: a generator may make many rows of a small table."""
+    samples = F.explode(F.array(F.lit("s"), F.lit("s2"))).alias("sample")
+    key, variant = F.lit("e").alias("encounter_id"), (F.col("id") + 1).cast("int").alias("variant")
+    body = F.lit(json.dumps({"choices": [{"message": {"content": "0"}}]})).alias("response_json")
+    responses = spark.range(4).select(F.lit("t").alias("task"), samples, key, variant, body)
+    requests = spark.range(4).select(F.lit("t").alias("task"), F.lit("s").alias("sample"), key, variant)
+    attached = attach_responses(requests, responses)
+    assert "Broadcast" not in plan_of(attached) and attached.count() == 4
+    # Few requests go to the responses, which are not moved.
+    sets = spark.createDataFrame([("t", "s", "e")], "task string, sample string, encounter_id string")
+    wide = ingest_responses(sets, requests, responses)
+    plan = plan_of(wide)
+    at = plan.index("Generate explode")
+    joined = plan.rindex("BroadcastHashJoin", 0, at)
+    assert "BuildLeft" in plan[joined:at] and "SortMergeJoin" not in plan[joined:at]
+    assert [r["label_history_examination4"] for r in wide.collect()] == ["0"]

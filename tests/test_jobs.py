@@ -25,6 +25,7 @@ from caseflow.plans.cohort import (
 from caseflow.plans.notes import prepare_notes, rank_first_notes, sectioned_notes
 from caseflow.plans.prompts import QUESTIONS, build_prompts, template_rows, template_table
 from caseflow.plans.reports import (
+    attach_human_left,
     main_report,
     sensitivity_report,
     unbalanced_report,
@@ -447,3 +448,12 @@ def test_responses_are_not_broadcast(spark):
     joined = plan.rindex("BroadcastHashJoin", 0, at)
     assert "BuildLeft" in plan[joined:at] and "SortMergeJoin" not in plan[joined:at]
     assert [r["label_history_examination4"] for r in wide.collect()] == ["0"]
+
+
+def test_human_labels_are_not_broadcast(spark):
+    tasks = F.explode(F.array(F.lit("t"), F.lit("t2"))).alias("task")
+    human = spark.range(3).select(tasks, F.col("id").cast("string").alias("encounter_id"), F.lit(1).alias("human"))
+    scored = spark.createDataFrame([("t", "1"), ("t", "9"), ("t", None)], "task string, encounter_id string")
+    labelled = attach_human_left(scored, human)
+    assert "Broadcast" not in plan_of(labelled)
+    assert {(r.encounter_id, r.human) for r in labelled.collect()} == {("1", 1), ("9", None), (None, None)}

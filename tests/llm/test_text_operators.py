@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from caseflow.llm import decontamination, graph, line_dedup, packing, pii, queries, simhash, toxicity
+from caseflow.llm.common import SHUFFLE_CLEANUP, discard_staged, stage
 
 TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -516,3 +519,23 @@ def test_keys_that_the_same_lines_share_are_one(spark):
     rows = [(k, i, True) for k in range(5) for i in (1, 2, 3)] + [(9, 1, True), (9, 2, True), (10, 1, True), (10, 1, True)]
     got = line_dedup.shared_keys(spark.createDataFrame(rows, "key bigint, id bigint, found boolean")).collect()
     assert {(r.key, r.id) for r in got} == {(0, 1), (0, 2), (0, 3), (9, 1), (9, 2)} and len(got) == 5
+
+
+def test_shuffles_of_a_staged_result_are_removed(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    folders = [f.getPath() for f in env.blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    before = shuffled()
+    staged = stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(100):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and staged.count() == 7
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
+    files = staged.inputFiles()
+    discard_staged(staged)
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)

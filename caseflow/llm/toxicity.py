@@ -39,6 +39,8 @@ FOLDS = 5
 WORDS_HELD = 500_000
 WORDS_AT_ONCE = 20_000
 WORDS_SCORED = 200_000
+#: Grams in a batch of counts.
+ROWS_SENT = 50_000
 CHUNK = 1 << 20
 MAX_WORD = 256
 SEED = 42
@@ -123,6 +125,44 @@ def _with_side(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(chosen), "doc_id", "left")
 
 
+def _gram_batches(sides: dict[str | None, Counter], order: int) -> Iterator[pa.RecordBatch]:
+    """The grams of the words counted on each side, which are emptied."""
+    words = list(set().union(*sides.values()))
+    place = dict(zip(words, range(len(words))))
+    table = np.zeros((len(words), 1 + len(SIDES)))
+    for i, counter in enumerate(sides.values()):
+        table[list(map(place.__getitem__, counter)), i] = list(counter.values())
+        counter.clear()
+    del place
+    table[:, 0] = table.sum(axis=1)
+    # Grams are numbers until each is there once: only then is it cut out of its words.
+    padded: list[str] = []
+    parts: list[tuple] = []
+    done = 0
+    for some in _some(words):
+        text, at, of = _gram_places(some, order)
+        keys, first, group = np.unique(_hash(_letters(text), at, order), return_index=True, return_inverse=True)
+        weights = table[done : done + len(some)][of]
+        sums = np.column_stack([np.bincount(group, w, len(keys)).astype(np.int32) for w in weights.T])
+        parts.append((keys, at[first].astype(np.int32), np.full(len(keys), len(padded), np.int32), sums))
+        padded.append(text)
+        done += len(some)
+    if not parts:
+        return
+    del words, table
+    every, at, of, sums = (np.concatenate(p) for p in zip(*parts))
+    parts.clear()
+    _, first, group = np.unique(every, return_index=True, return_inverse=True)
+    del every
+    at, of = at[first], of[first]
+    counts = [np.bincount(group, c, len(first)).astype(np.int64) for c in sums.T]
+    for i in range(0, len(first), ROWS_SENT):
+        some = slice(i, i + ROWS_SENT)
+        grams = [padded[p][a : a + order] for p, a in zip(of[some].tolist(), at[some].tolist())]
+        columns = [pa.array(grams, pa.string()), *[pa.array(c[some]) for c in counts]]
+        yield pa.RecordBatch.from_arrays(columns, ["gram", "n", *SIDES])
+
+
 def gram_counts(docs: DataFrame, chosen: DataFrame, order: int) -> DataFrame:
     """Occurrences of every gram in all documents (n) and on each side of the labels.
 
@@ -137,32 +177,8 @@ def gram_counts(docs: DataFrame, chosen: DataFrame, order: int) -> DataFrame:
                 for words in _word_lists(text.as_py()):
                     sides[side].update(set(words))
                     if sum(map(len, sides.values())) > WORDS_HELD:
-                        yield emptied(sides)
-        yield emptied(sides)
-
-    def emptied(sides: dict[str | None, Counter]) -> pa.RecordBatch:
-        words = list(set().union(*sides.values()))
-        place = dict(zip(words, range(len(words))))
-        table = np.zeros((len(words), 1 + len(SIDES)))
-        for i, counter in enumerate(sides.values()):
-            table[list(map(place.__getitem__, counter)), i] = list(counter.values())
-            counter.clear()
-        table[:, 0] = table.sum(axis=1)
-        parts: list[tuple] = []
-        done = 0
-        for some in _some(words):
-            padded, at, of = _gram_places(some, order)
-            keys, first, group = np.unique(_hash(_letters(padded), at, order), return_index=True, return_inverse=True)
-            weights = table[done : done + len(some)][of]
-            sums = np.column_stack([np.bincount(group, w, len(keys)) for w in weights.T])
-            parts.append((keys, np.array([padded[i : i + order] for i in at[first].tolist()], object), sums))
-            done += len(some)
-        if not parts:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.string())] + [pa.array([], pa.int64())] * 5, ["gram", "n", *SIDES])
-        every, grams, sums = (np.concatenate(p) for p in zip(*parts))
-        keys, first, group = np.unique(every, return_index=True, return_inverse=True)
-        counts = [pa.array(np.bincount(group, c, len(keys)).astype(np.int64)) for c in sums.T]
-        return pa.RecordBatch.from_arrays([pa.array(grams[first], pa.string()), *counts], ["gram", "n", *SIDES])
+                        yield from _gram_batches(sides, order)
+        yield from _gram_batches(sides, order)
 
     rows = _with_side(require(docs, "doc_id", "text").filter("text is not null"), chosen)
     schema = "gram string, n bigint, " + ", ".join(f"{s} bigint" for s in SIDES)

@@ -8,6 +8,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -521,6 +522,29 @@ def test_keys_that_the_same_lines_share_are_one(spark):
     assert {(r.key, r.id) for r in got} == {(0, 1), (0, 2), (0, 3), (9, 1), (9, 2)} and len(got) == 5
 
 
+def test_gram_batches_are_small_and_count_every_gram(monkeypatch):
+    monkeypatch.setattr(toxicity, "ROWS_SENT", 10)
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 3)
+    order, r = 4, random.Random(5)
+    words = ["".join(r.choice("ab\x00\u00e9") for _ in range(r.randint(1, 6))) for _ in range(60)]
+    sides = {s: Counter(r.choices(words, k=20)) for s in (None, *toxicity.SIDES)}
+    wanted: dict = {}
+    for side, counter in sides.items():
+        for word, n in counter.items():
+            padded = toxicity.START * (order - 1) + word + toxicity.END
+            for i in range(len(padded) - order + 1):
+                row = wanted.setdefault(padded[i : i + order], Counter())
+                row.update({"n": n} | ({side: n} if side else {}))
+    batches = list(toxicity._gram_batches(sides, order))
+    assert max(b.num_rows for b in batches) <= 10
+    rows = [row for b in batches for row in b.to_pylist()]
+    assert {row["gram"]: {c: row[c] for c in ("n", *toxicity.SIDES)} for row in rows} == {
+        g: {c: counts[c] for c in ("n", *toxicity.SIDES)} for g, counts in wanted.items()
+    }
+    assert len(rows) == len(wanted) and not any(sides.values())
+    assert list(toxicity._gram_batches(sides, order)) == []
+
+
 def test_shuffles_of_a_staged_result_are_removed(spark):
     env = spark._jvm.org.apache.spark.SparkEnv.get()
     folders = [f.getPath() for f in env.blockManager().diskBlockManager().localDirs()]

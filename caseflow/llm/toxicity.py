@@ -19,9 +19,10 @@ more); shared counts are not sampled.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,17 +57,17 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
-def _word_lists(text: str) -> Iterator[list[str]]:
-    """The lower-case words of a text, a bounded part of it at a time. Words of more than
-    `MAX_WORD` letters are cut."""
+def _word_sets(text: str) -> Iterator[set[str]]:
+    """The different lower-case words of a text, a bounded part of it at a time. Words of more
+    than `MAX_WORD` letters are cut."""
     start = 0
     while start < len(text):
         near = start + CHUNK
         gap = _GAP.search(text, near, near + MAX_WORD)
         end = gap.start() if gap else min(near + MAX_WORD, len(text))
-        words = text[start:end].lower().split()
+        words = set(text[start:end].lower().split())
         if words and max(map(len, words)) > MAX_WORD:
-            words = [w[i : i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)]
+            words = {w[i : i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)}
         yield words
         start = end
 
@@ -174,8 +175,8 @@ def gram_counts(docs: DataFrame, chosen: DataFrame, order: int) -> DataFrame:
         sides: dict[str | None, Counter] = {s: Counter() for s in (None, *SIDES)}
         for batch in batches:
             for text, side in zip(batch.column("text"), batch.column("side").to_pylist()):
-                for words in _word_lists(text.as_py()):
-                    sides[side].update(set(words))
+                for words in _word_sets(text.as_py()):
+                    sides[side].update(words)
                     if sum(map(len, sides.values())) > WORDS_HELD:
                         yield from _gram_batches(sides, order)
         yield from _gram_batches(sides, order)
@@ -291,25 +292,33 @@ class _Scorer:
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, order: int) -> None:
         self.keys, self.weights, self.order = keys, weights, order
-        self.held: dict[str, int] = {}
+        self.held: defaultdict[str, int] = defaultdict(lambda: len(self.held))
         self.values = np.empty((WORDS_HELD, weights.shape[1]), np.float32)
 
     def _find(self, wanted: np.ndarray) -> np.ndarray:
         """Rows of the table, -1 where there is none."""
         if not len(self.keys):
             return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        # In order, neighbours are looked up in the same part of the table.
+        order = np.argsort(wanted)
+        at = np.empty(len(wanted), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, wanted[order]), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, at, -1)
 
-    def learn(self, words: set[str]) -> None:
-        """Look up the words not yet held."""
-        new = [w for w in words if w not in self.held]
-        if len(self.held) + len(new) > len(self.values):
+    def _places(self, parts: list[set[str]]) -> np.ndarray:
+        """The number of every word. New words get the next numbers."""
+        return np.fromiter(map(self.held.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+
+    def learn(self, parts: list[set[str]]) -> np.ndarray:
+        """The row of `values` of every word, after looking up the words not yet held."""
+        first = len(self.held)
+        places = self._places(parts)
+        if len(self.held) > len(self.values):
             self.held.clear()
-            new = list(words)
-            if len(new) > len(self.values):
-                self.values = np.empty((len(new), self.weights.shape[1]), np.float32)
-        for some in _some(new):
+            first, places = 0, self._places(parts)
+            if len(self.held) > len(self.values):
+                self.values = np.empty((len(self.held), self.weights.shape[1]), np.float32)
+        for some in _some(list(islice(self.held, first, None))):
             padded, at, of = _gram_places(some, self.order)
             codes = _letters(padded)
             row = self._find(_hash(codes, at, self.order))
@@ -317,10 +326,10 @@ class _Scorer:
             row[unseen] = self._find(_hash(codes, at[unseen], self.order - 1))
             found = np.zeros((len(row), self.weights.shape[1]))
             found[row >= 0] = self.weights[row[row >= 0]]
-            first = len(self.held)
             for i, column in enumerate(found.T):
                 self.values[first : first + len(some), i] = np.bincount(of, column, len(some))
-            self.held.update(zip(some, range(first, first + len(some))))
+            first += len(some)
+        return places
 
     def scores(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The features of each text, a column for each model."""
@@ -329,10 +338,10 @@ class _Scorer:
         size = 0
         for text in texts:
             chunks.append(0)
-            for words in _word_lists(text):
-                parts.append(set(words))
+            for words in _word_sets(text):
+                parts.append(words)
                 chunks[-1] += 1
-                size += len(parts[-1])
+                size += len(words)
             if size > WORDS_SCORED:
                 yield from self._features(parts, chunks)
                 parts, chunks, size = [], [], 0
@@ -350,10 +359,9 @@ class _Scorer:
                 size += len(parts[last])
                 last += 1
             some = parts[first:last]
-            self.learn(set().union(*some))
-            sizes = list(map(len, some))
-            rows = self.values[[i for part in some for i in map(self.held.__getitem__, part)]].astype(float)
-            text = np.repeat(of[first:last], sizes)
+            places = self.learn(some)
+            rows = self.values[places].astype(float)
+            text = np.repeat(of[first:last], list(map(len, some)))
             words += np.bincount(text, minlength=len(chunks))
             for m in range(rows.shape[1]):
                 total[:, 0, m] += np.bincount(text, rows[:, m], len(chunks))

@@ -522,6 +522,46 @@ def test_keys_that_the_same_lines_share_are_one(spark):
     assert {(r.key, r.id) for r in got} == {(0, 1), (0, 2), (0, 3), (9, 1), (9, 2)} and len(got) == 5
 
 
+def test_words_are_numbered_and_looked_up_in_one_pass(monkeypatch):
+    """However often the table of words is emptied, a word has the sum of its grams."""
+    order, r = 4, random.Random(6)
+    words = ["".join(r.choice("abé") for _ in range(r.randint(1, 6))) for _ in range(50)]
+    padded, at, _ = toxicity._gram_places(words[:25], order)
+    grams = {padded[i : i + order] for i in at}
+    keys = np.array([toxicity._hash(toxicity._letters(g), np.zeros(1, int), order)[0] for g in grams])
+    by_key = np.argsort(keys)
+    weights = np.arange(1.0, 1 + len(keys), dtype=np.float32)[:, None]
+    weight = dict(zip(np.array(list(grams))[by_key].tolist(), weights[:, 0].tolist()))
+    for held in (7, 500):
+        monkeypatch.setattr(toxicity, "WORDS_HELD", held)
+        scorer = toxicity._Scorer(keys[by_key], weights, order)
+        for _ in range(20):
+            parts = [set(r.sample(words, r.randint(0, 6))) for _ in range(r.randint(1, 3))]
+            places = scorer.learn(parts)
+            got = scorer.values[places][:, 0].tolist()
+            padded = [toxicity.START * (order - 1) + w + toxicity.END for p in parts for w in p]
+            assert got == [sum(weight.get(p[i : i + order], 0) for i in range(len(p) - order + 1)) for p in padded]
+
+
+def test_pairs_that_meet_by_many_keys_meet_once(spark, monkeypatch):
+    """In blocks and whole: every pair of lines of 80 words that share runs is one row."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    lines = []
+    for i in range(12):
+        line = list(base)
+        line[r.randrange(80)] = f"new{i}"
+        lines.append((i, " ".join(line)))
+    rows = spark.createDataFrame(lines, "id bigint, line string")
+    made = []
+    sides = line_dedup._sides
+    monkeypatch.setattr(line_dedup, "_sides", lambda *a: made.append(sides(*a).count()) or sides(*a))
+    for block in (5, 256):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        assert line_dedup.near_long_lines(rows).count() == 66
+    assert made == [66] * 4
+
+
 def test_gram_batches_are_small_and_count_every_gram(monkeypatch):
     monkeypatch.setattr(toxicity, "ROWS_SENT", 10)
     monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 3)

@@ -562,6 +562,44 @@ def test_pairs_that_meet_by_many_keys_meet_once(spark, monkeypatch):
     assert made == [66] * 4
 
 
+def test_links_of_near_copies_are_counted_without_a_row_for_each(documents, monkeypatch):
+    """Copies of a line of 80 words (5 edits) with 1 to 4 words edited, and a few other lines."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    lines = [base, base[:30], base[:29] + ["other"]]
+    for i in range(60):
+        line = list(base)
+        for at in r.sample(range(80), (1, 1, 1, 1, 2, 2, 3, 4)[i % 8]):
+            line[at : at + r.randint(0, 1)] = r.choice([[], [f"new{i}"], [f"w{r.randrange(80)}"]])
+        lines.append(line)
+    lines = [list(x) for x in sorted({tuple(x) for x in lines})]
+    n, k = len(lines), [len(x) // line_dedup.WORDS_AN_EDIT for x in lines]
+    near = {i: {j for j in range(n) if i != j and distance(lines[i], lines[j]) <= min(k[i], k[j])} for i in range(n)}
+    made, sides = [], line_dedup._sides
+    monkeypatch.setattr(line_dedup, "_sides", lambda *a: made.append(sides(*a).count()) or sides(*a))
+    got = line_dedup.line_classes(documents([(i, " ".join(x)) for i, x in enumerate(lines)])).collect()
+    assert {x.doc_id: x.n_links for x in got} == {i: len(near[i]) for i in range(n)}
+    assert made[-1] * 4 < sum(map(len, near.values())) // 2
+    kept = {x.doc_id for x in got if x.kept}
+    assert not any(near[i] & kept for i in kept) and all(near[i] & kept for i in range(n) if i not in kept)
+
+
+def test_independent_nodes_by_groups_are_those_by_edges(spark):
+    r = random.Random(12)
+    group = {i: r.randrange(6) for i in range(60)}
+    linked = {(g, h) for g in range(6) for h in range(6) if (g * h) % 3 == 1 or (g + h) % 5 == 4}
+    listed = {tuple(r.sample(range(80), 2)) for _ in range(50)}
+    told = {(i, j) for i in group for j in group if i < j and (group[i], group[j]) in linked}
+    edges = lambda rows: spark.createDataFrame(sorted(rows), "u bigint, v bigint")
+    first = spark.createDataFrame([(3,), (70,)], "node bigint")
+    members = spark.createDataFrame(sorted(group.items()), "node bigint, group int")
+    near = spark.createDataFrame(sorted(linked), "group int, near int")
+    got = {x.node for x in graph.independent(edges(listed), first, members, near).collect()}
+    want = {x.node for x in graph.independent(edges(listed | told), first).collect()}
+    assert got - set(group) == want - set(group) and want <= got
+    assert all(i not in {x for e in listed | told for x in e} for i in got - want)
+
+
 def test_gram_batches_are_small_and_count_every_gram(monkeypatch):
     monkeypatch.setattr(toxicity, "ROWS_SENT", 10)
     monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 3)

@@ -17,10 +17,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import require, stage
+from caseflow.llm.common import discard_staged, require, stage
 
 #: Out-neighbours of a node; in-neighbours kept beside them.
 DEGREE = 32
@@ -41,6 +42,8 @@ FAR_TABLES = 3
 FAR_GROUP = 8
 SEED = 5
 _PAIRS_AT_ONCE = 50_000
+#: Of the hash that Spark calls `xxhash64`.
+_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 _EDGES = "a bigint, c bigint, sim float"
 
 
@@ -62,11 +65,18 @@ def _code(embedding: np.ndarray) -> bytes:
     return scale.tobytes() + np.round(embedding / scale).astype(np.int8).tobytes()
 
 
-def _decode(codes: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+def _decode(codes: pa.Array) -> np.ndarray:
+    """The vectors of codes, which are all as long."""
+    starts = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1]
+    raw = np.frombuffer(codes.buffers()[2], np.uint8)[starts[0] : starts[-1]].reshape(len(codes), -1)
     return raw[:, 4:].copy().view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
 
 
+def _starts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys start, and the end of the last one."""
+    return np.concatenate(([0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]))
+
+
 def make_nodes(vectors: DataFrame) -> DataFrame:
     """A node per different vector: id (its smallest vec_id), embedding, code."""
 
@@ -84,44 +94,49 @@ def _meet(reported: int):
     nearest others that are nearer than its `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        out: list[np.ndarray] = []
+        last, held = None, []
+        out: list[tuple] = []
         size = 0
+
+        def close() -> None:
+            nonlocal size, held
+            out.append(met(*(held[0] if len(held) == 1 else map(np.concatenate, zip(*held)))))
+            size += len(out[-1][0])
+            held = []
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("grp", "id", "least", "code")]
-            for row in zip(*columns):
-                if held and held[0][0] != row[0]:
-                    out.append(met(held))
-                    size += out[-1].shape[1]
-                    held = []
-                held.append(row)
-            if size > 200_000:
-                yield packed(out)
-                out, size = [], 0
+            if not batch.num_rows:
+                continue
+            grp, ids, least = (batch.column(c).to_numpy() for c in ("grp", "id", "least"))
+            v = _decode(batch.column("code"))
+            starts = _starts(grp)
+            for s, e in zip(starts[:-1], starts[1:]):
+                if held and grp[s] != last:
+                    close()
+                last = grp[s]
+                held.append((ids[s:e], least[s:e], v[s:e]))
+                if size > 200_000:
+                    yield packed(out)
+                    out, size = [], 0
         if held:
-            out.append(met(held))
+            close()
         if out:
             yield packed(out)
 
-    def met(rows: list[tuple]) -> np.ndarray:
-        _, ids, least, codes = zip(*rows)
-        ids, v = np.array(ids), _decode(list(codes))
+    def met(ids: np.ndarray, least: np.ndarray, v: np.ndarray) -> tuple:
         sims = v @ v.T
         sims[np.equal.outer(ids, ids)] = -np.inf
-        sims[sims <= np.array(least, np.float32)[:, None]] = -np.inf
+        sims[sims <= least[:, None]] = -np.inf
         if len(ids) > reported:
             best = np.argpartition(-sims, reported - 1, axis=1)[:, :reported]
         else:
             best = np.broadcast_to(np.arange(len(ids)), sims.shape)
         near = np.take_along_axis(sims, best, axis=1)
         i, j = np.nonzero(near > -np.inf)
-        return np.array([ids[i], ids[best[i, j]], near[i, j].astype(np.float64)], dtype=object)
+        return ids[i], ids[best[i, j]], near[i, j]
 
-    def packed(out: list[np.ndarray]) -> pa.RecordBatch:
-        a, c, s = np.concatenate(out, axis=1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(s.astype(np.float32))], ["a", "c", "sim"]
-        )
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "c", "sim"])
 
     return run
 
@@ -152,7 +167,7 @@ def first_graph(nodes: DataFrame, count: int, degree: int = DEGREE, tables: int
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = _decode(batch.column("code").to_pylist())
+            v = _decode(batch.column("code"))
             planes = np.random.default_rng(SEED).standard_normal((v.shape[1], tables * max(bits, 1)))
             side = (v @ planes > 0).reshape(len(v), tables, -1)
             cells = (side * (1 << np.arange(max(bits, 1)))).sum(axis=2) * (bits > 0) + (np.arange(tables) << 48)
@@ -209,38 +224,101 @@ def build_graph(nodes: DataFrame, rounds: int = ROUNDS, degree: int = DEGREE) ->
     return both.groupBy("a").agg(F.collect_set("c").alias("near")).withColumnRenamed("a", "id")
 
 
+def _hashed(ids: np.ndarray) -> np.ndarray:
+    """What Spark's `xxhash64` makes of each of these longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in _PRIMES)
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    h = np.uint64((42 + _PRIMES[4] + 8) % 2**64) ^ (turned(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _ask(buckets: int):
+    """Over rows (q, known, ids) sorted by the first two: a row for each query and bucket of
+    nodes, with those of the query's ids that are not known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, new, known = None, [], []
+        out: list[tuple] = []
+        size = 0
+
+        def close() -> None:
+            nonlocal size
+            c = np.setdiff1d(np.concatenate(new), np.concatenate(known)) if new else np.empty(0, np.int64)
+            if len(c):
+                bucket = _hashed(c) % buckets
+                order = np.argsort(bucket, kind="stable")
+                c, bucket = c[order], bucket[order]
+                starts = _starts(bucket)
+                out.append((bucket[starts[:-1]], np.full(len(starts) - 1, last), np.diff(starts), c))
+                size += len(c)
+            new.clear()
+            known.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q, told, lists = batch.column("q").to_numpy(), batch.column("known").to_numpy(zero_copy_only=False), batch.column("ids")
+            at, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+            starts = _starts(q)
+            for s, e in zip(starts[:-1], starts[1:]):
+                if q[s] != last:
+                    close()
+                last, m = q[s], s + np.count_nonzero(~told[s:e])
+                if m > s:
+                    new.append(ids[at[s] : at[m]])
+                known.append(ids[at[m] : at[e]])
+                if size > 500_000:
+                    yield packed(out)
+                    out, size = [], 0
+        close()
+        if out:
+            yield packed(out)
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        bucket, q, sizes, c = (np.concatenate(x) for x in zip(*out))
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(c))
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(q), ids], ["bucket", "q", "ids"])
+
+    return run
+
+
 def _score(beam: int):
-    """Scores of the pairs of one bucket of nodes, the best of each query."""
+    """Scores of the nodes of one bucket (rows with an id) that queries ask for (rows with
+    ids), the best of each query."""
 
     def run(group: pa.Table) -> pa.Table:
-        kind = group.column("kind").to_numpy()
-        q, c = group.column("q").to_numpy(), group.column("c").to_numpy()
-        is_node, is_query = kind == 0, kind == 1
-        vectors = group.column("embedding").combine_chunks()
-
-        def matrix(mask: np.ndarray) -> np.ndarray:
-            flat = vectors.filter(pa.array(mask)).flatten().to_numpy(zero_copy_only=False)
-            return flat.reshape(int(mask.sum()), -1)
-
-        nodes, queries = matrix(is_node), matrix(is_query)
-        by_node, by_query = np.argsort(c[is_node]), np.argsort(q[is_query])
-        nodes, node_ids = nodes[by_node], c[is_node][by_node]
-        queries, query_ids = queries[by_query], q[is_query][by_query]
-        least = group.column("least").to_numpy()[is_query][by_query]
-        pairs = np.unique(np.column_stack((q[kind == 2], c[kind == 2])), axis=0)
-        at_q, at_c = np.searchsorted(query_ids, pairs[:, 0]), np.searchsorted(node_ids, pairs[:, 1])
-        scores = np.empty(len(pairs))
-        for s in range(0, len(pairs), _PAIRS_AT_ONCE):
-            e = s + _PAIRS_AT_ONCE
-            scores[s:e] = np.einsum("ij,ij->i", queries[at_q[s:e]], nodes[at_c[s:e]])
-        # A score equal to the beam's last may still win by its smaller id.
-        kept = scores >= least[at_q]
-        pairs, scores = pairs[kept], scores[kept]
-        order = np.lexsort((pairs[:, 1], -scores, pairs[:, 0]))
-        pairs, scores = pairs[order], scores[order]
-        firsts = np.searchsorted(pairs[:, 0], pairs[:, 0])
-        best = np.arange(len(pairs)) - firsts < beam
-        return pa.table({"q": pairs[best, 0], "c": pairs[best, 1], "score": scores[best]})
+        is_ask = group.column("ids").is_valid()
+        nodes, asks = group.filter(pc.invert(is_ask)), group.filter(is_ask)
+        q, least = asks.column("id").to_numpy(), asks.column("least").to_numpy()
+
+        def matrix(rows: pa.Table) -> np.ndarray:
+            flat = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            return flat.reshape(rows.num_rows, -1)
+
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(q):
+            ids, queries, vectors = nodes.column("id").to_numpy(), matrix(asks), matrix(nodes)
+            by_id = np.argsort(ids)
+            sorted_ids = ids[by_id]
+            lists = asks.column("ids").combine_chunks()
+            at_q, c = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            for s in range(0, len(c), _PAIRS_AT_ONCE):
+                of, to = at_q[s : s + _PAIRS_AT_ONCE], c[s : s + _PAIRS_AT_ONCE]
+                scores = np.einsum("ij,ij->i", queries[of], vectors[by_id[np.searchsorted(sorted_ids, to)]])
+                # A score equal to the beam's last may still win by its smaller id.
+                kept = scores >= least[of]
+                found.append((q[of[kept]], to[kept], scores[kept]))
+        q, c, scores = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((c, -scores, q))
+        q, c, scores = q[order], c[order], scores[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q) < beam
+        return pa.table({"q": q[best], "c": c[best], "score": scores[best]})
 
     return run
 
@@ -252,34 +330,37 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
     the beam has been expanded. No node enters a beam again that has fallen out of it, so
     every walk ends.
 
-    In a step, pairs are dealt by node and, if many ask, by query; vectors go where a pair
-    needs them.
+    In a step, the nodes a query looks at are one list for each bucket of nodes. Lists are
+    dealt by bucket and, if many ask, by query; a vector goes, once, to the groups of its bucket.
     """
-    buckets, parts = max(1, -(-nodes.count() // BUCKET)), max(1, -(-queries.count() // ASKING))
-    bucket = F.pmod(F.xxhash64("c"), F.lit(buckets)) * parts + F.pmod(F.xxhash64("q", F.lit(1)), F.lit(parts))
-    no_vector, no_score, no_id = F.lit(None).cast("array<double>"), F.lit(None).cast("double"), F.lit(-1).cast("bigint")
-    own = queries.join(nodes.select(F.col("id").alias("q"), "embedding"), "q")
+    count = nodes.count()
+    buckets, parts = max(1, -(-count // BUCKET)), max(1, -(-queries.count() // ASKING))
+    no_score, no_ids = F.lit(None).cast("double"), F.lit(None).cast("array<bigint>")
+    vectors = nodes.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"))
+    own = stage(queries.join(nodes.select(F.col("id").alias("q"), "embedding"), "q"))
     state = stage(own.select("q", F.col("q").alias("c"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x).alias("score"), F.lit(False).alias("done")))
     while True:
         fresh = state.filter("not done")
         if fresh.isEmpty():
             break
-        looked = fresh.join(graph, fresh["c"] == graph["id"]).select("q", F.explode("near").alias("c")).distinct()
-        looked = stage(looked.join(state.select("q", "c"), ["q", "c"], "left_anti").select("q", "c", bucket.alias("bucket")))
+        reached = fresh.join(graph, fresh["c"] == graph["id"]).select("q", F.lit(False).alias("known"), F.col("near").alias("ids"))
+        listed = reached.union(state.select("q", F.lit(True), F.array("c"))).repartition("q").sortWithinPartitions("q", "known")
+        looked = stage(listed.mapInArrow(_ask(buckets), "bucket bigint, q bigint, ids array<bigint>"))
         floor = state.groupBy("q").agg(F.min("score").alias("s"), F.count("*").alias("n"))
         floor = floor.select("q", F.when(F.col("n") >= beam, F.col("s")).otherwise(float("-inf")).alias("least"))
-        stored = looked.select("bucket", "c").distinct().join(nodes.withColumnRenamed("id", "c"), "c")
-        asking = looked.select("bucket", "q").distinct().join(own.join(floor, "q"), "q")
-        rows = (
-            stored.select("bucket", F.lit(0).alias("kind"), no_id.alias("q"), "c", "embedding", no_score.alias("least"))
-            .union(asking.select("bucket", F.lit(1).alias("kind"), "q", no_id.alias("c"), "embedding", "least"))
-            .union(looked.select("bucket", F.lit(2).alias("kind"), "q", "c", no_vector.alias("embedding"), no_score.alias("least")))
-        )
-        scored = rows.groupBy("bucket").applyInArrow(_score(beam), "q bigint, c bigint, score double")
+        stored = vectors
+        if (looked.agg(F.sum(F.size("ids"))).first()[0] or 0) < count:
+            stored = vectors.join(looked.select(F.explode("ids").alias("id")).distinct(), "id", "left_semi")
+        part = F.pmod(F.xxhash64("q", F.lit(1)), F.lit(parts))
+        asking = looked.join(own.join(floor, "q"), "q").select((F.col("bucket") * parts + part).alias("bucket"), F.col("q").alias("id"), "embedding", "least", "ids")
+        to_parts = F.explode(F.sequence(F.col("bucket") * parts, F.col("bucket") * parts + parts - 1))
+        rows = stored.select(to_parts.alias("bucket"), "id", "embedding", no_score, no_ids)
+        scored = asking.union(rows).groupBy("bucket").applyInArrow(_score(beam), "q bigint, c bigint, score double")
         both = state.withColumn("done", F.lit(True)).union(scored.withColumn("done", F.lit(False)))
         order = Window.partitionBy("q").orderBy(F.desc("score"), "c")
         both = both.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= beam).drop("_place")
         state = stage(both)
+        discard_staged(looked)
     return state.select("q", "c", "score")
 
 

@@ -244,3 +244,32 @@ def test_small_clusters_far_from_the_rest_find_as_many(spark, monkeypatch):
     assert sorted((g.query_id, g.rank) for g in got) == [(q, n) for q in asked for n in range(1, 21)]
     want = {(q, i) for q, _, i in exact(rows, lambda q: q % 10 == 0, 20)}
     assert len({(g.query_id, g.vec_id) for g in got} & want) >= 0.9 * len(want)
+
+
+def test_a_step_of_the_walks_has_a_row_for_a_query_and_bucket(spark, monkeypatch):
+    """And not one for each node that a query looks at."""
+    score = nn_descent._score
+
+    def few_rows(beam):
+        run = score(beam)
+
+        def checked(group):
+            assert group.num_rows <= 300 + 15, group.num_rows
+            return run(group)
+
+        return checked
+
+    monkeypatch.setattr(nn_descent, "_score", few_rows)
+    monkeypatch.setattr(nn_descent, "BUCKET", 100)
+    r = np.random.default_rng(8)
+    rows = [(i, p.tolist()) for i, p in enumerate(r.normal(size=(300, 8)))]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = nn_descent.nearest_neighbours(vectors, F.col("vec_id") % 20 == 0, 5).collect()
+    want = {(q, i) for q, _, i in exact(rows, lambda q: q % 20 == 0, 5)}
+    assert len({(g.query_id, g.vec_id) for g in got} & want) >= 0.9 * len(want)
+
+
+def test_ids_are_hashed_as_spark_hashes_them(spark):
+    ids = [0, 1, -1, 7, 2**62 + 5, -(2**63), 2**63 - 1, 123_456_789]
+    want = spark.createDataFrame([(i,) for i in ids], "id bigint").select("id", F.xxhash64("id")).collect()
+    assert dict(zip(ids, nn_descent._hashed(np.array(ids)).tolist())) == dict(map(tuple, want))

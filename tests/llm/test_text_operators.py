@@ -641,3 +641,27 @@ def test_shuffles_of_a_staged_result_are_removed(spark):
     files = staged.inputFiles()
     discard_staged(staged)
     assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_near_copies_are_compared_with_the_text_they_were_made_from(documents, monkeypatch):
+    """Most copies have a word more: none of them is the center."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    lines = [" ".join(base)]
+    for i in range(30):
+        line = list(base)
+        at = r.randrange(80)
+        line[at : at + (i % 4 == 0)] = [f"new{i}"]
+        lines.append(" ".join(line))
+    centers, stars = [], line_dedup.word_stars
+
+    def seen(*a):
+        made = stars(*a)
+        centers.extend(x.center for x in made.collect())
+        return made
+
+    monkeypatch.setattr(line_dedup, "word_stars", seen)
+    docs = documents(list(enumerate(lines)))
+    assert {x.n_links for x in line_dedup.line_classes(docs).collect()} == {30}
+    own = docs.filter("doc_id = 0").select(F.xxhash64("text")).first()[0]
+    assert len(centers) == 31 and set(centers) == {own}
